@@ -54,8 +54,7 @@ def compare(spark, con, sf: str, name: str) -> tuple[bool, str]:
     if sql is None:
         return True, f"rows-only {result.num_rows} ({took:.1f}s)"
     start = time.time()
-    want = con.execute(sql).arrow()
-    want = want.read_all() if hasattr(want, "read_all") else want
+    want = con.execute(sql).to_arrow_table()
     sql_took = time.time() - start
     (c1, r1), (c2, r2) = canonical(result), canonical(want)
     if c1 != c2:
@@ -85,7 +84,7 @@ def main(argv: list[str]) -> int:
         argv = argv[:i] + argv[i + 2:]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

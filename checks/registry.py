@@ -210,7 +210,7 @@ def _links_sql():
     for tag, name in L.LINK_ATTRIBUTES:
         p = HT._attribute(tag, name)
         groups = [f"regexp_extract_all(html, '{p}', {i})" for i in (1, 2, 3)]
-        parts.append(f"list_transform(list_zip({', '.join(groups)}), lambda z: trim(z[1] || z[2] || z[3]))")
+        parts.append(f"list_transform(list_zip({', '.join(groups)}), lambda z: trim(concat(z[1], z[2], z[3])))")
     skip = " OR ".join(f"starts_with(lower(v), '{s}')" for s in L.SKIPPED_LINKS)
     both = f"list_concat(list_concat({parts[0]}, {parts[1]}), {parts[2]})"
     return f"list_filter({both}, lambda v: v <> '' AND NOT ({skip}))"
@@ -373,7 +373,7 @@ def leakage_check(spark, sf):
     return quality.leakage_check(s, "key")
 
 
-@query("era_filter", "SELECT o_orderkey, year(o_orderdate) AS yr FROM orders WHERE year(o_orderdate) = 1997")
+@query("era_filter", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS yr FROM orders WHERE year(o_orderdate) = 1997")
 def era_filter(spark, sf):
     orders = fx.table(spark, sf, "orders").withColumn("date", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
     return C.same_year(orders, "date", 1997).select("o_orderkey", X.mail_year(F.col("date")).alias("yr"))
@@ -645,7 +645,7 @@ def eval_sql(group, cell, pos="pos", neg="neg"):
     pick = ", ".join(f"b.{c}" for c in cell)
     pick = f", {pick}" if pick else ""
     neg_cols = ", ".join(f"a.{c}" for c in group)
-    return f"""SELECT {gc}, P AS n_phish, (sum(CASE WHEN label = 1 THEN below + 0.5::DOUBLE * ties END) / (P::DOUBLE * N)) AS roc_auc,
+    return f"""SELECT {gc}, CAST(P AS BIGINT) AS n_phish, (sum(CASE WHEN label = 1 THEN below + 0.5::DOUBLE * ties END) / (P::DOUBLE * N)) AS roc_auc,
       sum(CASE WHEN label = 1 THEN tp::DOUBLE / (tp + fp) END) / P AS pr_auc,
       coalesce(2.0 * max(tp5) / nullif(max(tp5) + max(fp5) + P, 0), 0) AS f1, coalesce(max(tp5)::DOUBLE / nullif(max(tp5) + max(fp5), 0), 0) AS precision,
       max(tp5)::DOUBLE / P AS recall FROM (
@@ -932,8 +932,8 @@ def permutation_test(spark, sf):
 @query("significance_table", q("rewrites_v pos_v", """SELECT mp.condition, mp.model, n, round(det_sev0, 6) AS det_sev0, round(det_sev1, 6) AS det_sev1,
   round(effect_drop, 6) AS effect_drop, drop_lo, drop_hi, b AS mcnemar_b_lost, c AS mcnemar_c_gained, perm_p_value, round(p, 6) AS mcnemar_exact_p
   FROM mp JOIN boot ON mp.condition = boot.condition AND mp.model = boot.model JOIN perm ON mp.condition = perm.condition AND mp.model = perm.model""",
-  inter=INTER, pos=G1_BASE, pairs=PAIRS, mcn=MCN, mp=MCN_P, boot=BOOT.replace("reps", "reps_b"), perm=PERM,
-  reps_b=REPS.format(seed=42, n=200), reps=REPS.format(seed=43, n=500)))
+  inter=INTER, pos=G1_BASE, pairs=PAIRS, mcn=MCN, mp=MCN_P,
+  reps_b=REPS.format(seed=42, n=200), reps=REPS.format(seed=43, n=500), boot=BOOT.replace("JOIN reps)", "JOIN reps_b)"), perm=PERM))
 def significance_table(spark, sf):
     out = significance.significance_table(_pos(spark, sf, False), _ids(spark, sf), n_boot=200, n_perm=500)
     return rounded(out, "det_sev0", "det_sev1", "effect_drop", "drop_lo", "drop_hi", "perm_p_value", "mcnemar_exact_p")
@@ -1044,3 +1044,154 @@ def release_rewrites(spark, sf):
 def consistency_report(spark, sf):
     funnel = retention.retention_funnel(fx.rewrites(spark, sf), ["generator"])
     return consistency.consistency_report(_emails_split(spark, sf), {"funnel_total": (funnel, "total", 51)}, 319)
+
+
+# --------------------------------------------------------------------- ingest
+def _raw_messages(spark, sf):
+    """Documents written out as mail: plain 8-bit, base64, or multipart with an HTML twin."""
+    text = F.col("text")
+    head = F.concat(F.lit("From: a@example.org\nSubject: msg  "), F.col("doc_id").cast("string"), F.lit("\nMIME-Version: 1.0\n"))
+    plain = "Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: "
+    encoded = F.concat(F.lit(plain + "base64\n\n"), F.base64(F.encode(text, "UTF-8")))
+    multi = F.concat(
+        F.lit("Content-Type: multipart/alternative; boundary=zzz\n\n--zzz\nContent-Type: text/html; charset=utf-8\n\n<p>other</p>\n--zzz\n" + plain + "8bit\n\n"),
+        text, F.lit("\n--zzz--\n"),
+    )
+    body = F.when(F.col("doc_id") % 3 == 1, encoded).when(F.col("doc_id") % 3 == 2, multi).otherwise(
+        F.concat(F.lit(plain + "8bit\n\n"), text)
+    )
+    return fx.table(spark, sf, "documents").select(
+        fx.doc_original_id().alias("original_id"), F.encode(F.concat(head, body), "UTF-8").alias("raw"),
+        "source", fx.source_number().alias("source_rank"), "doc_id",
+    )
+
+
+COLLAPSED = f"trim(regexp_replace(text, '{L.SPACES}', ' ', 'g'))"
+def _parsed_sql():
+    from checks.views import ORIGINAL_ID
+
+    return f"""SELECT {ORIGINAL_ID} AS original_id, 'msg ' || doc_id AS subject, {COLLAPSED} AS body, doc_id % 3 = 2 AS had_html,
+      source, CAST(substr(source, 4) AS INT) AS source_rank, doc_id FROM documents"""
+
+
+@query("mime_ingest", q("", "SELECT original_id, subject, md5(body) AS body_md5, had_html FROM parsed", parsed=_parsed_sql()))
+def mime_ingest(spark, sf):
+    from steadfast.sources.mail import parse_messages
+
+    out = parse_messages(_raw_messages(spark, sf).select("original_id", "raw"))
+    return out.select("original_id", "subject", F.md5("body").alias("body_md5"), "had_html")
+
+
+@query("html_ingest")
+def html_ingest(spark, sf):
+    """Pages as HTML-only mail, through the full parser."""
+    from steadfast.sources.mail import parse_messages
+
+    raw = fx.table(spark, sf, "pages").select(
+        F.col("page_id").cast("string").alias("original_id"),
+        F.encode(F.concat(F.lit("Subject: page\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "html"), "UTF-8").alias("raw"),
+    )
+    return parse_messages(raw)
+
+
+@query("mbox_ingest", f"""SELECT 'msg ' || doc_id AS subject, md5(trim(regexp_replace(regexp_replace(text, '(?m)^From ', '>From ', 'g'), '{L.SPACES}', ' ', 'g'))) AS body_md5 FROM documents""")
+def mbox_ingest(spark, sf):
+    """Documents written as mailbox files to the shared folder, then scanned."""
+    import uuid
+
+    from steadfast.operators.support import ensure_checkpoint_dir
+    from steadfast.sources.mail import parse_messages, read_mailboxes
+
+    folder = f"{ensure_checkpoint_dir(spark)}/mbox-{uuid.uuid4().hex}"
+    quoted = F.regexp_replace("text", "(?m)^From ", ">From ")
+    fx.table(spark, sf, "documents").repartition(4, "doc_id").select(F.concat(
+        F.lit("From a@example.org Thu Jan  1 00:00:00 2024\nSubject: msg "), F.col("doc_id").cast("string"),
+        F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), quoted,
+    ).alias("value")).write.text(folder)
+    out = parse_messages(read_mailboxes(spark, folder, "box"))
+    return out.select("subject", F.md5("body").alias("body_md5"))
+
+
+LABELLED = """SELECT *, CASE WHEN source_rank % 5 = 0 THEN 1 ELSE 0 END AS label FROM parsed"""
+
+
+@query("corpus_build", q("", f"""SELECT id, label, source, split, original_id, had_html, subject, md5(body) AS body_md5, md5(text) AS text_md5 FROM (
+  {_split_sql(f"(SELECT *, source || '-' || substr(sha1(original_id), 1, 16) AS id, {UNIFIED} AS text FROM kept)", "original_id", "label")})""",
+  parsed=_parsed_sql(), labelled=LABELLED,
+  kept=f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY source_rank, original_id) AS rn FROM labelled
+    WHERE NOT {TOKENS} < 5) WHERE rn = 1"""))
+def corpus_build(spark, sf):
+    from steadfast.operators.support import pinned
+    from steadfast.plans.corpus import build_corpus
+    from steadfast.sources.mail import parse_messages
+
+    parsed = pinned(parse_messages(_raw_messages(spark, sf)))
+    labelled = parsed.withColumn("label", F.when(F.col("source_rank") % 5 == 0, 1).otherwise(0))
+    return build_corpus(labelled).select(
+        "id", "label", "source", "split", "original_id", "had_html", "subject",
+        F.md5("body").alias("body_md5"), F.md5("text").alias("text_md5"),
+    )
+
+
+@query("external_corpus", q("", f"""SELECT original_id, label, split, md5(text) AS text_md5, had_html FROM (
+  {_split_sql("(SELECT * FROM ext WHERE length(text) > 0)", "original_id", "label")})""",
+  ext=f"""SELECT 'o' || o_orderkey AS original_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
+    {strip("o_orderpriority || chr(10) || coalesce(text, '')")} AS text, coalesce(regexp_matches(text, '(?i){L.LISTED_TAG}'), false) AS had_html
+    FROM orders LEFT JOIN documents ON doc_id = o_orderkey WHERE year(o_orderdate) = 1997"""))
+def external_corpus(spark, sf):
+    from steadfast.plans.corpus import build_external
+
+    orders = fx.table(spark, sf, "orders").join(
+        fx.table(spark, sf, "documents").select(F.col("doc_id").alias("o_orderkey"), "text"), "o_orderkey", "left"
+    )
+    raw = orders.select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("original_id"), F.col("o_orderpriority").alias("subject"),
+        F.col("text").alias("body"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"),
+        F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss '+0000'").alias("date"),
+    )
+    return build_external(raw, "ext", 1997).select("original_id", "label", "split", F.md5("text").alias("text_md5"), "had_html")
+
+
+# --------------------------------------------------------------------- models
+def _small():
+    from steadfast.operators.detect import TrainingParams
+
+    return TrainingParams(max_terms=500, max_iter=50, forest_trees=10, forest_depth=6, boost_rounds=5)
+
+
+@query("train_detectors")
+def train_detectors(spark, sf):
+    """Fit on the training split, score the test split: the clean table of every detector."""
+    from steadfast.operators.detect import fit_detectors
+
+    mail = _emails_split(spark, sf).withColumn("row_id", F.col("original_id"))
+    detectors = fit_detectors(mail.where(F.col("split") == "train"), params=_small())
+    scored = detectors.score(mail.where(F.col("split") == "test"), ["label"])
+    return M.detection_metrics(*M.split_classes(scored, ["model"]), ["model"])
+
+
+@query("cross_validate")
+def cross_validate(spark, sf):
+    from steadfast.operators.detect import cross_validate as cv
+
+    mail = fx.emails(spark, sf).withColumn("row_id", F.col("original_id"))
+    return cv(mail, k=3, params=_small(), names=["logreg"])
+
+
+@query("retrain_and_rescore")
+def retrain_and_rescore(spark, sf):
+    """Baseline and augmented detectors, intact and URL-blind, rescored on held-out rewrites."""
+    from steadfast.operators.support import pinned
+    from steadfast.plans.experiment import score_table, train_grid
+
+    mail = pinned(_emails_split(spark, sf).withColumn("row_id", F.col("original_id")))
+    judged = pinned(fx.rewrites(spark, sf))
+    train, test = (mail.where(F.col("split") == s) for s in ("train", "test"))
+    g1, g2 = (judged.where(F.col("generator") == g) for g in fx.GENERATORS)
+    taught = g2.join(train.select("original_id"), "original_id", "left_semi")
+    tested = g1.join(test.select("original_id"), "original_id", "left_semi")
+    augmented = R.augment_training(train, taught, R.is_valid())
+    grid = train_grid(train, augmented, _small(), ["logreg"])
+    ids = test.where(F.col("label") == 1).select("original_id")
+    pos, neg = score_table(grid, test, tested, ids)
+    return M.condition_metrics(pos, neg, ["condition", "training", "model"])

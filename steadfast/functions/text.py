@@ -13,6 +13,12 @@ FOLD = "(?iu)"
 TOKEN_MARK = "\ufdd0"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once. Filters are pushed below projections by
+    substitution, which would otherwise repeat a costly input at every mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -192,12 +198,14 @@ def terms(text: Column) -> Column:
 
 
 def with_bigrams(unigrams: Column) -> Column:
-    pairs = F.zip_with(
-        F.slice(unigrams, 1, F.greatest(F.size(unigrams) - 1, F.lit(0))),
-        F.slice(unigrams, 2, F.greatest(F.size(unigrams) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(unigrams, pairs)
+    def extend(u):
+        n = F.greatest(F.size(u) - 1, F.lit(0))
+        pairs = F.zip_with(
+            F.slice(u, 1, n), F.slice(u, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)
+        )
+        return F.concat(u, pairs)
+
+    return let(unigrams, extend)
 
 
 def percent(value: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from steadfast import lexicons as L
-from steadfast.functions.text import FOLD, or_empty
+from steadfast.functions.text import FOLD, let, or_empty
 
 
 
@@ -75,9 +75,14 @@ def scored_urls(urls: Column) -> Column:
 
 def top_tier(scored: Column) -> Column:
     """URLs of the highest non-incidental strength present."""
-    best = F.array_max(F.transform(scored, lambda s: s["strength"]))
-    kept = F.filter(scored, lambda s: (s["strength"] >= 0) & (s["strength"] == best))
-    return F.transform(kept, lambda s: s["url"])
+    def pick(all_urls):
+        best = F.array_max(F.transform(all_urls, lambda s: s["strength"]))
+        return let(best, lambda top: F.transform(
+            F.filter(all_urls, lambda s: (s["strength"] >= 0) & (s["strength"] == top)),
+            lambda s: s["url"],
+        ))
+
+    return let(scored, pick)
 
 
 def primary_urls(text: Column) -> Column:
@@ -92,16 +97,43 @@ def missing_from(originals: Column, rewritten: Column) -> Column:
     )
 
 
-def match_kind(originals: Column, rewritten: Column) -> Column:
+def match_kind(originals: Column, rewritten: Column, missing: Column) -> Column:
     """How the whole set was matched: none / exact / substring / missing."""
     exact = F.size(F.array_except(originals, rewritten)) == 0
-    gone = F.size(missing_from(originals, rewritten)) > 0
     return (
-        F.when(F.size(originals) == 0, "none").when(exact, "exact").when(gone, "missing")
-        .otherwise("substring")
+        F.when(F.size(originals) == 0, "none").when(exact, "exact")
+        .when(F.size(missing) > 0, "missing").otherwise("substring")
     )
 
 
 def verdict(originals: Column, missing: Column) -> Column:
     """True / False, or null when there is nothing to check."""
     return F.when(F.size(originals) > 0, F.size(missing) == 0)
+
+
+def retention(original: Column, rewrite: Column) -> Column:
+    """Struct of both verdicts for a pair of texts. Each text is scanned once."""
+    def judge(s):
+        return F.struct(
+            F.size(s["o"]).alias("n_orig_urls"),
+            s["gone"].alias("missing_urls"),
+            verdict(s["o"], s["gone"]).alias("retained_urls"),
+            match_kind(s["o"], s["r"], s["gone"]).alias("match_kind"),
+            F.size(s["p"]).alias("n_primary_urls"),
+            s["p"].alias("primary_urls"),
+            s["gone_p"].alias("missing_primary_urls"),
+            verdict(s["p"], s["gone_p"]).alias("retained_primary"),
+        )
+
+    urls = F.struct(
+        anchor_urls(original).alias("o"),
+        F.array_distinct(F.transform(strict_urls(rewrite), normalized)).alias("r"),
+    )
+    tiers = let(urls, lambda s: F.struct(
+        s["o"].alias("o"), s["r"].alias("r"), top_tier(scored_urls(s["o"])).alias("p")
+    ))
+    gaps = let(tiers, lambda s: F.struct(
+        s["o"].alias("o"), s["r"].alias("r"), s["p"].alias("p"),
+        missing_from(s["o"], s["r"]).alias("gone"), missing_from(s["p"], s["r"]).alias("gone_p"),
+    ))
+    return let(gaps, judge)

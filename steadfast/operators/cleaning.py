@@ -95,7 +95,7 @@ def dataset_summary(df: DataFrame) -> DataFrame:
         F.count_if(F.col("split") == "train").alias("train"),
         F.count_if(F.col("split") == "test").alias("test"),
         F.avg(F.when(F.col("label") == 1, one).otherwise(0)).alias("positive_fraction"),
-        F.avg(F.when("had_html", one).otherwise(0)).alias("html_fraction"),
+        F.avg(F.when(F.col("had_html"), one).otherwise(0)).alias("html_fraction"),
     )
 
 

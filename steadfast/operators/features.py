@@ -18,7 +18,7 @@ VECTOR_ROW = T.StructType([T.StructField("v", VectorUDT())])
 def gram_counts(text: Column) -> Column:
     """array<struct<term, tf>> of unigrams and bigrams. The text never leaves its row: the
     grams are sorted and run lengths read off, so counting a document needs no shuffle."""
-    return _run_lengths(F.sort_array(X.with_bigrams(X.terms(text))))
+    return X.let(F.sort_array(X.with_bigrams(X.terms(text))), _run_lengths)
 
 
 def _run_lengths(grams: Column) -> Column:
@@ -26,20 +26,23 @@ def _run_lengths(grams: Column) -> Column:
         F.sequence(F.lit(0), F.greatest(F.size(grams) - 1, F.lit(0))),
         lambda i: (i == 0) | (F.get(grams, i) != F.get(grams, i - 1)),
     )
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(grams)))
-    runs = F.zip_with(
-        starts, ends,
-        lambda a, b: F.struct(F.get(grams, a).alias("term"), (b - a).cast("long").alias("tf")),
-    )
-    return F.filter(runs, lambda r: r["tf"] > 0)
+
+    def runs(first):
+        ends = F.concat(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), F.array(F.size(grams)))
+        return F.zip_with(
+            first, ends,
+            lambda a, b: F.struct(F.get(grams, a).alias("term"), (b - a).cast("long").alias("tf")),
+        )
+
+    return X.let(starts, runs)
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, term, tf)."""
-    steps = df.select(id_col, F.sort_array(X.with_bigrams(X.terms(F.col(text_col)))).alias("_g"))
+    """(id, term, tf). The outer form of explode keeps the optimizer from adding a size
+    test that would count every document twice."""
     return (
-        steps.select(id_col, _run_lengths(F.col("_g")).alias("_c"))
-        .select(id_col, F.explode("_c").alias("_e")).select(id_col, "_e.term", "_e.tf")
+        df.select(id_col, F.explode_outer(gram_counts(F.col(text_col))).alias("_e"))
+        .select(id_col, "_e.term", "_e.tf").where(F.col("tf") > 0)
     )
 
 

@@ -128,7 +128,7 @@ def _replicate_sums(coefs, cdf, modulus, group, cell, threshold):
         def add(cell_values, part, **sums):
             frame = pd.DataFrame({"replicate": part[:, 0].astype("int32"), **sums})
             for name, value in zip(cell, cell_values):
-                frame[name] = value
+                frame[name] = pd.Series([value] * len(frame), dtype=object)
             out.append(frame)
 
         step = max(1, 4_000_000 // max(1, len(rows)))

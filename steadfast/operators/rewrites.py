@@ -12,6 +12,12 @@ from steadfast.functions import urls as U
 from steadfast.schemas import severity_key
 
 
+VERDICT_COLUMNS = (
+    "n_orig_urls", "missing_urls", "retained_urls", "match_kind", "n_primary_urls",
+    "primary_urls", "missing_primary_urls", "retained_primary",
+)
+
+
 def union_generators(tables: dict[str, DataFrame | None]) -> DataFrame:
     """Union of the generators that are present, tagged with their name."""
     present = [t.withColumn("generator", F.lit(n)) for n, t in tables.items() if t is not None]
@@ -35,23 +41,12 @@ def latest_rewrites(
 
 def with_verdicts(df: DataFrame, original: str = "original_text", rewrite: str = "rewrite_text") -> DataFrame:
     """Adds both retention verdicts and the refusal flag to rows holding both texts."""
-    arrays = df.withColumns({
-        "_orig": U.anchor_urls(F.col(original)),
-        "_rw": F.array_distinct(F.transform(U.strict_urls(F.col(rewrite)), U.normalized)),
-    }).withColumn("_prim", U.top_tier(U.scored_urls(F.col("_orig"))))
-    missing = arrays.withColumns({
-        "missing_urls": U.missing_from(F.col("_orig"), F.col("_rw")),
-        "missing_primary_urls": U.missing_from(F.col("_prim"), F.col("_rw")),
-    })
-    return missing.withColumns({
-        "n_orig_urls": F.size("_orig"),
-        "retained_urls": U.verdict(F.col("_orig"), F.col("missing_urls")),
-        "match_kind": U.match_kind(F.col("_orig"), F.col("_rw")),
-        "n_primary_urls": F.size("_prim"),
-        "primary_urls": F.col("_prim"),
-        "retained_primary": U.verdict(F.col("_prim"), F.col("missing_primary_urls")),
-        "refused": X.looks_like_refusal(F.col(rewrite)),
-    }).drop("_orig", "_rw", "_prim")
+    judged = df.withColumn("_v", U.retention(F.col(original), F.col(rewrite)))
+    kept = [c for c in df.columns if c not in VERDICT_COLUMNS and c != "refused"]
+    return judged.select(
+        *kept, *[F.col(f"_v.{c}") for c in VERDICT_COLUMNS],
+        X.looks_like_refusal(F.col(rewrite)).alias("refused"),
+    )
 
 
 def is_valid(retained: str = "retained_urls", refused: str = "refused") -> Column:
