@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from steadfast import lexicons as L
 from steadfast.functions import hashing as H
 from steadfast.functions import text as X
+from steadfast.sources.tables import spread
 
 MODELS = ("logreg", "random_forest", "gradient_boosting")
 CONDITIONS = ("original", "url_masked")
@@ -14,8 +15,12 @@ TRAININGS = ("baseline", "adv_trained")
 GENERATORS = ("g1", "g2")
 
 
+SPREAD = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, SPREAD[name]) if name in SPREAD else df
 
 
 def lit_array(values) -> F.Column:

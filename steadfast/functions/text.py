@@ -24,7 +24,7 @@ def or_empty(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{L.SPACE_CHARS}]+|[{L.SPACE_CHARS}]+\z", "")
+    return F.btrim(text, F.lit(L.SPACE_LIST))
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -71,25 +71,31 @@ def clip(text: Column, n_chars: int) -> Column:
 
 
 def looks_like_refusal(text: Column) -> Column:
-    low = F.lower(or_empty(text))
-    hit = F.lit(False)
-    for marker in L.REFUSAL_MARKERS:
-        hit = hit | F.contains(low, F.lit(marker))
-    return hit
+    def any_marker(low):
+        hit = F.lit(False)
+        for marker in L.REFUSAL_MARKERS:
+            hit = hit | F.contains(low, F.lit(marker))
+        return hit
+
+    return let(F.lower(or_empty(text)), any_marker)
 
 
 def parse_rewrite(raw: Column) -> Column:
     """struct(subject, body, text): an optional leading 'Subject:' line is split off."""
-    text = strip(or_empty(raw))
-    headed = F.lower(F.substring(text, 1, 8)) == "subject:"
-    cut = F.instr(text, "\n")
-    first = F.substring_index(text, "\n", 1)
-    rest = F.when(cut > 0, F.substr(text, cut + 1)).otherwise(F.lit(""))
-    subject = F.when(headed, strip(F.substr(first, F.lit(9)))).otherwise(F.lit(""))
-    body = F.when(headed, strip(rest)).otherwise(text)
-    return F.struct(
-        subject.alias("subject"), body.alias("body"), unified_text(subject, body).alias("text")
-    )
+    def parts(text):
+        headed = F.lower(F.substring(text, 1, 8)) == "subject:"
+        cut = F.instr(text, "\n")
+        rest = F.when(cut > 0, F.substr(text, cut + 1)).otherwise(F.lit(""))
+        first = F.substring_index(text, "\n", 1)
+        return F.struct(
+            F.when(headed, strip(F.substr(first, F.lit(9)))).otherwise(F.lit("")).alias("subject"),
+            F.when(headed, strip(rest)).otherwise(text).alias("body"),
+        )
+
+    return let(let(strip(or_empty(raw)), parts), lambda p: F.struct(
+        p["subject"].alias("subject"), p["body"].alias("body"),
+        unified_text(p["subject"], p["body"]).alias("text"),
+    ))
 
 
 def mask_urls(text: Column) -> Column:

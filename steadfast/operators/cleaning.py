@@ -59,12 +59,16 @@ def cleaning_funnel(df: DataFrame) -> DataFrame:
         "source", "source_rank", "original_id", low.alias("low"),
         H.dedup_key(F.col("subject"), F.col("body")).alias("key"),
     )
-    seen = flagged.groupBy("source").agg(
-        F.count("*").alias("parsed"), F.count_if("low").alias("low_content")
+    # Both results below start from this one shuffled table.
+    first = F.min(F.struct("source_rank", "original_id")).alias("first")
+    per_key = flagged.groupBy("key", "source", "low").agg(F.count("*").alias("n"), first)
+    seen = per_key.groupBy("source").agg(
+        F.sum("n").alias("parsed"), F.sum(F.when(F.col("low"), F.col("n")).otherwise(0)).alias("low_content")
     )
+    winner = F.min(F.when(~F.col("low"), F.struct("first", "source"))).alias("winner")
     kept = (
-        first_copies(flagged.where(~F.col("low")), "key", ["source_rank", "original_id"], ["source"])
-        .groupBy("source").agg(F.count("*").alias("kept"))
+        per_key.groupBy("key").agg(winner).where(F.col("winner").isNotNull())
+        .groupBy(F.col("winner.source").alias("source")).agg(F.count("*").alias("kept"))
     )
     kept_n = F.coalesce("kept", F.lit(0))
     return seen.join(kept, "source", "left").select(

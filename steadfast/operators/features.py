@@ -79,19 +79,21 @@ def tfidf_arrays(counts: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
         counts.join(side, "term").groupBy(id_col)
         .agg(F.sort_array(F.collect_list(F.struct("term_id", weight.alias("weight")))).alias("_t"))
     )
-    norm = F.sqrt(F.aggregate("_t", F.lit(0.0), lambda acc, t: acc + t["weight"] * t["weight"]))
-    return per_doc.withColumn("_norm", norm).select(
-        id_col,
-        F.transform(
-            "_t", lambda t: F.struct(t["term_id"].alias("term_id"), (t["weight"] / F.col("_norm")).alias("weight"))
-        ).alias("terms"),
-    )
+
+    def unit(entries):
+        norm = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda acc, t: acc + t["weight"] * t["weight"]))
+        return X.let(norm, lambda n: F.transform(
+            entries,
+            lambda t: F.struct(t["term_id"].alias("term_id"), (t["weight"] / n).alias("weight")),
+        ))
+
+    return per_doc.select(id_col, unit(F.col("_t")).alias("terms"))
 
 
 def tfidf_long(counts: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     return (
         tfidf_arrays(counts, vocab, id_col)
-        .select(id_col, F.explode("terms").alias("_e")).select(id_col, "_e.term_id", "_e.weight")
+        .select(id_col, F.explode_outer("terms").alias("_e")).select(id_col, "_e.term_id", "_e.weight")
     )
 
 

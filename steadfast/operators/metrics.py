@@ -48,7 +48,7 @@ def score_bounds(
     )
     if not bounds.where(F.col("_rows") > rows_per_bucket).limit(1).count():
         return None
-    return bounds.select("_one", *group, "_cuts")
+    return bounds.select("_one", *group, "_cuts", F.array_distinct("_cuts").alias("_edges"))
 
 
 def bucketed(rows: DataFrame, group: Sequence[str], bounds: DataFrame | None) -> DataFrame:
@@ -56,8 +56,8 @@ def bucketed(rows: DataFrame, group: Sequence[str], bounds: DataFrame | None) ->
     tagged = rows.withColumn("_one", F.lit(0))
     if bounds is None:
         return tagged.withColumn("_bucket", F.lit(0))
-    below = F.size(F.filter(F.array_distinct("_cuts"), lambda b: b < F.col("score")))
-    return tagged.join(bounds, ["_one", *group]).withColumn("_bucket", below).drop("_cuts")
+    below = F.size(F.filter("_edges", lambda b: b < F.col("score")))
+    return tagged.join(bounds, ["_one", *group]).withColumn("_bucket", below).drop("_cuts", "_edges")
 
 
 def _running(hist: DataFrame, keys: Sequence[str], value: str, single: bool, upward: bool, names):

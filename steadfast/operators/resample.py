@@ -212,12 +212,12 @@ def bootstrap_cis(
     else:
         repeats = F.size(F.filter("_cuts", lambda b: b == F.col("score")))
         rows = rows.join(bounds, keys).withColumns({
-            "_bucket": F.size(F.filter(F.array_distinct("_cuts"), lambda b: b < F.col("score"))),
+            "_bucket": F.size(F.filter("_edges", lambda b: b < F.col("score"))),
             "_repeats": repeats,
         }).withColumns({
             "_heavy": F.col("_repeats") >= 2,
             "_salt": F.when(F.col("_repeats") >= 2, F.col("_h1") % F.col("_repeats")).otherwise(0).cast("int"),
-        }).drop("_cuts", "_repeats")
+        }).drop("_cuts", "_edges", "_repeats")
 
     import numpy as np
 

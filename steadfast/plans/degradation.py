@@ -14,11 +14,14 @@ from steadfast.functions import text as X
 from steadfast.operators import metrics as M
 from steadfast.operators import rewrites as R
 from steadfast.operators.resample import bootstrap_cis
+from steadfast.operators.support import pinned
 from steadfast.schemas import severity_key
 
 
 def restrict(positives: DataFrame, ids: DataFrame, keys: Sequence[str] = ("row_id",)) -> DataFrame:
-    return positives.join(ids, list(keys), "left_semi")
+    """Scores of the ids in scope, pinned: they are narrow and every metric reads them, and
+    the ids behind them may come from judging whole texts."""
+    return pinned(positives.join(ids, list(keys), "left_semi"))
 
 
 def clean_baseline(positives: DataFrame, negatives: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:
@@ -55,7 +58,7 @@ def sensitivity_curve(
     pairs = valid_pairs.select("row_id", severity_key(F.col("severity")).alias("_sev"))
     clean = keyed.where(F.col("_sev") == 0).join(ids, "row_id", "left_semi")
     moved = keyed.where(F.col("_sev") > 0).join(pairs, ["row_id", "_sev"], "left_semi")
-    scope = clean.unionByName(moved).drop("_sev")
+    scope = pinned(clean.unionByName(moved).drop("_sev"))
     return scored_curve("per_severity_pass", scope, negatives, group, n_boot, **options)
 
 
