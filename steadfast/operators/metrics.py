@@ -153,7 +153,8 @@ def detection_metrics(
     ranks = ranking_metrics(positives, negatives, group, cell, rows_per_bucket)
     points = confusion_metrics(positives, negatives, group, cell, threshold)
     keys = [*group, *cell]
-    return points.join(ranks, keys, "left").select(
+    one = F.lit(0)  # keeps the join key list non-empty when there are no groups
+    return points.withColumn("_one", one).join(ranks.withColumn("_one", one), ["_one", *keys], "left").select(
         *keys, "n_phish", "roc_auc", "pr_auc", "f1", "precision", "recall"
     )
 
