@@ -17,22 +17,20 @@ def enrichment_estimate(
     """One row per priced model. `prices`: model, in_price, out_price per million tokens."""
     calls_per_row = len(instruction_tokens)
     avg_instruction = sum(instruction_tokens) / calls_per_row
-    volume = df.agg(
-        F.count("*").alias("n_rows"),
-        F.coalesce(F.avg(approx_tokens(F.col("text"))), F.lit(0.0)).alias("avg_tokens"),
-    ).withColumn("_one", F.lit(0))
-    calls = F.col("n_rows") * calls_per_row
+    row = df.agg(F.count("*").alias("n"), F.avg(approx_tokens(F.col("text"))).alias("t")).first()
+    n_calls, tokens = row["n"] * calls_per_row, float(row["t"] or 0.0)
     if use_cache:  # first call writes the shared prefix, later calls read it
-        shared = F.lit(system_tokens * 1.25) + (calls - 1) * F.lit(system_tokens * 0.1)
+        shared = system_tokens * 1.25 + (n_calls - 1) * (system_tokens * 0.1)
     else:
-        shared = calls * F.lit(float(system_tokens))
-    avg_out = F.least(F.lit(float(max_output)), F.greatest(F.lit(float(min_output)), F.col("avg_tokens")))
-    joined = prices.withColumn("_one", F.lit(0)).join(F.broadcast(volume), "_one")  # one row
-    return joined.select(
-        "model", "n_rows", calls.alias("n_calls"), "avg_tokens", avg_out.alias("avg_out"),
-        (calls * (F.lit(avg_instruction) + F.col("avg_tokens")) + shared).alias("input_tokens"),
-        (calls * avg_out).alias("output_tokens"), "in_price", "out_price",
-    ).select(
+        shared = n_calls * float(system_tokens)
+    avg_out = min(float(max_output), max(float(min_output), tokens))
+    priced = prices.select(
+        "model", F.lit(row["n"]).cast("long").alias("n_rows"), F.lit(n_calls).cast("long").alias("n_calls"),
+        F.lit(tokens).alias("avg_tokens"),
+        F.lit(n_calls * (avg_instruction + tokens) + shared).alias("input_tokens"),
+        F.lit(n_calls * avg_out).alias("output_tokens"), "in_price", "out_price",
+    )
+    return priced.select(
         "model", "n_rows", "n_calls", "avg_tokens", "input_tokens", "output_tokens",
         ((F.col("input_tokens") / 1e6 * F.col("in_price") + F.col("output_tokens") / 1e6 * F.col("out_price"))
          * F.lit(batch_factor)).alias("cost"),

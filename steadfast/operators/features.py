@@ -128,7 +128,7 @@ def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
 def linear_score(weights: DataFrame, coefficients: DataFrame, id_col: str, intercept: float = 0.0) -> DataFrame:
     """Sigmoid of a sparse dot product; `coefficients` holds one row per vocabulary term."""
     z = (
-        weights.join(F.broadcast(coefficients), "term_id")
+        weights.join(small_side(coefficients), "term_id")
         .groupBy(id_col).agg((F.sum(F.col("weight") * F.col("coefficient")) + intercept).alias("z"))
     )
     return z.select(id_col, (1.0 / (1.0 + F.exp(-F.col("z")))).alias("score"))

@@ -42,7 +42,7 @@ def score_bounds(
     points = [i / quantiles for i in range(1, quantiles)]
     bounds = small_side(
         rows.withColumn("_one", F.lit(0)).groupBy("_one", *group).agg(
-            F.count("*").alias("_rows"), F.percentile_approx("score", points).alias("_cuts")
+            F.count("*").alias("_rows"), F.percentile_approx("score", points, 4 * quantiles).alias("_cuts")
         ),
         max_rows=20_000,
     )
@@ -187,11 +187,12 @@ def fpr_threshold(
 def recall_at_fpr(
     positives: DataFrame, thresholds: DataFrame, group: Sequence[str], cell: Sequence[str] = ()
 ) -> DataFrame:
-    """Share of positives at or above their group's threshold (one row per group)."""
+    """Share of positives at or above their group's threshold. `thresholds` has one row per
+    group; pass it through `small_side` so that the join does not shuffle the scores."""
     side = thresholds.withColumn("_one", F.lit(0))
     hit = F.when(F.col("score") >= F.col("fpr_threshold"), 1.0).otherwise(0.0)
     return (
-        positives.withColumn("_one", F.lit(0)).join(F.broadcast(side), ["_one", *group])
+        positives.withColumn("_one", F.lit(0)).join(side, ["_one", *group])
         .groupBy(*group, *cell)
         .agg(F.avg(hit).alias("recall_fpr"), F.first("fpr_threshold").alias("fpr_threshold"))
     )

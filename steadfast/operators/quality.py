@@ -30,19 +30,18 @@ def label_invariants(df: DataFrame, max_ratio: float = 3.0) -> DataFrame:
         F.sum("n").alias("n"), F.sum("bad_label").alias("bad_label"), F.sum("pos").alias("pos"),
         F.sum("neg").alias("neg"), F.sum("bad_split").alias("bad_split"),
         F.count_if(F.col("lo") != F.col("hi")).alias("mixed"),
-    ).withColumn("_one", F.lit(0))
+    )
     repeated = (
         df.groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") > 1)
-        .agg(F.count("*").alias("repeated")).withColumn("_one", F.lit(0))
+        .agg(F.count("*").alias("repeated"))
     )
-    row = totals.join(F.broadcast(repeated), "_one")  # one row each
-    return as_checks(row, [
+    unique = as_checks(repeated, [("ids_unique", F.col("repeated") == 0, F.col("repeated"))])
+    return as_checks(totals, [
         ("labels_binary", F.col("bad_label") == 0, F.col("bad_label")),
         ("one_label_per_source", F.col("mixed") == 0, F.col("mixed")),
         ("negatives_outnumber", F.col("neg") > F.col("pos") * max_ratio, F.concat_ws(":", F.col("pos"), F.col("neg"))),
-        ("ids_unique", F.col("repeated") == 0, F.col("repeated")),
         ("split_values", F.col("bad_split") == 0, F.col("bad_split")),
-    ])
+    ]).unionByName(unique)
 
 
 def leakage_check(df: DataFrame, key: str) -> DataFrame:

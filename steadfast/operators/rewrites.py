@@ -9,6 +9,8 @@ from steadfast import lexicons as L
 from steadfast.functions import hashing as H
 from steadfast.functions import text as X
 from steadfast.functions import urls as U
+from steadfast.operators.sampling import seeded_sample
+from steadfast.operators.support import pinned, small_side
 from steadfast.schemas import severity_key
 
 
@@ -183,18 +185,19 @@ def augment_training(
 
 def spotcheck_pairs(df: DataFrame, n_pass: int = 30, n_fail: int = 10, seed=L.SEED, clip: int = 4000) -> DataFrame:
     """Seeded PASS and FAIL pairs with both texts (missing originals give '')."""
-    from steadfast.operators.sampling import seeded_sample
-
     failed = ~F.coalesce(F.col("retained_urls"), F.lit(True)) & ~F.coalesce(F.col("refused"), F.lit(False))
-    judged = df.withColumn(
-        "verdict", F.when(is_valid(), "PASS").when(failed, "FAIL")
-    ).where(F.col("verdict").isNotNull())
-    keyed = judged.withColumn("_pair", F.concat_ws("|", *_pair_key(df)))
-    picked = [
-        seeded_sample(keyed.where(F.col("verdict") == name), "_pair", n, seed=seed)
+    keyed = df.withColumns({
+        "verdict": F.when(is_valid(), "PASS").when(failed, "FAIL"),
+        "_pair": F.concat_ws("|", *_pair_key(df)),
+    })
+    # Sampling reads its input several times: give it pinned keys, not texts.
+    keys = pinned(keyed.where(F.col("verdict").isNotNull()).select("_pair", "verdict"))
+    passed, not_passed = (
+        seeded_sample(keys.where(F.col("verdict") == name), "_pair", n, seed=seed)
         for name, n in (("PASS", n_pass), ("FAIL", n_fail))
-    ]
-    return picked[0].unionByName(picked[1]).select(
+    )
+    chosen = small_side(passed.unionByName(not_passed).select("_pair"))
+    return keyed.join(chosen, "_pair", "left_semi").select(
         "verdict", "original_id", "severity", "n_orig_urls",
         F.array_join("missing_urls", "; ").alias("missing_urls"), "refused",
         X.clip(F.col("original_text"), clip).alias("original_text"),

@@ -64,12 +64,17 @@ def hash_cut(
 
 
 def _inside(df: DataFrame, id_col: str, cut: DataFrame, strata, seed, how: str) -> tuple:
-    joined = df.withColumn("_one", F.lit(0)).join(cut, ["_one", *strata], how)
-    digest = H.digest(seed, F.col(id_col))
-    inside = (digest < F.col("_cut_digest")) | (
-        (digest == F.col("_cut_digest")) & (F.col(id_col).cast("string") <= F.col("_cut_id"))
-    )
-    return joined, F.coalesce(inside, F.lit(False))
+    """(rows, condition) telling which rows fall before their stratum's cut."""
+    digest, row_id = H.digest(seed, F.col(id_col)), F.col(id_col).cast("string")
+    if strata:
+        rows = df.withColumn("_one", F.lit(0)).join(cut, ["_one", *strata], how)
+        last_digest, last_id = F.col("_cut_digest"), F.col("_cut_id")
+    else:  # one cut: two constants, no join
+        row = cut.first()
+        rows = df
+        last_digest, last_id = (F.lit(v).cast("string") for v in ((row[1], row[2]) if row else (None, None)))
+    inside = (digest < last_digest) | ((digest == last_digest) & (row_id <= last_id))
+    return rows, F.coalesce(inside, F.lit(False))
 
 
 def seeded_sample(

@@ -7,6 +7,7 @@ from steadfast import lexicons as L
 from steadfast.functions import text as X
 from steadfast.operators import cleaning as C
 from steadfast.operators.sampling import stratified_split
+from steadfast.operators.support import pinned
 from steadfast.schemas import EMAIL_COLUMNS
 
 
@@ -14,11 +15,22 @@ def build_corpus(
     parsed: DataFrame, test_fraction: float = L.TEST_FRACTION, seed=L.SEED,
 ) -> DataFrame:
     """From parsed messages carrying source, source_rank and label. Sources are ranked: of
-    exact copies the lowest (rank, id) stays, whatever its label."""
+    exact copies the lowest (rank, id) stays, whatever its label.
+
+    Copies, split and counts are settled on narrow rows, written once; the texts are then
+    read a second time and shuffled a single time, on their own unique ids.
+    """
+    order = ["source_rank", "original_id"]
     rows = C.with_dedup_key(C.drop_low_content(C.unify(parsed)))
-    kept = C.dedup_first(rows)
-    named = kept.withColumn("id", stable_id())
-    return stratified_split(named, "original_id", "label", test_fraction, seed).select(*EMAIL_COLUMNS)
+    first = pinned(
+        C.first_copies(rows.select("dedup_key", *order, "label"), "dedup_key", order, ["label"])
+        .select(*order, "label")
+    )
+    split = stratified_split(first, "original_id", "label", test_fraction, seed)
+    return (
+        rows.drop("split").join(split.select(*order, "split"), order)
+        .withColumn("id", stable_id()).select(*EMAIL_COLUMNS)
+    )
 
 
 def stable_id():

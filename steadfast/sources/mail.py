@@ -35,8 +35,9 @@ def read_directory(spark: SparkSession, path: str, prefix: str) -> DataFrame:
 
 def read_archives(spark: SparkSession, paths: list[str], prefix: str) -> DataFrame:
     """(original_id, raw) per member of tar archives, id prefix:archive:member. A compressed
-    archive cannot be split, so each is one task; members stream out in small batches."""
-    files = spark.read.format("binaryFile").load(paths).repartition(len(paths), "path")
+    archive cannot be split, so it stays in the task that read it; members stream out in
+    small batches. Corpora of any size come as many archives."""
+    files = spark.read.format("binaryFile").load(paths)
 
     def members(batches):
         import io
