@@ -905,6 +905,30 @@ def significant_cells(spark, sf):
     return P.significant_cells(significance.paired_tests(_pos(spark, sf, False), _ids(spark, sf)), ["condition"])
 
 
+MIT_PAIRS = PAIRS.replace("condition, model", "condition, training, model")
+MIT_MCN = MCN.replace("condition, model", "condition, training, model")
+MIT_POS = f"SELECT * FROM pos_v WHERE generator = 'g1' AND row_id IN {G1}"
+MIT_CELL = ["condition", "training", "model"]
+
+
+def _mitigation_tests(spark, sf):
+    pos = fx.positives(spark, sf).where(F.col("generator") == "g1")
+    return significance.paired_tests(pos, _ids(spark, sf), MIT_CELL)
+
+
+@query("mitigation_significance", q("rewrites_v pos_v", """SELECT condition, training, model, n, round(det_sev0, 6) AS det_sev0, round(det_sev1, 6) AS det_sev1,
+  round(effect_drop, 6) AS effect_drop, b AS mcnemar_b_lost, c AS mcnemar_c_gained, round(p, 6) AS mcnemar_exact_p FROM mp""",
+  inter=INTER, pos=MIT_POS, pairs=MIT_PAIRS, mcn=MIT_MCN, mp=MCN_P))
+def mitigation_significance(spark, sf):
+    return rounded(_mitigation_tests(spark, sf), "det_sev0", "det_sev1", "effect_drop", "mcnemar_exact_p")
+
+
+@query("significant_by_training", q("rewrites_v pos_v", "SELECT training, count(*) AS cells, count(*) FILTER (WHERE p < 0.05) AS significant FROM mp GROUP BY ALL",
+  inter=INTER, pos=MIT_POS, pairs=MIT_PAIRS, mcn=MIT_MCN, mp=MCN_P))
+def significant_by_training(spark, sf):
+    return P.significant_cells(_mitigation_tests(spark, sf))
+
+
 def _outcomes(spark, sf):
     return P.paired_outcomes(degradation.restrict(_pos(spark, sf, False), _ids(spark, sf)), CELL)
 
