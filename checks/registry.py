@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.views import (
-    GREEDY, HOST, REFUSED, digest, h, missing, q, strength, strip, urls,
+    GREEDY, REFUSED, digest, h, missing, q, strength, strip, urls,
 )
 from steadfast import lexicons as L
 from steadfast.functions import hashing as H
@@ -135,7 +135,7 @@ def last_write_wins(spark, sf):
   FROM last_v GROUP BY ALL"""))
 def multi_generator_union(spark, sf):
     log = fx.rewrite_log(spark, sf)
-    last = R.latest_rewrites(log, ["original_id", "severity", "generator"], ["pos"]).persist()
+    last = R.latest_rewrites(log, ["original_id", "severity", "generator"], ["pos"])
     parts = {g: last.where(F.col("generator") == g).drop("generator") for g in fx.GENERATORS}
     both = R.union_generators({**parts, "absent": None})
     return both.groupBy("generator", "severity").agg(

@@ -34,7 +34,3 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
         fixed = df.sparkSession.createDataFrame(head, schema=df.schema)
         return F.broadcast(fixed)
     return pinned(df)
-
-
-def with_all(df: DataFrame, **columns) -> DataFrame:
-    return df.withColumns(columns)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from steadfast import lexicons as L
 from steadfast.functions import text as X
 from steadfast.operators import rewrites as R
-from steadfast.operators.support import small_side
 
 DEFINITIONS = {"strict": "retained_urls", "primary": "retained_primary"}
 

@@ -7,7 +7,7 @@ batches; reading, splitting, numbering and everything after parsing is Spark.
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steadfast import lexicons as L
@@ -62,39 +62,42 @@ def read_archives(spark: SparkSession, paths: list[str], prefix: str) -> DataFra
     return files.select("path", "content").mapInPandas(members, RAW_MESSAGE)
 
 
-def with_file_position(df: DataFrame, name: str = "index") -> DataFrame:
+def with_file_position(df: DataFrame, name: str = "index", preamble: Column | None = None) -> DataFrame:
     """Zero-based position of each row in its file. Rows are numbered inside one split of
-    the file; the counts of earlier splits are added, so a huge file is never one task."""
+    the file; the counts of earlier splits are added, so a huge file is never one task.
+    Where `preamble` holds for a file's first row, that row is dropped and not counted."""
     tagged = df.withColumns({
         "_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
         "_seq": F.monotonically_increasing_id(),
     })
-    in_split = Window.partitionBy("_file", "_block")
-    splits = df.groupBy(
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
-    ).agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("_file", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    numbered = tagged.withColumn("_local", F.row_number().over(in_split.orderBy("_seq")))
-    return numbered.join(offsets, ["_file", "_block"]).select(
-        *df.columns, F.col("_file"), (F.col("_before") + F.col("_local") - 1).alias(name)
+    skip = F.lit(0) if preamble is None else F.when(preamble, 1).otherwise(0)
+    splits = tagged.groupBy("_file", "_block").agg(
+        F.count("*").alias("_n"), F.min_by(skip, F.col("_seq")).alias("_skip")
+    )
+    by_block = Window.partitionBy("_file").orderBy("_block")
+    earlier = F.sum("_n").over(by_block.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select(
+        "_file", "_block",
+        (F.coalesce(earlier, F.lit(0)) - F.first("_skip").over(by_block)).alias("_before"),
     )
+    in_split = Window.partitionBy("_file", "_block").orderBy("_seq")
+    numbered = tagged.withColumn("_local", F.row_number().over(in_split))
+    position = F.col("_before") + F.col("_local") - 1
+    return numbered.join(offsets, ["_file", "_block"]).select(
+        *df.columns, F.col("_file"), position.alias(name)
+    ).where(F.col(name) >= 0)
 
 
 def read_mailboxes(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     """(original_id, raw) per message, id prefix:file:index. Splits at lines that begin
     with 'From '; text before the first such line is not a message."""
     chunks = spark.read.option("lineSep", "\nFrom ").text(path)
-    numbered = with_file_position(chunks)
-    opening = F.col("index") == 0
-    headed = F.startswith("value", F.lit("From "))
-    files = numbered.where(opening).select("_file", F.when(headed, 0).otherwise(1).alias("_shift"))
-    kept = numbered.join(files, "_file").where((F.col("index") >= F.col("_shift")))
+    kept = with_file_position(chunks, preamble=~F.startswith("value", F.lit("From ")))
     name = F.element_at(F.split("_file", "/"), -1)
     cut = F.instr("value", "\n")
     body = F.when(cut > 0, F.substr("value", cut + 1)).otherwise(F.lit(""))
     return kept.select(
-        F.concat_ws(":", F.lit(prefix), name, (F.col("index") - F.col("_shift")).cast("string")).alias("original_id"),
+        F.concat_ws(":", F.lit(prefix), name, F.col("index").cast("string")).alias("original_id"),
         body.cast("binary").alias("raw"),
     )
 
