@@ -16,7 +16,7 @@ from steadfast import lexicons as L
 from steadfast.operators.support import small_side
 
 ROWS_PER_BUCKET = 1_000_000
-QUANTILES = 512
+MOST_CUTS = 4096
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -32,23 +32,23 @@ def split_classes(scores: DataFrame, keys: Sequence[str], label: str = "label",
 
 def score_bounds(
     frames: Sequence[DataFrame], group: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET,
-    quantiles: int = QUANTILES,
 ) -> DataFrame | None:
     """Approximate quantiles of all scores per group, evaluated once so that every later
-    step cuts at the same places. None when no group is big enough to need buckets."""
+    step cuts at the same places; their number grows with the biggest group. None when no
+    group is big enough to need buckets. Where the cuts fall changes no result."""
     rows = frames[0].select(*group, "score")
     for frame in frames[1:]:
         rows = rows.unionByName(frame.select(*group, "score"))
-    points = [i / quantiles for i in range(1, quantiles)]
-    bounds = small_side(
-        rows.withColumn("_one", F.lit(0)).groupBy("_one", *group).agg(
-            F.count("*").alias("_rows"), F.percentile_approx("score", points, 4 * quantiles).alias("_cuts")
-        ),
-        max_rows=20_000,
-    )
-    if not bounds.where(F.col("_rows") > rows_per_bucket).limit(1).count():
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("_rows"))
+    biggest = sizes.agg(F.max("_rows")).first()[0] or 0
+    if biggest <= rows_per_bucket:
         return None
-    return bounds.select("_one", *group, "_cuts", F.array_distinct("_cuts").alias("_edges"))
+    n = min(MOST_CUTS, max(16, 2 * biggest // rows_per_bucket))
+    points = [i / n for i in range(1, n)]
+    bounds = rows.withColumn("_one", F.lit(0)).groupBy("_one", *group).agg(
+        F.percentile_approx("score", points, 4 * n).alias("_cuts")
+    )
+    return small_side(bounds.withColumn("_edges", F.array_distinct("_cuts")), max_rows=20_000)
 
 
 def bucketed(rows: DataFrame, group: Sequence[str], bounds: DataFrame | None) -> DataFrame:
