@@ -1,10 +1,9 @@
 """The registered queries of these operators: QUERIES[name] = (spark callable, sql or None)."""
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
-from steadfast.llm import bpe, packing
-from steadfast.llm.common import fold, table
+from steadfast.llm import bpe, fingerprints, langid, packing, quality
+from steadfast.llm.common import table
 
 QUERIES = {}
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,6 +15,21 @@ def query(fn):
     return fn
 
 
+@query
+def op1_fingerprints(spark, sf):
+    return fingerprints.with_neighbour(table(spark, sf, "documents"))
+
+
+@query
+def op2_quality(spark, sf):
+    return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op4_langid(spark, sf):
+    return langid.identify(table(spark, sf, "documents"))
+
+
 @query
 def op6_bpe(spark, sf):
     return bpe.encode(table(spark, sf, "documents"), MULTI_RANKS, digests=True)
