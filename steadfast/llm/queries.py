@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from steadfast.llm import bpe, fingerprints, langid, packing, quality
+from steadfast.llm import bpe, fingerprints, langid, neardup, packing, quality
 from steadfast.llm.common import table
 
 QUERIES = {}
@@ -30,6 +30,11 @@ def op4_langid(spark, sf):
     return langid.identify(table(spark, sf, "documents"))
 
 
+@query
+def op5_neardup(spark, sf):
+    return neardup.groups(table(spark, sf, "documents"), similarity_pct=85)
+
+
 @query
 def op6_bpe(spark, sf):
     return bpe.encode(table(spark, sf, "documents"), MULTI_RANKS, digests=True)
