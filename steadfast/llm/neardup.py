@@ -8,10 +8,13 @@ at most; so each chunk is indexed once for each symbol left out, and every pair
 shares an index entry. `chunks_for` takes so many chunks that a pair of the required similarity has
 a shared entry but for one pair in a million; in fact more do, as far pairs often share one too.
 
-Pairs are not listed within an entry. First each class is held against the smallest class of the
-entry only, on full sets. What is linked so needs no more comparison among itself: in entries whose
-other members are still in different components, the pairs across components are compared, those
-whose signatures are too far apart excepted. Components of all confirmed links give the groups.
+Pairs are not listed within an entry. First each class is held against the entry's centre only, on
+full sets: the class that shares most entries with others. What is linked so needs no more
+comparison among itself. In entries whose other members are still in different components, pairs
+across components are compared, but for those that can't be links: a shingle that only one class
+has is in no intersection, which bounds a pair's similarity from the counts of such shingles alone,
+and signatures further apart than `furthest` are left out. Components of all confirmed links give
+the groups.
 
 Null, empty and blank texts have an empty set and stand alone. Rows with equal sets are one class,
 so copies and repeated rows cost a row each. Only doc_id and text are read.
@@ -157,6 +160,27 @@ def texts_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return saved(rows.mapInArrow(own, "node long, text string").dropDuplicates(["node"]), "texts")
 
 
+def _across(rows: DataFrame) -> DataFrame:
+    """Rows of entries whose members are in different components."""
+    mixed = (rows.groupBy("entry").agg(F.min("root").alias("lowest"), F.max("root").alias("highest"))
+             .where("lowest != highest").select("entry"))
+    return rows.join(mixed, "entry")
+
+
+def own_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of a class no other class of `rows` has."""
+    def run(batches):
+        for batch in batches:
+            made = [shingles(t) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([pa.array(np.repeat(batch.column("node").to_numpy(), [len(h) for h in made])),
+                                   pa.array(np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64))],
+                                  names=["node", "shingle"])
+
+    spread = texts.join(rows.select("node").distinct(), "node").select("node", "text").mapInArrow(run, "node long, shingle long")
+    return (spread.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+            .where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("own")))
+
+
 def groups(docs: DataFrame, similarity_pct: int = 80) -> DataFrame:
     """Per row: doc_id, the size of its set, the smallest doc_id of its group and whether that is
     its own."""
@@ -167,31 +191,42 @@ def groups(docs: DataFrame, similarity_pct: int = 80) -> DataFrame:
     classes = saved(rows.where("node is not null").groupBy("node")
                     .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     index = entries(classes, chunks)
-    hubs = (index.groupBy("entry").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members"))
-            .where("members > 1"))
-    shared = saved(index.join(hubs, "entry").where("node != hub"), "shared")
-
-    # each class against the smallest one of its entries
-    first = saved(shared.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).count().select("a", "b"), "pairs")
-    links = saved(confirmed(first, texts_for(first, classes, docs), similarity_pct), "links")
+    several = index.groupBy("entry").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = saved(index.join(several, "entry"), "shared")
+
+    # each class against the centre of its entries: the class that shares most
+    reach = shared.groupBy("node").agg(F.sum("members").alias("reach"))
+    centres = (shared.join(reach, "node").groupBy("entry").agg(F.max(F.struct("reach", "node")).alias("most"))
+               .select("entry", F.col("most.node").alias("centre")))
+    centred = saved(shared.join(centres, "entry"), "centred")
+    first = saved(centred.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    texts = texts_for(first, classes, docs)
+    links = saved(confirmed(first, texts, similarity_pct), "links")
     roots = components(links)
 
-    # what entries have left: pairs across components
-    placed = (shared.where("members > 2").join(roots, "node", "left")
+    # what entries have left: pairs across components, but for those that can't be similar enough
+    placed = (centred.where("members > 2 and node != centre").select("entry", "node").join(roots, "node", "left")
               .select("entry", "node", F.coalesce("root", "node").alias("root")))
-    open_entries = placed.groupBy("entry").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).where("lowest != highest")
-    left = placed.join(open_entries.select("entry"), "entry").join(classes.select("node", "n", "sig"), "node")
-    side = lambda s: left.select("entry", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "sig")))
+    open_rows = saved(_across(placed), "open")
+    own = own_shingles(open_rows, texts)
+    sized = (open_rows.join(classes.select("node", "n", "sig"), "node").join(own, "node", "left")
+             .withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"))
+    least = sized.groupBy("entry").agg(F.min("n").alias("least"))
+    hopeful = (sized.join(least, "entry").where(100 * F.col("common") >= similarity_pct * (F.col("n") - F.col("common") + F.col("least")))
+               .drop("least"))
+    left = saved(_across(hopeful), "left")
+    side = lambda s: left.select("entry", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "common", "sig")))
     far = sum((F.bit_count(F.col("sig_a")[i].bitwiseXOR(F.col("sig_b")[i])) for i in range(1, symbols // 4)),
               F.bit_count(F.col("sig_a")[0].bitwiseXOR(F.col("sig_b")[0])))
+    both = F.least("common_a", "common_b")
     across = (side("a").join(side("b"), "entry")
               .where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-                     & (100 * F.least("n_a", "n_b") >= similarity_pct * F.greatest("n_a", "n_b"))
+                     & (100 * both >= similarity_pct * (F.col("n_a") + F.col("n_b") - both))
                      & (far <= furthest(similarity, symbols))))
-    second = (across.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).count().select("a", "b")
-              .join(first, ["a", "b"], "left_anti"))
+    second = (across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+              .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     second = saved(second, "pairs")
-    more = saved(confirmed(second, texts_for(second, classes, docs), similarity_pct), "links")
+    more = saved(confirmed(second, texts, similarity_pct), "links")
     if more.take(1):
         roots = components(links.unionByName(more))
 

@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from steadfast.llm import bpe, fingerprints, langid, neardup, packing, quality
+from steadfast.llm import bpe, fingerprints, langid, neardup, packing, pii, quality
 from steadfast.llm.common import table
 
 QUERIES = {}
@@ -43,3 +43,8 @@ def op6_bpe(spark, sf):
 @query
 def op7_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), RANKS)
+
+
+@query
+def op10_pii(spark, sf):
+    return pii.report(table(spark, sf, "documents"))
