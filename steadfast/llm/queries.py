@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from steadfast.llm import bpe, fingerprints, langid, neardup, packing, pii, quality
+from steadfast.llm import bpe, fingerprints, langid, lm, neardup, packing, pii, quality
 from steadfast.llm.common import table
 
 QUERIES = {}
@@ -25,6 +25,11 @@ def op2_quality(spark, sf):
     return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op3_lm(spark, sf):
+    return lm.score(table(spark, sf, "documents"))
+
+
 @query
 def op4_langid(spark, sf):
     return langid.identify(table(spark, sf, "documents"))
