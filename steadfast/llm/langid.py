@@ -14,6 +14,7 @@ Repeated rows give a row each. Only doc_id, text and, for learning, lang are rea
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,6 @@ SMOOTHING = 0.05
 STEPS = 12
 PENALTY = 4.0
 NONE = "und"
-PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, languages string"
 
 
 @lru_cache(maxsize=1)
@@ -99,31 +99,29 @@ def mixture(slots: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, list[int]
     return share, [chosen[i] for i in np.argsort(-weights, kind="stable")]
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], held_out) -> DataFrame:
-    """Per document: its language, that language's share and the set that was selected."""
+def _predicted(text: str | None, langs: list[str], table: np.ndarray) -> tuple[str, float, str]:
+    slots = grams(text) if text else np.zeros(0, np.int64)
+    if not langs or not len(slots):
+        return NONE, 0.0, ""
+    share, chosen = mixture(slots, table)
+    return langs[chosen[0]], min(1.0, float(share[chosen[0]])), ",".join(langs[i] for i in chosen)
+
+
+def predicted(spark, model: tuple[list[str], np.ndarray]):
+    """A column function from text to struct (lang_pred, score, languages)."""
     langs, table = model
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # SLOTS numbers a language
-
-    def run(batches):
-        for batch in batches:
-            table, names, scores, sets = shared.value, [], [], []
-            for text in batch.column("text").to_pylist():
-                slots = grams(text) if text else np.zeros(0, np.int64)
-                if not langs or not len(slots):
-                    names.append(NONE), scores.append(0.0), sets.append("")
-                    continue
-                share, chosen = mixture(slots, table)
-                names.append(langs[chosen[0]])
-                scores.append(min(1.0, float(share[chosen[0]])))
-                sets.append(",".join(langs[i] for i in chosen))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()),
-                                   pa.array(scores, pa.float64()), pa.array(sets, pa.string())],
-                                  names=["doc_id", "held_out", "lang_pred", "score", "languages"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(run, PREDICTED)
+    shared = spark.sparkContext.broadcast(table)  # SLOTS numbers a language
+
+    def run(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_predicted(t, langs, shared.value) for t in text], columns=["lang_pred", "score", "languages"])
+
+    return F.pandas_udf(run, "lang_pred string, score double, languages string")
 
 
 def identify(docs: DataFrame, modulus: int = 4, out: int = 2) -> DataFrame:
-    """Learn from the documents outside the held-out fold, predict all."""
+    """Per document: its language, that language's share and the set that was selected. Learns
+    from the documents outside the held-out fold, predicts all."""
     held_out = fold(modulus) == out
-    return predict(docs, learn(docs.where(~held_out)), held_out)
+    found = predicted(docs.sparkSession, learn(docs.where(~held_out)))
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), found("text").alias("found"))
+            .select("doc_id", "held_out", "found.*"))

@@ -16,6 +16,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,23 +101,25 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def pooled_vector(text: str | None, known: Words, table: np.ndarray) -> np.ndarray:
+    """Mean and spread of a text's word vectors."""
+    found, times = np.unique(places(text or "", known), return_counts=True)
+    if not len(found):
+        return np.zeros(2 * WIDTH, "<f4")
+    own, share = table[found], (times / times.sum()).astype(np.float32)
+    mean = share @ own
+    spread = np.sqrt(np.maximum(share @ (own * own) - mean * mean, 0))
+    return np.concatenate([mean, spread]).astype("<f4")
+
+
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """Per document: mean and spread of its words' vectors, as 32-bit floats."""
+    """Per document: its pooled vector, as 32-bit floats."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # SLOTS x WIDTH numbers
 
     def run(batches):
-        known, table = Words(), shared.value
+        known = Words()
         for batch in batches:
-            rows = []
-            for text in texts_of(batch):
-                found, times = np.unique(places(text, known), return_counts=True)
-                if not len(found):
-                    rows.append(np.zeros(2 * WIDTH, "<f4").tobytes())
-                    continue
-                own, share = table[found], (times / times.sum()).astype(np.float32)
-                mean = share @ own
-                spread = np.sqrt(np.maximum(share @ (own * own) - mean * mean, 0))
-                rows.append(np.concatenate([mean, spread]).astype("<f4").tobytes())
+            rows = [pooled_vector(t, known, shared.value).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "pooled"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, pooled binary")
@@ -172,6 +175,12 @@ def learn(vectors: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict |
     return fit(x, (rows.column("quality").to_numpy() > 0.5).astype(float))
 
 
+def probability(x: np.ndarray, net: dict | None) -> np.ndarray:
+    if net is None:
+        return np.full(len(x), 0.5)
+    return 1 / (1 + np.exp(-np.clip(logits(x, net) / net["temperature"], -40, 40)))
+
+
 def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, whether it is held out, its probability of good quality, and the
     decision. Labels count only for documents whose id's checksum isn't divisible by `modulus`."""
@@ -181,7 +190,7 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: int = SA
     def run(batches):
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column("pooled").to_pylist()), "<f4").reshape(batch.num_rows, -1)
-            p = 1 / (1 + np.exp(-np.clip(logits(x, net) / net["temperature"], -40, 40))) if net else np.full(len(x), 0.5)
+            p = probability(x, net)
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(p, pa.float64()),
                                    pa.array((p >= THRESHOLD).astype(np.int32))],
                                   names=["doc_id", "held_out", "score", "predicted"])
@@ -189,3 +198,17 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: int = SA
     held_out = (fold(modulus) == 0).alias("held_out")
     return vectors.select("doc_id", held_out, "pooled").mapInArrow(
         run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def scorer(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+    """A column function from text to the probability of good quality, learned from all labels."""
+    vectors = word_vectors(docs)
+    net = learn(pooled(docs, vectors), labels, sample)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(text: pd.Series) -> pd.Series:
+        known = Words()
+        x = np.stack([pooled_vector(t, known, shared.value) for t in text]) if len(text) else np.zeros((0, 2 * WIDTH))
+        return pd.Series(probability(x, net))
+
+    return F.pandas_udf(run, "double")

@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from steadfast.llm import bpe, fingerprints, langid, lm, neardup, packing, pii, quality
+from steadfast.llm import bpe, fingerprints, langid, lm, neardup, packing, pii, quality, shards, topk
 from steadfast.llm.common import table
 
 QUERIES = {}
@@ -50,6 +50,16 @@ def op7_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), RANKS)
 
 
+@query
+def op8_topk(spark, sf):
+    return topk.nearest(table(spark, sf, "embeddings"))
+
+
+@query
+def op9_shards(spark, sf):
+    return shards.materialised(table(spark, sf, "documents"), RANKS)
+
+
 @query
 def op10_pii(spark, sf):
     return pii.report(table(spark, sf, "documents"))
