@@ -5,6 +5,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from steadfast.operators.support import ensure_checkpoint_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,11 +18,9 @@ def fold(modulus: int, column: str = "doc_id"):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as `spark.checkpoint.dir` names it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder.rstrip("/")
+    """The folder that all executors share, as `spark.checkpoint.dir` names it. Where it is unset,
+    a local session has a folder of its own; a cluster has none, which is an error."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)).rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
