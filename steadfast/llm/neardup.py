@@ -11,10 +11,11 @@ a shared entry but for one pair in a million; in fact more do, as far pairs ofte
 Pairs are not listed within an entry. First each class is held against the entry's centre only, on
 full sets: the class that shares most entries with others. What is linked so needs no more
 comparison among itself. In entries whose other members are still in different components, pairs
-across components are compared, but for those that can't be links: a shingle that only one class
-has is in no intersection, which bounds a pair's similarity from the counts of such shingles alone,
-and signatures further apart than `furthest` are left out. Components of all confirmed links give
-the groups.
+across components are compared, but for those that can't be links by two bounds on what they have
+in common. A shingle that only one class has is in no intersection. And of the centre's shingles,
+two classes share those that neither lacks; what each lacks is kept as bits from its comparison
+with the centre. So near copies that differ from their centre in different places are told apart
+without their texts. Components of all confirmed links give the groups.
 
 Null, empty and blank texts have an empty set and stand alone. Rows with equal sets are one class,
 so copies and repeated rows cost a row each. Only doc_id and text are read.
@@ -36,8 +37,6 @@ WORDS = 5
 WIDTH = 6
 #: A pair of the required similarity shares no index entry less often than this.
 MISSED = 1e-6
-#: Standard deviations above the expected signature distance up to which pairs are compared.
-DEVIATIONS = 6
 PIECE = 4096
 
 
@@ -80,13 +79,6 @@ def chunks_for(similarity: float) -> int:
     return math.ceil(math.log(MISSED) / math.log(1 - shared)) // 2 * 2 + 2
 
 
-def furthest(similarity: float, symbols: int) -> int:
-    """Differing bits of two signatures up to which a pair is compared: symbols differ with
-    probability 1 - similarity, and then in half of their 16 bits."""
-    p = 1 - similarity
-    return math.ceil(8 * symbols * p + DEVIATIONS * math.sqrt(symbols * (4 * p + 64 * p * (1 - p))))
-
-
 def sets(docs: DataFrame, symbols: int) -> DataFrame:
     """Per row: its id, the size and digest of its set, and the set's signature."""
     def run(batches):
@@ -126,24 +118,31 @@ def entries(classes: DataFrame, chunks: int) -> DataFrame:
     return classes.select("node", "sig").mapInArrow(run, "entry long, node long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, similarity_pct: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have the required similarity."""
+def compared(pairs: DataFrame, texts: DataFrame, similarity_pct: int) -> DataFrame:
+    """Pairs (a, b) on full sets: whether they are similar enough, the size of a's set, the bits
+    of its ascending shingles that b lacks, and how many b has besides."""
     def run(batches):
         @lru_cache(maxsize=64)
         def known(text):
             return shingles(text)
 
         for batch in batches:
-            keep = []
+            linked, size, lacks, extra = [], [], [], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = known(x), shingles(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= similarity_pct * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                missing = ~np.isin(x, y, assume_unique=True)
+                both = len(x) - int(missing.sum())
+                linked.append(100 * both >= similarity_pct * (len(x) + len(y) - both))
+                size.append(len(x))
+                lacks.append(np.packbits(np.pad(missing, (0, -len(x) % 64))).view(np.int64))
+                extra.append(len(y) - both)
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()),
+                                   pa.array(lacks, pa.list_(pa.int64())), pa.array(extra, pa.int64())],
+                                  names=["a", "b", "linked", "size", "lacks", "extra"])
 
     joined = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
               .join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a"))
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean, size long, lacks array<long>, extra long")
 
 
 def texts_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -168,7 +167,7 @@ def _across(rows: DataFrame) -> DataFrame:
 
 
 def own_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, own): how many shingles of a class no other class of `rows` has."""
+    """(node, own): how many shingles of a class no other class of `rows` has, centres included."""
     def run(batches):
         for batch in batches:
             made = [shingles(t) for t in batch.column("text").to_pylist()]
@@ -176,7 +175,8 @@ def own_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
                                    pa.array(np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64))],
                                   names=["node", "shingle"])
 
-    spread = texts.join(rows.select("node").distinct(), "node").select("node", "text").mapInArrow(run, "node long, shingle long")
+    wanted = rows.select(F.explode(F.array("node", "centre")).alias("node")).distinct()
+    spread = texts.join(wanted, "node").select("node", "text").mapInArrow(run, "node long, shingle long")
     return (spread.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
             .where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("own")))
 
@@ -191,42 +191,51 @@ def groups(docs: DataFrame, similarity_pct: int = 80) -> DataFrame:
     classes = saved(rows.where("node is not null").groupBy("node")
                     .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     index = entries(classes, chunks)
-    several = index.groupBy("entry").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = saved(index.join(several, "entry"), "shared")
+    crowded = index.groupBy("entry").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = saved(index.join(crowded, "entry"), "shared")
 
     # each class against the centre of its entries: the class that shares most
     reach = shared.groupBy("node").agg(F.sum("members").alias("reach"))
     centres = (shared.join(reach, "node").groupBy("entry").agg(F.max(F.struct("reach", "node")).alias("most"))
                .select("entry", F.col("most.node").alias("centre")))
     centred = saved(shared.join(centres, "entry"), "centred")
-    first = saved(centred.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    texts = texts_for(first, classes, docs)
-    links = saved(confirmed(first, texts, similarity_pct), "links")
+    sizes = classes.select("node", "n")
+    possible = 100 * F.least("n_a", "n_b") >= similarity_pct * F.greatest("n_a", "n_b")
+    first = saved(centred.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+                  .join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
+                  .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b").where(possible).select("a", "b"), "pairs")
+    several = centred.where("members > 2 and node != centre").select("entry", "node", "centre")
+    texts = texts_for(several.select(F.col("centre").alias("a"), F.col("node").alias("b")).unionByName(first), classes, docs)
+    tested = saved(compared(first, texts, similarity_pct), "tested")
+    links = tested.where("linked").select("a", "b")
     roots = components(links)
 
     # what entries have left: pairs across components, but for those that can't be similar enough
-    placed = (centred.where("members > 2 and node != centre").select("entry", "node").join(roots, "node", "left")
-              .select("entry", "node", F.coalesce("root", "node").alias("root")))
+    placed = several.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_rows = saved(_across(placed), "open")
-    own = own_shingles(open_rows, texts)
-    sized = (open_rows.join(classes.select("node", "n", "sig"), "node").join(own, "node", "left")
-             .withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"))
+    sized = (open_rows.join(sizes, "node").join(own_shingles(open_rows, texts), "node", "left")
+             .withColumn("own", F.coalesce("own", F.lit(0))).withColumn("common", F.col("n") - F.col("own")))
     least = sized.groupBy("entry").agg(F.min("n").alias("least"))
-    hopeful = (sized.join(least, "entry").where(100 * F.col("common") >= similarity_pct * (F.col("n") - F.col("common") + F.col("least")))
-               .drop("least"))
-    left = saved(_across(hopeful), "left")
-    side = lambda s: left.select("entry", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "common", "sig")))
-    far = sum((F.bit_count(F.col("sig_a")[i].bitwiseXOR(F.col("sig_b")[i])) for i in range(1, symbols // 4)),
-              F.bit_count(F.col("sig_a")[0].bitwiseXOR(F.col("sig_b")[0])))
-    both = F.least("common_a", "common_b")
-    across = (side("a").join(side("b"), "entry")
-              .where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-                     & (100 * both >= similarity_pct * (F.col("n_a") + F.col("n_b") - both))
-                     & (far <= furthest(similarity, symbols))))
-    second = (across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    hopeful = saved(sized.join(least, "entry")
+                    .where(100 * F.col("common") >= similarity_pct * (F.col("own") + F.col("least"))).drop("least"), "hopeful")
+    left = saved(_across(hopeful).join(tested.select(F.col("a").alias("centre"), F.col("b").alias("node"), "size", "lacks", "extra"),
+                                       ["centre", "node"], "left").withColumn("extra", F.col("extra") - F.col("own")), "left")
+    # members of an entry's largest component are compared with all others, not with each other
+    counts = left.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("members"))
+    largest = counts.groupBy("entry").agg(F.max(F.struct("members", "root")).alias("most")).select("entry", F.col("most.root").alias("main"))
+    sided = left.join(largest, "entry").withColumn("outside", F.col("root") != F.col("main"))
+    side = lambda s: sided.select("entry", *(F.col(c).alias(f"{c}_{s}") for c in
+                                             ("node", "root", "n", "common", "size", "lacks", "extra", "outside")))
+    enough = lambda both: 100 * both >= similarity_pct * (F.col("n_a") + F.col("n_b") - both)
+    lacked = F.aggregate(F.zip_with("lacks_a", "lacks_b", lambda p, q: F.bit_count(p.bitwiseOR(q))), F.lit(0), lambda n, v: n + v)
+    shared_most = F.col("size_a") - lacked + F.least("extra_a", "extra_b")
+    across = (side("a").where("outside_a").join(side("b"), "entry")
+              .where((F.col("root_a") != F.col("root_b")) & (~F.col("outside_b") | (F.col("node_a") < F.col("node_b")))
+                     & enough(F.least("common_a", "common_b")) & F.coalesce(enough(shared_most), F.lit(True))))
+    second = (across.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
               .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     second = saved(second, "pairs")
-    more = saved(confirmed(second, texts, similarity_pct), "links")
+    more = saved(compared(second, texts, similarity_pct).where("linked").select("a", "b"), "links")
     if more.take(1):
         roots = components(links.unionByName(more))
 
