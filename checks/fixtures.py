@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from steadfast import lexicons as L
 from steadfast.functions import hashing as H
 from steadfast.functions import text as X
-from steadfast.sources.tables import spread
 
 MODELS = ("logreg", "random_forest", "gradient_boosting")
 CONDITIONS = ("original", "url_masked")
@@ -15,12 +14,8 @@ TRAININGS = ("baseline", "adv_trained")
 GENERATORS = ("g1", "g2")
 
 
-SPREAD = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df, SPREAD[name]) if name in SPREAD else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def lit_array(values) -> F.Column:
@@ -67,11 +62,11 @@ def _link(position: int, page: str):
 
 
 def emails(spark, sf) -> DataFrame:
-    """Labelled documents with up to two URLs appended."""
+    """Every document with up to two URLs appended; one without a label counts as negative."""
     pages = table(spark, sf, "pages").select("page_id", "url")
     n_pages = pages.count()
     doc = F.col("doc_id")
-    keyed = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").withColumns({
+    keyed = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left").withColumns({
         "_p0": F.when(doc % 5 < 4, doc % n_pages), "_p1": F.when(doc % 3 == 0, (doc + 7) % n_pages),
     })
     for i in (0, 1):
@@ -79,7 +74,7 @@ def emails(spark, sf) -> DataFrame:
         keyed = keyed.join(side, f"_p{i}", "left")
     linked = keyed.withColumns({"url0": _link(0, "_p0"), "url1": _link(1, "_p1")})
     return linked.select(
-        "doc_id", "source", F.col("toxic").alias("label"), doc_original_id().alias("original_id"),
+        "doc_id", "source", F.coalesce("toxic", F.lit(0)).alias("label"), doc_original_id().alias("original_id"),
         F.col("text").alias("doc_text"), "url0", "url1",
         F.concat_ws(" ", "text", "url0", "url1").alias("text"), (doc % 2 == 0).alias("had_html"),
     )

@@ -208,7 +208,7 @@ def defang_roundtrip(spark, sf):
 def _links_sql():
     parts = []
     for tag, name in L.LINK_ATTRIBUTES:
-        p = HT._attribute(tag, name)
+        p = rf"""(?is)<{tag}\b[^>]*?\s{name}\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s\x22\x27>]+))"""
         groups = [f"regexp_extract_all(html, '{p}', {i})" for i in (1, 2, 3)]
         parts.append(f"list_transform(list_zip({', '.join(groups)}), lambda z: trim(concat(z[1], z[2], z[3])))")
     skip = " OR ".join(f"starts_with(lower(v), '{s}')" for s in L.SKIPPED_LINKS)
@@ -233,7 +233,7 @@ def _html_text_sql():
     for tag, name in L.LINK_ATTRIBUTES[1:]:
         x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*?\s{name}\s*=\s*{quoted}[^>]*>', ' \1 ', 'g')"
     x = f"regexp_replace({x}, '(?s)<[!/a-zA-Z][^>]*>', ' ', 'g')"
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{char}')"
     return f"trim(regexp_replace({x}, '{L.SPACES}', ' ', 'g'))"
 
@@ -318,7 +318,7 @@ def dense_index(spark, sf):
     return sampling.hash_ranks(fx.table(spark, sf, "documents").select("doc_id"), "doc_id", name="idx")
 
 
-@query("stable_ids", q("docs_v", "SELECT original_id, source || '-' || substr(sha1(original_id), 1, 16) AS id FROM docs_v"))
+@query("stable_ids", q("docs_v", "SELECT original_id, source || '-' || sha1(original_id) AS id FROM docs_v"))
 def stable_ids(spark, sf):
     from steadfast.plans.corpus import stable_id
 
@@ -593,7 +593,7 @@ GRAMS = f"""SELECT doc_id, unnest(list_concat(g, list_transform(list_zip(g[:-2],
 COUNTS = "SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL"
 STATS = "SELECT term, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS corpus_count FROM counts GROUP BY term"
 VOCAB = """SELECT *, row_number() OVER (ORDER BY term) - 1 AS term_id, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (doc_freq + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf
-  FROM (SELECT * FROM stats WHERE doc_freq >= 2 ORDER BY corpus_count DESC, term LIMIT 2000)"""
+  FROM (SELECT * FROM stats WHERE doc_freq >= 2 ORDER BY corpus_count DESC, term LIMIT 20000)"""
 WEIGHTS = """SELECT doc_id, term_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM (
   SELECT doc_id, term_id, (1.0::DOUBLE + ln(tf)) * idf AS w FROM counts JOIN vocab USING (term))"""
 
@@ -603,15 +603,15 @@ def _counts(spark, sf):
 
 
 def _vocab(spark, sf):
-    from steadfast.operators.support import small_side
+    from steadfast.operators.support import pinned
 
     n = fx.table(spark, sf, "documents").count()
-    return small_side(features.with_idf(features.vocabulary(_counts(spark, sf), 2000), n))
+    return pinned(features.with_idf(features.vocabulary(_counts(spark, sf), 20_000), n))
 
 
-@query("term_statistics", q("", "SELECT * FROM stats WHERE doc_freq >= 3", grams=GRAMS, counts=COUNTS, stats=STATS))
+@query("term_statistics", q("", "SELECT * FROM stats", grams=GRAMS, counts=COUNTS, stats=STATS))
 def term_statistics(spark, sf):
-    return features.term_statistics(_counts(spark, sf)).where(F.col("doc_freq") >= 3)
+    return features.term_statistics(_counts(spark, sf))
 
 
 @query("vocabulary", q("", "SELECT term, doc_freq, corpus_count, term_id, round(idf, 6) AS idf FROM vocab", grams=GRAMS, counts=COUNTS, stats=STATS, vocab=VOCAB))
@@ -745,9 +745,9 @@ def fpr_threshold(spark, sf):
 
 @query("recall_at_fpr", q("pos_v neg_v", f"SELECT model, condition, training, generator, severity, recall_fpr, fpr_threshold FROM ({cond_sql(*ALL_CELLS, 'pos_v', 'neg_v')})"))
 def recall_at_fpr(spark, sf):
-    from steadfast.operators.support import small_side
+    from steadfast.operators.support import pinned
 
-    limits = small_side(M.fpr_threshold(fx.negatives(spark, sf), ALL_CELLS[0]))
+    limits = pinned(M.fpr_threshold(fx.negatives(spark, sf), ALL_CELLS[0]))
     return rounded(M.recall_at_fpr(fx.positives(spark, sf), limits, *ALL_CELLS), "recall_fpr", "fpr_threshold")
 
 
@@ -938,28 +938,28 @@ BOOT = f"""SELECT condition, model, round(quantile_cont(m, 0.025), 6) AS drop_lo
     SELECT condition, model, r, d0, d1, {weight_sql(draw_sql(42))} AS w FROM pairs CROSS JOIN reps) GROUP BY ALL) WHERE m IS NOT NULL GROUP BY ALL"""
 
 
-@query("paired_bootstrap", q("rewrites_v pos_v", "SELECT * FROM boot", inter=INTER, pos=G1_BASE, pairs=PAIRS, reps=REPS.format(seed=42, n=200), boot=BOOT))
+@query("paired_bootstrap", q("rewrites_v pos_v", "SELECT * FROM boot", inter=INTER, pos=G1_BASE, pairs=PAIRS, reps=REPS.format(seed=42, n=1000), boot=BOOT))
 def paired_bootstrap(spark, sf):
-    return rounded(S.paired_bootstrap(_outcomes(spark, sf), CELL, n=200), "drop_lo", "drop_hi")
+    return rounded(S.paired_bootstrap(_outcomes(spark, sf), CELL), "drop_lo", "drop_hi")
 
 
-PERM = f"""SELECT condition, model, round((count(*) FILTER (WHERE abs(s / n::DOUBLE) >= abs(o / n::DOUBLE) - 1e-12) + 1) / 501.0::DOUBLE, 6) AS perm_p_value FROM (
+PERM = f"""SELECT condition, model, round((count(*) FILTER (WHERE abs(s / n::DOUBLE) >= abs(o / n::DOUBLE) - 1e-12) + 1) / 10001.0::DOUBLE, 6) AS perm_p_value FROM (
   SELECT condition, model, r, sum(CASE WHEN {draw_sql(43)} < 0.5 THEN d0 - d1 ELSE d1 - d0 END) AS s, count(*) AS n, sum(d0 - d1) AS o
   FROM pairs CROSS JOIN reps GROUP BY ALL) GROUP BY ALL"""
 
 
-@query("permutation_test", q("rewrites_v pos_v", "SELECT * FROM perm", inter=INTER, pos=G1_BASE, pairs=PAIRS, reps=REPS.format(seed=43, n=500), perm=PERM))
+@query("permutation_test", q("rewrites_v pos_v", "SELECT * FROM perm", inter=INTER, pos=G1_BASE, pairs=PAIRS, reps=REPS.format(seed=43, n=10000), perm=PERM))
 def permutation_test(spark, sf):
-    return rounded(S.permutation_test(_outcomes(spark, sf), CELL, n=500), "perm_p_value")
+    return rounded(S.permutation_test(_outcomes(spark, sf), CELL), "perm_p_value")
 
 
 @query("significance_table", q("rewrites_v pos_v", """SELECT mp.condition, mp.model, n, round(det_sev0, 6) AS det_sev0, round(det_sev1, 6) AS det_sev1,
   round(effect_drop, 6) AS effect_drop, drop_lo, drop_hi, b AS mcnemar_b_lost, c AS mcnemar_c_gained, perm_p_value, round(p, 6) AS mcnemar_exact_p
   FROM mp JOIN boot ON mp.condition = boot.condition AND mp.model = boot.model JOIN perm ON mp.condition = perm.condition AND mp.model = perm.model""",
   inter=INTER, pos=G1_BASE, pairs=PAIRS, mcn=MCN, mp=MCN_P,
-  reps_b=REPS.format(seed=42, n=200), reps=REPS.format(seed=43, n=500), boot=BOOT.replace("JOIN reps)", "JOIN reps_b)"), perm=PERM))
+  reps_b=REPS.format(seed=42, n=1000), reps=REPS.format(seed=43, n=10000), boot=BOOT.replace("JOIN reps)", "JOIN reps_b)"), perm=PERM))
 def significance_table(spark, sf):
-    out = significance.significance_table(_pos(spark, sf, False), _ids(spark, sf), n_boot=200, n_perm=500)
+    out = significance.significance_table(_pos(spark, sf, False), _ids(spark, sf))
     return rounded(out, "det_sev0", "det_sev1", "effect_drop", "drop_lo", "drop_hi", "perm_p_value", "mcnemar_exact_p")
 
 
@@ -993,25 +993,25 @@ def boot_sql(group, n, pos="pos", neg="neg", thr=None):
 CI_COLS = [f"{m}_{e}" for m in (*L.METRICS, "recall_fpr") for e in ("lo", "hi")]
 
 
-@query("bootstrap_ci", q("rewrites_v pos_v neg_v", f"SELECT model, severity, {', '.join(CI_COLS)} FROM ({boot_sql(['model'], 50, thr=thr_sql(['model']))})",
-    inter=INTER, pos=G1_POS, neg=NEG_BASE, reps=REPS.format(seed=42, n=50)))
+@query("bootstrap_ci", q("rewrites_v pos_v neg_v", f"SELECT model, severity, {', '.join(CI_COLS)} FROM ({boot_sql(['model'], 1000, thr=thr_sql(['model']))})",
+    inter=INTER, pos=G1_POS, neg=NEG_BASE, reps=REPS.format(seed=42, n=1000)))
 def bootstrap_ci(spark, sf):
-    from steadfast.operators.support import small_side
+    from steadfast.operators.support import pinned
 
     neg = _neg(spark, sf)
     pos = degradation.restrict(_pos(spark, sf), _ids(spark, sf))
-    limits = small_side(M.fpr_threshold(neg, ["model"]))
-    return rounded(S.bootstrap_cis(pos, neg, ["model"], n=50, thresholds=limits), *CI_COLS)
+    limits = pinned(M.fpr_threshold(neg, ["model"]))
+    return rounded(S.bootstrap_cis(pos, neg, ["model"], thresholds=limits), *CI_COLS)
 
 
 HEAD_CI = [f"{m}_{e}" for m in L.METRICS for e in ("lo", "hi")]
 
 
 @query("degradation_curve_ci", q("rewrites_v pos_v neg_v", f"""SELECT 'intersection' AS "set", e.model, e.severity, n_phish, {FIVE}, {', '.join(HEAD_CI)}
-  FROM ({eval_sql(['model'], ['severity'])}) e JOIN ({boot_sql(['model'], 50)}) b ON e.model = b.model AND e.severity = b.severity""",
-    inter=INTER, pos=G1_POS, neg=NEG_BASE, reps=REPS.format(seed=42, n=50)))
+  FROM ({eval_sql(['model'], ['severity'])}) e JOIN ({boot_sql(['model'], 1000)}) b ON e.model = b.model AND e.severity = b.severity""",
+    inter=INTER, pos=G1_POS, neg=NEG_BASE, reps=REPS.format(seed=42, n=1000)))
 def degradation_curve_ci(spark, sf):
-    out = degradation.degradation_curve(_pos(spark, sf), _neg(spark, sf), _ids(spark, sf), n_boot=50)
+    out = degradation.degradation_curve(_pos(spark, sf), _neg(spark, sf), _ids(spark, sf))
     return rounded(out, *L.METRICS, *HEAD_CI)
 
 
@@ -1020,10 +1020,10 @@ REPORT_CI = ["recall_05_lo", "recall_05_hi", "recall_fpr_lo", "recall_fpr_hi", "
 
 @query("external_scores", q("rewrites_v pos_v neg_v", f"""SELECT c.*, recall_lo AS recall_05_lo, recall_hi AS recall_05_hi, recall_fpr_lo, recall_fpr_hi,
   pr_auc_lo, pr_auc_hi, roc_auc_lo, roc_auc_hi FROM ({cond_sql(CELL, ['severity'])}) c
-  JOIN ({boot_sql(CELL, 40, thr=thr_sql(CELL))}) b ON c.condition = b.condition AND c.model = b.model AND c.severity = b.severity""",
-    inter=INTER, pos=G1_BASE, neg=NEG_TWO, reps=REPS.format(seed=42, n=40)))
+  JOIN ({boot_sql(CELL, 1000, thr=thr_sql(CELL))}) b ON c.condition = b.condition AND c.model = b.model AND c.severity = b.severity""",
+    inter=INTER, pos=G1_BASE, neg=NEG_TWO, reps=REPS.format(seed=42, n=1000)))
 def external_scores(spark, sf):
-    out = ablation.external_report(_pos(spark, sf, False), _neg(spark, sf, False), _ids(spark, sf), n_boot=40)
+    out = ablation.external_report(_pos(spark, sf, False), _neg(spark, sf, False), _ids(spark, sf))
     return rounded(out, *COND_COLS, *REPORT_CI)
 
 
@@ -1140,7 +1140,7 @@ LABELLED = """SELECT *, CASE WHEN source_rank % 5 = 0 THEN 1 ELSE 0 END AS label
 
 
 @query("corpus_build", q("", f"""SELECT id, label, source, split, original_id, had_html, subject, md5(body) AS body_md5, md5(text) AS text_md5 FROM (
-  {_split_sql(f"(SELECT *, source || '-' || substr(sha1(original_id), 1, 16) AS id, {UNIFIED} AS text FROM kept)", "original_id", "label")})""",
+  {_split_sql(f"(SELECT *, source || '-' || sha1(original_id) AS id, {UNIFIED} AS text FROM kept)", "original_id", "label")})""",
   parsed=_parsed_sql(), labelled=LABELLED,
   kept=f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY source_rank, original_id) AS rn FROM labelled
     WHERE NOT {TOKENS} < 5) WHERE rn = 1"""))

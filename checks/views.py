@@ -102,9 +102,9 @@ VIEWS = {
     "emails_v": f"""SELECT doc_id, source, label, {ORIGINAL_ID} AS original_id, doc_text, url0, url1,
       concat_ws(' ', doc_text, url0, url1) AS text, doc_id % 2 = 0 AS had_html
       FROM (SELECT *, {_link(0)} AS url0, {_link(1)} AS url1 FROM (
-        SELECT d.doc_id, d.source, l.toxic AS label, d.text AS doc_text, a.page_id AS p0, a.url AS u0,
+        SELECT d.doc_id, d.source, coalesce(l.toxic, 0) AS label, d.text AS doc_text, a.page_id AS p0, a.url AS u0,
           b.page_id AS p1, b.url AS u1
-        FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
         LEFT JOIN pages a ON a.page_id = CASE WHEN d.doc_id % 5 < 4 THEN d.doc_id % (SELECT count(*) FROM pages) END
         LEFT JOIN pages b ON b.page_id = CASE WHEN d.doc_id % 3 = 0 THEN (d.doc_id + 7) % (SELECT count(*) FROM pages) END))""",
     "log_v": f"""SELECT doc_id, original_id, source, generator, severity, sev, pos, text AS original_text,

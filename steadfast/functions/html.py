@@ -1,58 +1,78 @@
-"""HTML to text. `to_text` is built from regular expressions and stays in the JVM; for
-messages that need a real parser, sources.mail uses Python's html.parser."""
+"""HTML to text and link destinations.
 
+Attributes, entities and tags left open need a parser, not patterns, so pages go through the
+standard library's parser in Arrow batches. Columns and mail parts share the one reader.
+"""
+
+import sys
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from steadfast import lexicons as L
 from steadfast.functions.text import collapse_spaces, or_empty
 
-VALUE = r"""(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s\x22\x27>]+))"""
+# Workers get the reader with the task, whether or not they can import the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+LINKS = dict(L.LINK_ATTRIBUTES)
+SKIPPED = tuple(L.SKIPPED_LINKS)
+UNSEEN = ("script", "style")
+
+
+class Reader(HTMLParser):
+    """Collects visible text in order. A destination follows the text of its link or form; one
+    whose tag is never closed comes last."""
 
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.pieces, self.links, self.open, self.unseen = [], [], [], 0
 
-def _attribute(tag: str, name: str) -> str:
-    return rf"(?is)<{tag}\b[^>]*?\s{name}\s*=\s*{VALUE}"
+    def handle_starttag(self, tag, attrs):
+        self.unseen += tag in UNSEEN
+        if tag not in LINKS:
+            return
+        target = next((value or "" for name, value in attrs if name == LINKS[tag]), "").strip()
+        if target.lower().startswith(SKIPPED):
+            target = ""
+        if target:
+            self.links.append((tag, target))
+        if tag == "area":
+            self.pieces.append(target)
+        else:
+            self.open.append((tag, target))
 
+    def handle_endtag(self, tag):
+        self.unseen -= tag in UNSEEN and self.unseen > 0
+        if tag in (name for name, _ in self.open):
+            name = None
+            while name != tag:
+                name, target = self.open.pop()
+                self.pieces.append(target)
 
-def attribute_values(html: Column, tag: str, name: str) -> Column:
-    pattern = _attribute(tag, name)
-    return F.zip_with(
-        F.zip_with(
-            F.regexp_extract_all(html, F.lit(pattern), F.lit(1)),
-            F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), lambda a, b: F.concat(a, b),
-        ),
-        F.regexp_extract_all(html, F.lit(pattern), F.lit(3)), lambda a, b: F.concat(a, b),
-    )
+    def handle_data(self, data):
+        if not self.unseen:
+            self.pieces.append(data)
 
 
-def is_landing_link(value: Column) -> Column:
-    skip = F.lit(False)
-    for prefix in L.SKIPPED_LINKS:
-        skip = skip | F.startswith(F.lower(value), F.lit(prefix))
-    return (value != "") & ~skip
+def read_page(html: str) -> tuple[str, list[str]]:
+    """(visible text with destinations, destinations of links, then areas, then forms)."""
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    ends = [target for _, target in reversed(reader.open)]
+    links = [target for tag in LINKS for name, target in reader.links if name == tag]
+    return " ".join(filter(None, reader.pieces + ends)), links
 
 
 def link_targets(html: Column) -> Column:
     """Destinations of links, image-map areas and forms, in that order."""
-    source = or_empty(html)
-    values = F.concat(*[attribute_values(source, t, a) for t, a in L.LINK_ATTRIBUTES])
-    return F.filter(F.transform(values, lambda v: F.trim(v)), is_landing_link)
+    return F.pandas_udf(lambda pages: pd.Series([read_page(p)[1] for p in pages], dtype=object), "array<string>")(or_empty(html))
 
 
 def to_text(html: Column) -> Column:
     """Visible text with link destinations placed after their anchor text."""
-    out = or_empty(html)
-    for tag in ("script", "style"):
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(
-        out, r"(?is)<a\b[^>]*?\shref\s*=\s*[\x22\x27]?(?:(?:mailto|javascript|tel|data):|#)[^>]*>", " "
-    )
-    quoted = r"[\x22\x27]?([^\x22\x27\s>]+)[\x22\x27]?"
-    out = F.regexp_replace(out, rf"(?is)<a\b[^>]*?\shref\s*=\s*{quoted}[^>]*>(.*?)</a\s*>", " $2 $1 ")
-    for tag, name in L.LINK_ATTRIBUTES[1:]:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*?\s{name}\s*=\s*{quoted}[^>]*>", " $1 ")
-    out = F.regexp_replace(out, r"(?s)<[!/a-zA-Z][^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return collapse_spaces(out)
+    return collapse_spaces(F.pandas_udf(lambda pages: pd.Series([read_page(p)[0] for p in pages], dtype=object), "string")(or_empty(html)))

@@ -100,7 +100,7 @@ TERM = r"[\p{L}\p{N}_]{2,}"
 # P(X <= k), k = 0, 1, 2, ... of the unit-rate Poisson law. A uniform u maps to the
 # number of entries that are <= u.
 POISSON_CDF = tuple(
-    round(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)), 15) for k in range(11)
+    round(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)), 15) for k in range(13)
 )
 
 HANDCRAFTED = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from steadfast.functions import hashing as H
 from steadfast.functions import text as X
-from steadfast.operators.support import small_side
+from steadfast.operators.support import pinned
 
 
 def unify(df: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def unify(df: DataFrame) -> DataFrame:
 def attach_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Label and reading rank per source. `labels` has one row per known source (a
     configuration table); rows of unlisted sources are excluded."""
-    return df.join(small_side(labels), "source", "inner")
+    return df.join(pinned(labels), "source", "inner")
 
 
 def drop_low_content(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from steadfast import lexicons as L
 from steadfast.functions import text as X
-from steadfast.operators.support import small_side
+from steadfast.operators.support import pinned
 
 VECTOR_ROW = T.StructType([T.StructField("v", VectorUDT())])
 
@@ -121,14 +121,14 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
-    weights = small_side(class_weights(df, label).select(label, "weight"))
+    weights = pinned(class_weights(df, label).select(label, "weight"))
     return df.join(weights, label)
 
 
 def linear_score(weights: DataFrame, coefficients: DataFrame, id_col: str, intercept: float = 0.0) -> DataFrame:
     """Sigmoid of a sparse dot product; `coefficients` holds one row per vocabulary term."""
     z = (
-        weights.join(small_side(coefficients), "term_id")
+        weights.join(pinned(coefficients), "term_id")
         .groupBy(id_col).agg((F.sum(F.col("weight") * F.col("coefficient")) + intercept).alias("z"))
     )
     return z.select(id_col, (1.0 / (1.0 + F.exp(-F.col("z")))).alias("score"))
@@ -183,7 +183,7 @@ def fit_featurizer(
     text = X.mask_urls(F.col("text")) if masked else X.or_empty(F.col("text"))
     source = train.select(id_col, text.alias("text"), "had_html")
     n_docs = source.count()
-    vocab = small_side(
+    vocab = pinned(
         with_idf(vocabulary(term_counts(source, id_col), max_terms, min_doc_freq), n_docs)
     )
     scales = scale_factors(handcrafted_features(source, id_col)).first().asDict()

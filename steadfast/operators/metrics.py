@@ -2,9 +2,9 @@
 
 Positives are scored per cell (say model x severity). Negatives never change, so they are
 kept once per group (say model) and every cell of the group looks them up. Scores are first
-reduced to counts per distinct value. Ranks then come from running sums inside score
-buckets plus the totals of the buckets below; no window ever spans a whole group unless
-the group is small.
+reduced to counts per distinct value, which are dealt to ranges of (group, score). Ranks are
+running sums inside a range plus the totals of the ranges below, so no task holds a group,
+whatever its size, and there is one way at every size.
 """
 
 from collections.abc import Sequence
@@ -13,11 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadfast import lexicons as L
-from steadfast.operators.support import small_side
-
-ROWS_PER_BUCKET = 1_000_000
-MOST_CUTS = 4096
-
+from steadfast.operators.support import pinned
 
 def _ratio(top: Column, bottom: Column) -> Column:
     """top / bottom, and 0 where the bottom is 0."""
@@ -30,92 +26,65 @@ def split_classes(scores: DataFrame, keys: Sequence[str], label: str = "label",
     return scores.where(F.col(label) == 1).select(*cols), scores.where(F.col(label) == 0).select(*cols)
 
 
-def score_bounds(
-    frames: Sequence[DataFrame], group: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame | None:
-    """Approximate quantiles of all scores per group, evaluated once so that every later
-    step cuts at the same places; their number grows with the biggest group. None when no
-    group is big enough to need buckets. Where the cuts fall changes no result."""
-    rows = frames[0].select(*group, "score")
-    for frame in frames[1:]:
-        rows = rows.unionByName(frame.select(*group, "score"))
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("_rows"))
-    biggest = sizes.agg(F.max("_rows")).first()[0] or 0
-    if biggest <= rows_per_bucket:
-        return None
-    n = min(MOST_CUTS, max(16, 2 * biggest // rows_per_bucket))
-    points = [i / n for i in range(1, n)]
-    bounds = rows.withColumn("_one", F.lit(0)).groupBy("_one", *group).agg(
-        F.percentile_approx("score", points, 4 * n).alias("_cuts")
-    )
-    return small_side(bounds.withColumn("_edges", F.array_distinct("_cuts")), max_rows=20_000)
-
-
-def bucketed(rows: DataFrame, group: Sequence[str], bounds: DataFrame | None) -> DataFrame:
-    """Adds _bucket, which grows with the score."""
-    tagged = rows.withColumn("_one", F.lit(0))
-    if bounds is None:
-        return tagged.withColumn("_bucket", F.lit(0))
-    below = F.size(F.filter("_edges", lambda b: b < F.col("score")))
-    return tagged.join(bounds, ["_one", *group]).withColumn("_bucket", below).drop("_cuts", "_edges")
-
-
-def _running(hist: DataFrame, keys: Sequence[str], value: str, single: bool, upward: bool, names):
-    """Running total of `value` along the score within `keys`, ties included, and the grand
-    total. `hist` carries _bucket."""
-    run_name, total_name = names
-    within = Window.partitionBy(*keys, "_bucket")
-    order = F.col("score").asc() if upward else F.col("score").desc()
-    local = F.sum(value).over(within.orderBy(order))
-    if single:
-        return hist.withColumns({run_name: local, total_name: F.sum(value).over(within)})
-    per_bucket = hist.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_part"))
-    side = Window.partitionBy(*keys)
-    edge = side.orderBy(F.col("_bucket").asc() if upward else F.col("_bucket").desc())
-    offsets = per_bucket.select(
-        *keys, "_bucket",
-        (F.sum("_part").over(edge.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_part")).alias("_before"),
-        F.sum("_part").over(side).alias(total_name),
+def sliced(hist: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Adds _slice: ranges of (group, score) as Spark deals them, written once so that all
+    later steps see the same ones. Rows of one group and score share a slice; where slices
+    are cut changes no result."""
+    return pinned(hist.repartitionByRange(*group, "score").withColumn("_slice", F.spark_partition_id()))
+
+
+def lower_slices(hist: DataFrame, keys: Sequence[str], value: str, names: tuple[str, str]) -> DataFrame:
+    """Per (keys, _slice): the total of `value` in lower slices, and in all. At most a row for
+    each slice and key."""
+    side = Window.partitionBy("_one", *keys)
+    up = side.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        hist.withColumn("_one", F.lit(0)).groupBy("_one", *keys, "_slice").agg(F.sum(value).alias("_part"))
+        .select(*keys, "_slice", (F.sum("_part").over(up) - F.col("_part")).alias(names[0]), F.sum("_part").over(side).alias(names[1]))
     )
+
+
+def running(hist: DataFrame, group: Sequence[str], value: str, names: tuple[str, str]) -> DataFrame:
+    """Adds the running total of `value` up to each score, ties included, and the group's
+    total, to a sliced histogram."""
+    here = Window.partitionBy(*group, "_slice").orderBy("score")
     return (
-        hist.withColumn("_local", local)
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(run_name, F.col("_local") + F.col("_before"))
-        .drop("_local", "_before")
+        hist.withColumn("_local", F.sum(value).over(here))
+        .join(lower_slices(hist, group, value, ("_below", names[1])), [*group, "_slice"])
+        .withColumn(names[0], F.col("_local") + F.col("_below")).drop("_local", "_below")
     )
 
 
 def ranking_metrics(
     positives: DataFrame, negatives: DataFrame, group: Sequence[str], cell: Sequence[str] = (),
-    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Tie-aware ROC-AUC and step-wise average precision per (group, cell)."""
-    bounds = score_bounds([positives, negatives], group, rows_per_bucket)
-    single = bounds is None
-    pos = bucketed(
-        positives.groupBy(*group, *cell, "score").agg(F.count("*").alias("pos")), group, bounds
-    )
-    neg = bucketed(
-        negatives.groupBy(*group, "score").agg(F.count("*").alias("neg")), group, bounds
-    )
-    keys = ["_one", *group]
-    # Negatives at and below each score at which some cell has positives.
-    marks = pos.select(*keys, "_bucket", "score").distinct().withColumn("neg", F.lit(0).cast("long"))
-    both = neg.unionByName(marks, allowMissingColumns=True)
-    both = both.groupBy(*keys, "_bucket", "score").agg(F.sum("neg").alias("neg"))
-    lookup = _running(both, keys, "neg", single, True, ("neg_le", "n_neg")).select(
-        *keys, "score", "neg", "neg_le", "n_neg"
-    )
-    ranked = _running(pos, [*keys, *cell], "pos", single, False, ("pos_ge", "n_pos"))
-    joined = ranked.join(lookup, [*keys, "score"])
-    below = F.col("neg_le") - F.col("neg")
+    """Tie-aware ROC-AUC and step-wise average precision per (group, cell). Positives and
+    negatives are one histogram, so a positive score finds the negatives below it in place."""
+    no_cell = [F.lit(None).cast(positives.schema[c].dataType).alias(c) for c in cell]
+    rows = positives.select(*group, *cell, "score", F.lit(1).alias("pos"), F.lit(0).alias("neg")).unionByName(
+        negatives.select(*group, *no_cell, "score", F.lit(0).alias("pos"), F.lit(1).alias("neg"))
+    )
+    hist = sliced(rows.groupBy(*group, *cell, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), group)
+    same = Window.partitionBy(*group, "_slice", "score")
+    up = Window.partitionBy(*group, "_slice").orderBy("score")
+    up_cell = Window.partitionBy(*group, "_slice", *cell).orderBy("score")
+    ranked = (
+        hist.withColumns({
+            "_neg_at": F.sum("neg").over(same), "_neg_le": F.sum("neg").over(up), "_pos_le": F.sum("pos").over(up_cell),
+        })
+        .where(F.col("pos") > 0)
+        .join(lower_slices(hist, group, "neg", ("_neg_below", "n_neg")), [*group, "_slice"])
+        .join(lower_slices(hist, [*group, *cell], "pos", ("_pos_below", "n_pos")), [*group, *cell, "_slice"])
+    )
+    below = F.col("_neg_below") + F.col("_neg_le") - F.col("_neg_at")
     above = F.col("n_neg") - below
+    pos_ge = F.col("n_pos") - F.col("_pos_below") - F.col("_pos_le") + F.col("pos")
     return (
-        joined.groupBy(*group, *cell)
+        ranked.groupBy(*group, *cell)
         .agg(
             F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
-            F.sum(F.col("pos") * (below + F.col("neg") / 2.0)).alias("_pairs"),
-            F.sum(F.col("pos") * F.col("pos_ge") / (F.col("pos_ge") + above)).alias("_steps"),
+            F.sum(F.col("pos") * (below + F.col("_neg_at") / 2.0)).alias("_pairs"),
+            F.sum(F.col("pos") * pos_ge / (pos_ge + above)).alias("_steps"),
         )
         .select(
             *group, *cell, "n_pos", "n_neg",
@@ -147,10 +116,10 @@ def confusion_metrics(
 
 def detection_metrics(
     positives: DataFrame, negatives: DataFrame, group: Sequence[str], cell: Sequence[str] = (),
-    threshold: float = L.DETECT_THRESHOLD, rows_per_bucket: int = ROWS_PER_BUCKET,
+    threshold: float = L.DETECT_THRESHOLD,
 ) -> DataFrame:
     """All five metrics per cell."""
-    ranks = ranking_metrics(positives, negatives, group, cell, rows_per_bucket)
+    ranks = ranking_metrics(positives, negatives, group, cell)
     points = confusion_metrics(positives, negatives, group, cell, threshold)
     keys = [*group, *cell]
     one = F.lit(0)  # keeps the join key list non-empty when there are no groups
@@ -161,14 +130,11 @@ def detection_metrics(
 
 def fpr_threshold(
     negatives: DataFrame, group: Sequence[str], target_fpr: float = L.TARGET_FPR,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Linear-interpolated (1 - fpr) quantile of the negative scores per group, exact, from
     running counts; no task holds a whole group's scores."""
-    bounds = score_bounds([negatives], group, rows_per_bucket)
-    hist = bucketed(negatives.groupBy(*group, "score").agg(F.count("*").alias("neg")), group, bounds)
-    keys = ["_one", *group]
-    ranked = _running(hist, keys, "neg", bounds is None, True, ("le", "n"))
+    hist = sliced(negatives.groupBy(*group, "score").agg(F.count("*").alias("neg")), group)
+    ranked = running(hist, group, "neg", ("le", "n"))
     place = (F.col("n") - 1) * F.lit(1.0 - target_fpr)
 
     def value_at(rank: Column) -> Column:
@@ -188,7 +154,7 @@ def recall_at_fpr(
     positives: DataFrame, thresholds: DataFrame, group: Sequence[str], cell: Sequence[str] = ()
 ) -> DataFrame:
     """Share of positives at or above their group's threshold. `thresholds` has one row per
-    group; pass it through `small_side` so that the join does not shuffle the scores."""
+    group; pass it through `pinned` so that the join does not shuffle the scores."""
     side = thresholds.withColumn("_one", F.lit(0))
     hit = F.when(F.col("score") >= F.col("fpr_threshold"), 1.0).otherwise(0.0)
     return (
@@ -201,13 +167,12 @@ def recall_at_fpr(
 def condition_metrics(
     positives: DataFrame, negatives: DataFrame, group: Sequence[str], cell: Sequence[str] = ("severity",),
     target_fpr: float = L.TARGET_FPR, threshold: float = L.DETECT_THRESHOLD,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """One scored condition: recall at the fixed threshold and at fixed false-positive rate,
     both AUCs, and the threshold used."""
-    limits = small_side(fpr_threshold(negatives, group, target_fpr, rows_per_bucket))
+    limits = pinned(fpr_threshold(negatives, group, target_fpr))
     at_fpr = recall_at_fpr(positives, limits, group, cell)
-    base = detection_metrics(positives, negatives, group, cell, threshold, rows_per_bucket)
+    base = detection_metrics(positives, negatives, group, cell, threshold)
     keys = [*group, *cell]
     return base.join(at_fpr, keys).select(
         *keys, "n_phish", F.col("recall").alias("recall_05"), "recall_fpr", "pr_auc", "roc_auc",

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from steadfast import lexicons as L
 from steadfast.functions import hashing as H
-from steadfast.operators.metrics import score_bounds
+from steadfast.operators.metrics import running, sliced
+from steadfast.operators.support import pinned
 
 REPLICATE_TYPE = "array<struct<replicate:int,a:bigint,b:bigint,c:bigint>>"
 
@@ -206,18 +207,9 @@ def bootstrap_cis(
         rows = rows.join(thresholds.withColumn("_one", F.lit(0)), keys)
     else:
         rows = rows.withColumn("fpr_threshold", F.lit(threshold))
-    bounds = score_bounds([positives, negatives], group, rows_per_slice)
-    if bounds is None:
-        rows = rows.withColumns({"_bucket": F.lit(0), "_heavy": F.lit(False), "_salt": F.lit(0)})
-    else:
-        repeats = F.size(F.filter("_cuts", lambda b: b == F.col("score")))
-        rows = rows.join(bounds, keys).withColumns({
-            "_bucket": F.size(F.filter("_edges", lambda b: b < F.col("score"))),
-            "_repeats": repeats,
-        }).withColumns({
-            "_heavy": F.col("_repeats") >= 2,
-            "_salt": F.when(F.col("_repeats") >= 2, F.col("_h1") % F.col("_repeats")).otherwise(0).cast("int"),
-        }).drop("_cuts", "_edges", "_repeats")
+    rows = rows.join(_slices(rows, keys, rows_per_slice), [*keys, "score"]).withColumn(
+        "_salt", (F.col("_h1") % F.col("_repeats")).cast("int")
+    ).drop("_repeats")
 
     import numpy as np
 
@@ -237,11 +229,22 @@ def bootstrap_cis(
     per_bucket = part.groupBy(*keys, "_bucket", "_heavy", *cell, "replicate").agg(
         *[F.sum(c).alias(c) for c in sums]
     )
-    if bounds is not None:
-        per_bucket = _stitch(rows, part, per_bucket, worker, out_type, keys, slot, cell, sums)
+    per_bucket = _stitch(rows, part, per_bucket, worker, out_type, keys, slot, cell, sums)
     return _intervals(per_bucket, keys, group, cell, ci)
 
 
+def _slices(rows: DataFrame, keys, rows_per_slice: int) -> DataFrame:
+    """Per (keys, score): its slice, whether the score fills one alone, and into how many
+    parts such a score is split. A slice begins every `rows_per_slice` rows of a group, so
+    its size doesn't depend on the group's."""
+    hist = sliced(rows.groupBy(*keys, "score").agg(F.count("*").alias("_n")), keys)
+    ranked = running(hist, keys, "_n", ("_le", "_all"))
+    return pinned(ranked.select(
+        *keys, "score", F.floor((F.col("_le") - F.col("_n")) / rows_per_slice).cast("int").alias("_bucket"),
+        (F.col("_n") > rows_per_slice).alias("_heavy"), F.ceil(F.col("_n") / rows_per_slice).alias("_repeats"),
+    ))
+
+
 def _order(bucket="_bucket", heavy="_heavy"):
     """A heavy score closes its bucket: everything else in the bucket is smaller."""
     return F.col(bucket) * 2 + F.col(heavy).cast("int")
@@ -252,8 +255,6 @@ def _stitch(rows, part, per_bucket, worker, out_type, keys, slot, cell, sums):
     precision steps, whose second pass redraws the same weights)."""
     from pyspark.sql import Window
 
-    from steadfast.operators.support import pinned
-
     table = pinned(per_bucket.withColumn("_at", _order()))
     is_pos = F.lit(True)
     for c in cell:

@@ -10,7 +10,7 @@ from steadfast.functions import hashing as H
 from steadfast.functions import text as X
 from steadfast.functions import urls as U
 from steadfast.operators.sampling import seeded_sample
-from steadfast.operators.support import pinned, small_side
+from steadfast.operators.support import pinned
 from steadfast.schemas import severity_key
 
 
@@ -35,10 +35,17 @@ def latest_rewrites(
     df: DataFrame, keys: Sequence[str] = ("original_id", "severity"),
     order: Sequence[str] = ("ts", "pos"),
 ) -> DataFrame:
-    """Last record per key. An aggregate, not a window: repeated writes of one key are
-    reduced on the map side."""
-    last = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_last")
-    return df.groupBy(*keys).agg(last).select("_last.*")
+    """Last record per key; `order` tells the records of a key apart. The last ones are found
+    on keys and order alone, combined before the shuffle; the wide rows are then matched to
+    them, so no text is sorted and a key written very often costs one narrow row a task."""
+    names = [*keys, *order]
+    last = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last")).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f"_last.{c}").alias(f"_k_{c}") for c in order]
+    )
+    same = F.lit(True)
+    for name in names:
+        same = same & df[name].eqNullSafe(last[f"_k_{name}"])
+    return df.join(last, same, "left_semi")
 
 
 def with_verdicts(df: DataFrame, original: str = "original_text", rewrite: str = "rewrite_text") -> DataFrame:
@@ -101,15 +108,16 @@ def valid_counts(df: DataFrame, valid: Column, keys: Sequence[str] = ("severity"
 def reconcile(work: DataFrame, cache: DataFrame) -> DataFrame:
     """Adds status hit / stale / miss to (original_id, severity) work rows that carry the
     wanted prompt_hash and input_text_sha. A cached row without a text hash passes."""
-    keys = ["original_id", "severity"]
+    keys = ["original_id", "_sev"]
     have = cache.select(
-        *keys, F.col("prompt_hash").alias("_ph"), F.col("input_text_sha").alias("_th"),
+        "original_id", severity_key(F.col("severity")).alias("_sev"), F.col("prompt_hash").alias("_ph"), F.col("input_text_sha").alias("_th"),
         F.lit(True).alias("_cached"),
     )
     same_text = F.coalesce(F.col("_th"), F.col("input_text_sha")) == F.col("input_text_sha")
     hit = F.coalesce((F.col("_ph") == F.col("prompt_hash")) & same_text, F.lit(False))
     status = F.when(F.col("_cached").isNull(), "miss").when(hit, "hit").otherwise("stale")
-    return work.join(have, keys, "left").select(*work.columns, status.alias("status"))
+    keyed = work.withColumn("_sev", severity_key(F.col("severity")))
+    return keyed.join(have, keys, "left").select(*work.columns, status.alias("status"))
 
 
 def worklist(work: DataFrame, cache: DataFrame) -> DataFrame:
@@ -120,7 +128,7 @@ def worklist(work: DataFrame, cache: DataFrame) -> DataFrame:
     w, c = work.alias("w"), have.alias("c")
     same = (
         (F.col("w.original_id") == F.col("c.original_id"))
-        & (F.col("w.severity") == F.col("c.severity"))
+        & (severity_key(F.col("w.severity")) == severity_key(F.col("c.severity")))
         & (F.col("w.prompt_hash") == F.col("c.prompt_hash"))
         & (F.col("c._th").isNull() | (F.col("c._th") == F.col("w.input_text_sha")))
     )
@@ -196,7 +204,7 @@ def spotcheck_pairs(df: DataFrame, n_pass: int = 30, n_fail: int = 10, seed=L.SE
         seeded_sample(keys.where(F.col("verdict") == name), "_pair", n, seed=seed)
         for name, n in (("PASS", n_pass), ("FAIL", n_fail))
     )
-    chosen = small_side(passed.unionByName(not_passed).select("_pair"))
+    chosen = pinned(passed.unionByName(not_passed).select("_pair"))
     return keyed.join(chosen, "_pair", "left_semi").select(
         "verdict", "original_id", "severity", "n_orig_urls",
         F.array_join("missing_urls", "; ").alias("missing_urls"), "refused",

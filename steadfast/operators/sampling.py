@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from steadfast import lexicons as L
 from steadfast.functions import hashing as H
-from steadfast.operators.support import small_side
+from steadfast.operators.support import pinned
 
 PREFIX_DIGITS = 4
 
@@ -49,7 +49,7 @@ def hash_cut(
         "_take", F.least(take(F.col("_total")).cast("long"), F.col("_total"))
     )
     before = F.col("_upto") - F.col("_n")
-    edge = small_side(
+    edge = pinned(
         totals.where((before < F.col("_take")) & (F.col("_upto") >= F.col("_take")))
         .select(*keys, "_prefix", (F.col("_take") - before).alias("_need"))
     )
@@ -60,7 +60,7 @@ def hash_cut(
         .where(F.col("_rank") == F.col("_need"))
         .select(*keys, F.col("_digest").alias("_cut_digest"), F.col("_id").alias("_cut_id"))
     )
-    return small_side(cut)
+    return pinned(cut)
 
 
 def _inside(df: DataFrame, id_col: str, cut: DataFrame, strata, seed, how: str) -> tuple:

@@ -3,19 +3,22 @@
 import tempfile
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-SMALL_ROWS = 200_000
 
 
 def ensure_checkpoint_dir(spark) -> str:
-    """The shared checkpoint folder the cluster names. Only where none is configured (a
-    local test session) is a folder of our own set."""
+    """The shared checkpoint folder the cluster names. Where none is configured, a session
+    that runs in one process gets a folder of its own; on a cluster that is an error, since
+    executors don't see each other's local folders."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="steadfast-ckpt-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = context.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="steadfast-ckpt-")
     context.setCheckpointDir(path)
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -24,13 +27,3 @@ def pinned(df: DataFrame) -> DataFrame:
     """Write once and read back, so that later uses see the very same rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """A side table evaluated once. Up to `max_rows` rows it becomes a broadcast literal
-    table; beyond that it is written out and joined by shuffle instead."""
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        fixed = df.sparkSession.createDataFrame(head, schema=df.schema)
-        return F.broadcast(fixed)
-    return pinned(df)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from steadfast import lexicons as L
 from steadfast.operators import metrics as M
 from steadfast.operators.resample import bootstrap_cis
-from steadfast.operators.support import small_side
+from steadfast.operators.support import pinned
 from steadfast.plans.degradation import restrict
 
 
@@ -40,7 +40,7 @@ def external_report(
     externally supplied scores."""
     scope = restrict(positives, ids)
     points = M.condition_metrics(scope, negatives, group)
-    limits = small_side(M.fpr_threshold(negatives, group))
+    limits = pinned(M.fpr_threshold(negatives, group))
     cis = bootstrap_cis(scope, negatives, group, n=n_boot, thresholds=limits, **options)
     wanted = [c for c in cis.columns if c.startswith(("recall_lo", "recall_hi", "recall_fpr_", "pr_auc_", "roc_auc_"))]
     renamed = {"recall_lo": "recall_05_lo", "recall_hi": "recall_05_hi"}

@@ -35,7 +35,7 @@ def build_corpus(
 
 def stable_id():
     """Row id from content identity, so it survives re-reading in another order."""
-    return F.concat(F.col("source"), F.lit("-"), F.substring(F.sha1("original_id"), 1, 16))
+    return F.concat(F.col("source"), F.lit("-"), F.sha1("original_id"))
 
 
 def build_external(
@@ -46,7 +46,7 @@ def build_external(
     same = C.same_year(raw, "date", year)
     text = X.unified_text(F.col("subject"), F.col("body"))
     rows = same.select(
-        F.concat(F.lit(f"{corpus}_"), F.substring(F.sha1("original_id"), 1, 16)).alias("id"),
+        F.concat(F.lit(f"{corpus}_"), F.sha1("original_id")).alias("id"),
         "original_id", F.lit(corpus).alias("source"), text.alias("text"),
         X.has_listed_tag(F.col("body")).alias("had_html"), F.col("label").cast("int").alias("label"),
     )

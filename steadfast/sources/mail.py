@@ -11,13 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steadfast import lexicons as L
+from steadfast.functions.html import read_page
 from steadfast.schemas import PARSED_MESSAGE, RAW_MESSAGE
 
 # Workers get these helpers with the task, whether or not they can import the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LINKS = dict(L.LINK_ATTRIBUTES)
-SKIPPED = tuple(L.SKIPPED_LINKS)
 TAG_PATTERN = L.ANY_TAG
 MEMBERS_PER_BATCH = 500
 
@@ -103,85 +102,51 @@ def read_mailboxes(spark: SparkSession, path: str, prefix: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------- parsing
-def html_text(html: str) -> str:
-    """Visible text of an HTML part, link destinations after their anchor text."""
-    from html.parser import HTMLParser
-
-    class Reader(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.out, self.hidden, self.pending = [], 0, []
-
-        def _target(self, tag, attrs):
-            value = (dict(attrs).get(LINKS.get(tag, "")) or "").strip()
-            return "" if value.lower().startswith(SKIPPED) else value
-
-        def handle_starttag(self, tag, attrs):
-            if tag in ("script", "style"):
-                self.hidden += 1
-            target = self._target(tag, attrs)
-            if target and tag == "area":
-                self.out.append(target)
-            elif tag in LINKS and tag != "area":
-                self.pending.append((tag, target))
-
-        def handle_endtag(self, tag):
-            if tag in ("script", "style"):
-                self.hidden = max(0, self.hidden - 1)
-            while self.pending and any(t == tag for t, _ in self.pending):
-                name, target = self.pending.pop()
-                self.out.append(target)
-                if name == tag:
-                    break
-
-        def handle_data(self, data):
-            if not self.hidden:
-                self.out.append(data)
-
-    reader = Reader()
-    reader.feed(html)
-    reader.close()
-    reader.out += [target for _, target in reversed(reader.pending)]
-    return " ".join(piece for piece in reader.out if piece)
-
-
-def part_text(part) -> str:
+def decoded(part) -> str:
+    """A leaf's text: transfer encoding undone, then its declared charset, or UTF-8 where that
+    is missing, unknown or wrong; bytes that fit neither become replacement characters."""
+    data = part.get_payload(decode=True) or b""
     try:
-        content = part.get_content()
-        return content.decode("utf-8", "replace") if isinstance(content, bytes) else str(content)
-    except Exception:  # broken charset or encoding: keep what can be read
-        payload = part.get_payload(decode=True)
-        return payload.decode("utf-8", "replace") if payload else ""
+        return data.decode(part.get_content_charset() or "utf-8")
+    except (LookupError, ValueError):
+        return data.decode("utf-8", "replace")
+
+
+def leaves(message):
+    """(is HTML, text) of the text leaves. A message that is a single leaf counts as plain
+    text unless it says that it is HTML."""
+    single = not message.is_multipart()
+    for part in message.walk():
+        kind = part.get_content_type()
+        if kind == "text/html" or kind == "text/plain" or single:
+            yield kind == "text/html", decoded(part)
+
+
+def subject_of(message) -> str:
+    try:
+        return str(message["subject"] or "")
+    except Exception:  # the header parser gives up on some broken encodings
+        return ""
 
 
 def parse_message(raw: bytes) -> tuple[str, str, bool]:
-    """(subject, body, had_html). Plain parts win over HTML parts; markup inside a plain
-    part is cleaned too."""
+    """(subject, body, had_html). Plain leaves win over HTML leaves; markup inside plain ones
+    is cleaned too, and counts as HTML."""
     import email
     import re
     from email import policy
 
     message = email.message_from_bytes(raw or b"", policy=policy.default)
-    try:
-        subject = str(message.get("subject", "") or "")
-    except Exception:
-        subject = ""
-    parts = {"text/plain": [], "text/html": []}
-    for part in message.walk() if message.is_multipart() else [message]:
-        kind = part.get_content_type()
-        if not message.is_multipart() and kind != "text/html":
-            kind = "text/plain"
-        if kind in parts:
-            parts[kind].append(part_text(part))
-    plain, html = parts["text/plain"], parts["text/html"]
-    had_html = bool(html)
-    if plain:
-        body = "\n".join(p for p in plain if p)
-        if re.search(TAG_PATTERN, body):
-            had_html, body = True, html_text(body)
-    else:
-        body = "\n".join(html_text(h) for h in html if h)
-    return " ".join(subject.split()), " ".join(body.split()), had_html
+    found = list(leaves(message))
+    had_html = any(html for html, _ in found)
+    wants_html = all(html for html, _ in found)
+    texts = [text for html, text in found if html == wants_html and text]
+    if wants_html:
+        texts = (read_page(text)[0] for text in texts)
+    body = "\n".join(texts)
+    if not wants_html and re.search(TAG_PATTERN, body):
+        had_html, body = True, read_page(body)[0]
+    return *(" ".join(text.split()) for text in (subject_of(message), body)), had_html
 
 
 def parse_messages(raw: DataFrame) -> DataFrame:

@@ -7,14 +7,6 @@ from steadfast.schemas import EMAIL, EXTERNAL_CSV, REWRITE
 from steadfast.sources.mail import with_file_position
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give text-heavy work every core when the input has fewer splits than cores (a few
-    small files). Inputs with enough splits are left as they are: no shuffle is added."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores, key) if splits < cores else df
-
-
 def _csv(spark: SparkSession, schema):
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
 
@@ -65,7 +57,7 @@ def append_rewrites(df: DataFrame, path: str) -> None:
 
 def write_report(df: DataFrame, path: str) -> None:
     """One small CSV per report. Reports have one row per cell, never one per message."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_features(df: DataFrame, path: str) -> None:

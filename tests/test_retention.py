@@ -7,31 +7,34 @@ from steadfast.functions import text as X
 from steadfast.functions import urls as U
 from steadfast.operators import rewrites as R
 
-LANDER = "http://1.2.3.4/login.php"
+FORM = "http://203.0.113.9/token/confirm.cgi"
+FEED = "http://facebook.com/harborcafe"
 CASES = {
     # name: original, rewrite, n, missing, strict, kind, n_primary, primary
-    "kept": ("Verify at http://evil.com/login or call.", "please use http://evil.com/login.", 1, [], True, "exact", 1, True),
+    "kept": (
+        "Your parcel waits: https://parcel-desk.test/track?id=77 (two days left)", "Track it here https://parcel-desk.test/track?id=77 today",
+        1, [], True, "exact", 1, True,
+    ),
     "dropped": (
-        "Verify at http://evil.com/login or leave http://list.example.com/u", "see http://evil.com/login",
-        2, ["http://list.example.com/u"], False, "missing", 1, True,
+        "Renew on http://renewals.test/step1 - opt out: http://mailer.test/optout", "Renewal form: http://renewals.test/step1",
+        2, ["http://mailer.test/optout"], False, "missing", 1, True,
     ),
-    "no_url": ("no links", "still none", 0, [], None, "none", 0, None),
+    "no_url": ("Lunch moved to noon.", "Lunch is at twelve now.", 0, [], None, "none", 0, None),
     "footer_dropped": (
-        f"Confirm at {LANDER} follow http://facebook.com/brand", f"confirm at {LANDER}",
-        2, ["http://facebook.com/brand"], False, "missing", 1, True,
+        f"Enter the token on {FORM} - our page: {FEED}", f"The token goes into {FORM}", 2, [FEED], False, "missing", 1, True,
     ),
     "lander_dropped": (
-        "Update at http://1.2.3.4/verify, leave http://list.org/u", "update soon",
-        2, ["http://1.2.3.4/verify", "http://list.org/u"], False, "missing", 1, False,
+        f"Enter the token on {FORM}, list: http://mailer.test/u", "Enter the token.",
+        2, [FORM, "http://mailer.test/u"], False, "missing", 1, False,
     ),
     "only_footers": (
-        "http://facebook.com/brand and http://twitter.com/brand", "http://facebook.com/brand",
-        2, ["http://twitter.com/brand"], False, "missing", 0, None,
+        f"Find us: {FEED} or http://twitter.com/harborcafe", f"Find us: {FEED}",
+        2, ["http://twitter.com/harborcafe"], False, "missing", 0, None,
     ),
-    "longer_host": ("go http://evil.com now", "go http://evil.com.au now", 1, [], True, "substring", 1, True),
-    "bare_scheme": ("go http://... now", "go http://other.org/x now", 1, [], True, "substring", 1, True),
-    "case_and_dots": ("GO HTTP://Evil.com/A).", "go http://evil.com/a/", 1, [], True, "exact", 1, True),
-    "null_rewrite": ("go http://evil.com", None, 1, ["http://evil.com"], False, "missing", 1, False),
+    "longer_host": ("see http://tide.test today", "see http://tide.test.nz today", 1, [], True, "substring", 1, True),
+    "bare_scheme": ("broken http://... link", "broken https://whole.test/a link, or http://whole.test/b", 1, [], True, "substring", 1, True),
+    "case_and_dots": ("READ HTTP://Notes.TEST/Q7).", "read http://notes.test/q7/", 1, [], True, "exact", 1, True),
+    "null_rewrite": ("read http://notes.test", None, 1, ["http://notes.test"], False, "missing", 1, False),
 }
 
 
@@ -55,8 +58,8 @@ def test_verdict(judged, name):
 
 
 def test_raw_address_outranks_brand(spark):
-    df = spark.createDataFrame([("log in http://1.2.3.4/secure info http://paypal.com/privacy",)], "t string")
-    assert df.select(U.primary_urls(F.col("t")).alias("p")).first()["p"] == ["http://1.2.3.4/secure"]
+    df = spark.createDataFrame([("terms: http://paypal.com/legal - token form: http://203.0.113.9/token/confirm",)], "t string")
+    assert df.select(U.primary_urls(F.col("t")).alias("p")).first()["p"] == ["http://203.0.113.9/token/confirm"]
 
 
 @pytest.mark.parametrize("url,points", [
