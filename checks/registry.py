@@ -40,6 +40,11 @@ def rounded(df, *columns):
     return df.withColumns({c: F.round(F.col(c), 6) for c in columns})
 
 
+def relative_p(df):
+    """Exact p-values reach far below any fixed number of decimals: compare their logs."""
+    return df.withColumn("log10_mcnemar_p", F.round(F.log10("mcnemar_exact_p"), 6)).drop("mcnemar_exact_p")
+
+
 def joined_sorted(column):
     return F.array_join(F.array_sort(column), " ")
 
@@ -330,6 +335,21 @@ def seeded_sample(spark, sf):
     return sampling.seeded_sample(fx.table(spark, sf, "documents").select("doc_id", "source"), "doc_id", 100)
 
 
+CONTENT = """md5('{"source":"' || source || '","lang":"' || lang || '"}')"""
+
+
+@query("sample_with_repeated_ids", f"SELECT source, lang FROM documents ORDER BY {digest(42, 'source')}, source, {CONTENT} LIMIT 333")
+def sample_with_repeated_ids(spark, sf):
+    return sampling.seeded_sample(fx.table(spark, sf, "documents").select("source", "lang"), "source", 333)
+
+
+@query("split_with_repeated_ids", f"""SELECT source, lang, CASE WHEN rn <= ceil(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT source, lang, row_number() OVER (PARTITION BY lang ORDER BY {digest(42, 'source')}, source, {CONTENT}) AS rn,
+  count(*) OVER (PARTITION BY lang) AS n FROM documents)""")
+def split_with_repeated_ids(spark, sf):
+    return sampling.stratified_split(fx.table(spark, sf, "documents").select("source", "lang"), "source", "lang")
+
+
 @query("class_balance", q("emails_v", """SELECT 'source' AS dimension, source AS value, label, count(*) AS n FROM s GROUP BY ALL
   UNION ALL SELECT 'split', split, label, count(*) FROM s GROUP BY ALL""", s=SPLIT))
 def class_balance(spark, sf):
@@ -892,11 +912,11 @@ def weight_sql(u):
 
 
 @query("mcnemar", q("rewrites_v pos_v", """SELECT condition, model, n, round(det_sev0, 6) AS det_sev0, round(det_sev1, 6) AS det_sev1,
-  round(effect_drop, 6) AS effect_drop, b AS mcnemar_b_lost, c AS mcnemar_c_gained, round(p, 6) AS mcnemar_exact_p FROM mp""",
+  round(effect_drop, 6) AS effect_drop, b AS mcnemar_b_lost, c AS mcnemar_c_gained, round(log10(p), 6) AS log10_mcnemar_p FROM mp""",
   inter=INTER, pos=G1_BASE, pairs=PAIRS, mcn=MCN, mp=MCN_P))
 def mcnemar(spark, sf):
     out = significance.paired_tests(_pos(spark, sf, False), _ids(spark, sf))
-    return rounded(out, "det_sev0", "det_sev1", "effect_drop", "mcnemar_exact_p")
+    return rounded(relative_p(out), "det_sev0", "det_sev1", "effect_drop")
 
 
 @query("significant_cells", q("rewrites_v pos_v", "SELECT condition, count(*) AS cells, count(*) FILTER (WHERE p < 0.05) AS significant FROM mp GROUP BY ALL",
@@ -917,10 +937,10 @@ def _mitigation_tests(spark, sf):
 
 
 @query("mitigation_significance", q("rewrites_v pos_v", """SELECT condition, training, model, n, round(det_sev0, 6) AS det_sev0, round(det_sev1, 6) AS det_sev1,
-  round(effect_drop, 6) AS effect_drop, b AS mcnemar_b_lost, c AS mcnemar_c_gained, round(p, 6) AS mcnemar_exact_p FROM mp""",
+  round(effect_drop, 6) AS effect_drop, b AS mcnemar_b_lost, c AS mcnemar_c_gained, round(log10(p), 6) AS log10_mcnemar_p FROM mp""",
   inter=INTER, pos=MIT_POS, pairs=MIT_PAIRS, mcn=MIT_MCN, mp=MCN_P))
 def mitigation_significance(spark, sf):
-    return rounded(_mitigation_tests(spark, sf), "det_sev0", "det_sev1", "effect_drop", "mcnemar_exact_p")
+    return rounded(relative_p(_mitigation_tests(spark, sf)), "det_sev0", "det_sev1", "effect_drop")
 
 
 @query("significant_by_training", q("rewrites_v pos_v", "SELECT training, count(*) AS cells, count(*) FILTER (WHERE p < 0.05) AS significant FROM mp GROUP BY ALL",
@@ -954,13 +974,13 @@ def permutation_test(spark, sf):
 
 
 @query("significance_table", q("rewrites_v pos_v", """SELECT mp.condition, mp.model, n, round(det_sev0, 6) AS det_sev0, round(det_sev1, 6) AS det_sev1,
-  round(effect_drop, 6) AS effect_drop, drop_lo, drop_hi, b AS mcnemar_b_lost, c AS mcnemar_c_gained, perm_p_value, round(p, 6) AS mcnemar_exact_p
+  round(effect_drop, 6) AS effect_drop, drop_lo, drop_hi, b AS mcnemar_b_lost, c AS mcnemar_c_gained, perm_p_value, round(log10(p), 6) AS log10_mcnemar_p
   FROM mp JOIN boot ON mp.condition = boot.condition AND mp.model = boot.model JOIN perm ON mp.condition = perm.condition AND mp.model = perm.model""",
   inter=INTER, pos=G1_BASE, pairs=PAIRS, mcn=MCN, mp=MCN_P,
   reps_b=REPS.format(seed=42, n=1000), reps=REPS.format(seed=43, n=10000), boot=BOOT.replace("JOIN reps)", "JOIN reps_b)"), perm=PERM))
 def significance_table(spark, sf):
     out = significance.significance_table(_pos(spark, sf, False), _ids(spark, sf))
-    return rounded(out, "det_sev0", "det_sev1", "effect_drop", "drop_lo", "drop_hi", "perm_p_value", "mcnemar_exact_p")
+    return rounded(relative_p(out), "det_sev0", "det_sev1", "effect_drop", "drop_lo", "drop_hi", "perm_p_value")
 
 
 def boot_sql(group, n, pos="pos", neg="neg", thr=None):

@@ -43,11 +43,18 @@ def mcnemar_counts(outcomes: DataFrame, cell: Sequence[str]) -> DataFrame:
     )
 
 
+SHIFT = 10
+
+
 def _ln_factorial(n: Column) -> Column:
-    """Stirling series; good to full precision for the large arguments it is used on."""
-    x = n.cast("double") + 1.0
+    """Stirling's series at an argument moved up by SHIFT, where it is good to full precision,
+    less the logs of the factors that this adds: one formula for every n."""
+    n = n.cast("double")
+    x = n + (SHIFT + 1.0)
     series = 1.0 / (12.0 * x) - 1.0 / (360.0 * F.pow(x, F.lit(3.0))) + 1.0 / (1260.0 * F.pow(x, F.lit(5.0)))
-    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + series
+    series = series - 1.0 / (1680.0 * F.pow(x, F.lit(7.0)))
+    added = sum((F.log(n + i) for i in range(2, SHIFT + 1)), F.log(n + 1.0))
+    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + series - added
 
 
 def exact_mcnemar_p(b: Column, c: Column) -> Column:
@@ -55,14 +62,7 @@ def exact_mcnemar_p(b: Column, c: Column) -> Column:
     outward from its largest term; terms more than ten standard deviations out are below
     the last digit of a double, so the sum stays short however large the counts are."""
     n, k = (b + c).cast("long"), F.least(b, c).cast("long")
-    small = F.aggregate(
-        F.sequence(F.lit(1).cast("long"), F.least(F.greatest(k, F.lit(1)), F.lit(10_000).cast("long"))),
-        F.lit(0.0),
-        lambda acc, i: acc + F.when(i <= k, F.log((n - k + i) / i)).otherwise(0.0),
-    )
-    ln_choose = F.when(k <= 10_000, small).otherwise(
-        _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
-    )
+    ln_choose = _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
     reach = F.least(k, F.ceil(10.0 * F.sqrt(n.cast("double"))).cast("long") + 64)
     tail = F.aggregate(
         F.sequence(F.lit(0).cast("long"), F.greatest(reach - 1, F.lit(0).cast("long"))),

@@ -4,6 +4,8 @@ Rows are ordered by the digest of their id. Digests are spread evenly whatever t
 looks like, so a digest prefix is a skew-free bucket. Counting per (stratum, prefix) finds
 the one bucket that holds the cut; only that bucket's rows are ranked. The wide table is
 then filtered in place against one cut row per stratum: it is never shuffled or sorted.
+Where the cut falls within the rows of a repeated id, these are told apart by their content,
+and equal rows by their number.
 """
 
 from collections.abc import Callable, Sequence
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from steadfast import lexicons as L
 from steadfast.functions import hashing as H
+from steadfast.operators.metrics import running, sliced
 from steadfast.operators.support import pinned
 
 PREFIX_DIGITS = 4
@@ -42,7 +45,8 @@ def hash_cut(
     df: DataFrame, id_col: str, take: Callable[[Column], Column],
     strata: Sequence[str] = (), seed=L.SEED,
 ) -> DataFrame:
-    """Per stratum, the last (digest, id) of its first take(total) rows in digest order."""
+    """Per stratum, the last (digest, id) of its first take(total) rows in digest order, how
+    many rows have this id, and how many of them are still taken."""
     keys = ["_one", *strata]
     keyed = _keyed(df, id_col, strata, seed)
     totals = _prefix_totals(keyed, keys).withColumn(
@@ -53,28 +57,43 @@ def hash_cut(
         totals.where((before < F.col("_take")) & (F.col("_upto") >= F.col("_take")))
         .select(*keys, "_prefix", (F.col("_take") - before).alias("_need"))
     )
-    in_edge = Window.partitionBy(*keys).orderBy("_digest", "_id")
-    cut = (
-        keyed.join(edge, [*keys, "_prefix"])
-        .withColumn("_rank", F.row_number().over(in_edge))
-        .where(F.col("_rank") == F.col("_need"))
-        .select(*keys, F.col("_digest").alias("_cut_digest"), F.col("_id").alias("_cut_id"))
+    upto = Window.partitionBy(*keys).orderBy("_digest", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    ids = keyed.join(edge, [*keys, "_prefix"]).groupBy(*keys, "_need", "_digest", "_id").agg(F.count("*").alias("_have"))
+    cut = ids.withColumn("_left", F.col("_need") - F.sum("_have").over(upto) + F.col("_have")).where(
+        (F.col("_left") > 0) & (F.col("_left") <= F.col("_have"))
     )
-    return pinned(cut)
+    return pinned(cut.select(
+        *keys, F.col("_digest").alias("_cut_digest"), F.col("_id").alias("_cut_id"), F.col("_have").alias("_cut_have"),
+        F.col("_left").alias("_cut_left"),
+    ))
 
 
 def _inside(df: DataFrame, id_col: str, cut: DataFrame, strata, seed, how: str) -> tuple:
-    """(rows, condition) telling which rows fall before their stratum's cut."""
+    """(rows, condition, condition): which rows fall before their stratum's cut, and which
+    have the id within whose rows the cut falls."""
     digest, row_id = H.digest(seed, F.col(id_col)), F.col(id_col).cast("string")
+    names = ("_cut_digest", "_cut_id", "_cut_have", "_cut_left")
     if strata:
         rows = df.withColumn("_one", F.lit(0)).join(cut, ["_one", *strata], how)
-        last_digest, last_id = F.col("_cut_digest"), F.col("_cut_id")
-    else:  # one cut: two constants, no join
+    else:  # one cut: constants, no join
         row = cut.first()
-        rows = df
-        last_digest, last_id = (F.lit(v).cast("string") for v in ((row[1], row[2]) if row else (None, None)))
-    inside = (digest < last_digest) | ((digest == last_digest) & (row_id <= last_id))
-    return rows, F.coalesce(inside, F.lit(False))
+        rows = df.withColumns({n: F.lit(row[n] if row else None).cast(cut.schema[n].dataType) for n in names})
+    last_digest, last_id, have, left = map(F.col, names)
+    at_cut = (digest == last_digest) & (row_id == last_id)
+    inside = (digest < last_digest) | ((digest == last_digest) & (row_id < last_id)) | (at_cut & (left == have))
+    return rows, F.coalesce(inside, F.lit(False)), F.coalesce(at_cut & (left < have), F.lit(False))
+
+
+def _divided(rows: DataFrame, columns: Sequence[str], strata: Sequence[str]) -> DataFrame:
+    """Rows of ids that the cut divides, with `_in`: the first ones by content are in. Equal
+    rows are counted, not ranked, so an id with very many rows is no bottleneck."""
+    keys = ["_one", *strata]
+    content = F.md5(F.to_json(F.struct(*columns)))
+    equal = rows.withColumn("_one", F.lit(0)).groupBy(*dict.fromkeys([*keys, *columns]), "_cut_left", content.alias("score")).agg(F.count("*").alias("_n"))
+    ranked = running(sliced(equal, keys), keys, "_n", ("_le", "_all"))
+    taken = F.least(F.greatest(F.col("_cut_left") - (F.col("_le") - F.col("_n")), F.lit(0)), F.col("_n"))
+    copies = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_n")), lambda i: i <= taken)
+    return ranked.withColumn("_in", F.explode(copies)).select(*columns, "_in")
 
 
 def seeded_sample(
@@ -83,8 +102,11 @@ def seeded_sample(
     """The n rows first in digest order (per stratum). A smaller n gives a prefix."""
     size = n if isinstance(n, Column) else F.lit(n)
     cut = hash_cut(df, id_col, lambda total: size, strata, seed)
-    joined, inside = _inside(df, id_col, cut, strata, seed, "inner")
-    return joined.where(inside).select(*df.columns)
+    joined, inside, divided = _inside(df, id_col, cut, strata, seed, "inner")
+    whole = joined.where(inside).select(*df.columns)
+    if not cut.where("_cut_left < _cut_have").take(1):
+        return whole
+    return whole.unionByName(_divided(joined.where(divided), df.columns, strata).where("_in").drop("_in"))
 
 
 def stratified_split(
@@ -95,9 +117,13 @@ def stratified_split(
     cut = hash_cut(
         df, id_col, lambda total: F.ceil(total * F.lit(test_fraction)), [label_col], seed
     )
-    joined, inside = _inside(df, id_col, cut, [label_col], seed, "left")
-    split = F.when(inside, "test").otherwise("train")
-    return joined.select(*[F.col(c) for c in df.columns if c != "split"], split.alias("split"))
+    joined, inside, divided = _inside(df, id_col, cut, [label_col], seed, "left")
+    named = lambda test: F.when(test, "test").otherwise("train").alias("split")
+    columns = [c for c in df.columns if c != "split"]
+    if not cut.where("_cut_left < _cut_have").take(1):
+        return joined.select(*columns, named(inside))
+    parted = _divided(joined.where(divided), columns, [label_col])
+    return joined.where(~divided).select(*columns, named(inside)).unionByName(parted.select(*columns, named(F.col("_in"))))
 
 
 def hash_ranks(
