@@ -602,10 +602,7 @@ def class_weights(spark, sf):
 
 
 def _fold_sql(x):
-    x = f"translate(lower({x}), '{X.ACCENTED}', '{X.UNACCENTED}')"
-    for char, bare in X.EXPANDED:
-        x = f"replace({x}, '{char}', '{bare}')"
-    return rf"regexp_replace({x}, '\p{{Mn}}+', '', 'g')"
+    return f"strip_accents(lower({x}))"
 
 
 GRAMS = f"""SELECT doc_id, unnest(list_concat(g, list_transform(list_zip(g[:-2], g[2:]), lambda z: z[1] || ' ' || z[2]))) AS term

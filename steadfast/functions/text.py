@@ -1,6 +1,8 @@
-"""Text expressions. All are built-in Spark expressions: no Python at run time."""
+"""Text expressions. All but the folding of rare characters are built-in Spark expressions."""
 
+import sys
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -162,39 +164,39 @@ def handcrafted(text: Column, had_html: Column) -> list[Column]:
     return [v.alias(name) for v, name in zip(values, L.HANDCRAFTED)]
 
 
-def _accent_pairs() -> tuple[str, str]:
-    """Characters whose compatibility decomposition is one base character plus marks,
-    worked out from the Unicode tables."""
-    source, target = [], []
-    for code in range(0xC0, 0x2000):
-        char = chr(code)
-        bare = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if bare != char and len(bare) == 1 and char == char.lower():
-            source.append(char)
-            target.append(bare)
-    return "".join(source), "".join(target)
+def fold_accents(text: str) -> str:
+    """Compatibility decomposition without the combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-def _expansions() -> list[tuple[str, str]]:
-    """Lower-case letters that decompose to several characters (ligatures)."""
-    out = []
-    for code in list(range(0xC0, 0x250)) + list(range(0xFB00, 0xFB07)):
+@lru_cache(maxsize=1)
+def _folding() -> tuple[str, str, str]:
+    """From the Unicode tables: characters that fold to a single one, what they fold to, and a
+    pattern of those that fold to several or to none."""
+    source, target, ranges = [], [], []
+    for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
-        bare = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if len(bare) > 1 and char == char.lower() and bare.isalpha():
-            out.append((char, bare))
-    return out
-
-
-ACCENTED, UNACCENTED = _accent_pairs()
-EXPANDED = _expansions()
+        if 0xD800 <= code < 0xE000:
+            continue
+        bare = fold_accents(char)
+        if bare == char:
+            continue
+        if len(bare) == 1:
+            source.append(char)
+            target.append(bare)
+        elif ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join(source), "".join(target), "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
 def strip_accents(text: Column) -> Column:
-    out = F.translate(text, ACCENTED, UNACCENTED)
-    for char, bare in EXPANDED:
-        out = F.replace(out, F.lit(char), F.lit(bare))
-    return F.regexp_replace(out, r"\p{Mn}+", "")
+    """Accent folding over all of Unicode. Texts whose characters fold one to one stay in the
+    JVM; the others, say with ligatures, Hangul or loose marks, are folded in Arrow batches."""
+    source, target, several = _folding()
+    odd = F.pandas_udf(lambda texts: texts.map(fold_accents, na_action="ignore"), "string")
+    return F.coalesce(odd(F.when(F.rlike(text, F.lit(several)), text)), F.translate(text, source, target))
 
 
 def terms(text: Column) -> Column:

@@ -121,3 +121,16 @@ def test_scales_use_population_deviation(spark):
     df = spark.createDataFrame([(1, "ab", False), (2, "abcd", False)], "id int, text string, had_html boolean")
     row = FE.scale_factors(FE.handcrafted_features(df, "id")).first()
     assert row["hc_char_len"] == pytest.approx(1.0) and row["hc_had_html"] == 1.0
+
+
+FOLDED = {
+    "\uff46\uff55\uff4c\uff4c \uff57\uff49\uff44\uff54\uff48": "full width", "\u2163 \u2173": "IV iv", "\ufb01ne \u01c6": "fine dz",
+    "cr\u00e8me br\u00fbl\u00e9e": "creme brulee", "e\u0301le\u0300ve": "eleve", "\uac00": "\u1100\u1161", "\u1e9e\u00df": "\u1e9e\u00df",
+    "\U0001d400\U0001d41b": "Ab", "plain": "plain", "": "",
+}
+
+
+def test_accents_fold_over_all_of_unicode(spark):
+    assert values(spark, list(FOLDED), X.strip_accents) == list(FOLDED.values())
+    assert values(spark, ["\uff34\uff25\uff38\uff34 \u2163"], X.terms) == [["text", "iv"]]
+    assert values(spark, [None, "\ufb00"], X.strip_accents) == [None, "ff"]
