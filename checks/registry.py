@@ -1236,3 +1236,6 @@ def retrain_and_rescore(spark, sf):
     ids = test.where(F.col("label") == 1).select("original_id")
     pos, neg = score_table(grid, test, tested, ids)
     return M.condition_metrics(pos, neg, ["condition", "training", "model"])
+
+
+from checks import stores  # noqa: E402,F401  (registers its queries)

@@ -213,6 +213,16 @@ def robust_verdict(drops: DataFrame, limit: float = L.ROBUST_DROP) -> DataFrame:
     )
 
 
+def in_order(curve: DataFrame, keys: Sequence[str], place: str | None = None) -> DataFrame:
+    """A curve or id list sorted by its keys; with `place`, also each row's place. Ranges are
+    sorted apart and numbered by the totals below, so that long lists may be sorted too."""
+    if place is None:
+        return curve.orderBy(*keys)
+    key = F.struct(*keys)
+    ranked = running(sliced(curve.withColumns({"score": key, "_n": F.lit(1)}), []), [], "_n", (place, "_all"))
+    return ranked.drop("score", "_n", "_all", "_slice").orderBy(*keys)
+
+
 def curve_pivot(
     curve: DataFrame, keys: Sequence[str], metric: str, grid: Sequence[float] = L.SEVERITIES
 ) -> DataFrame:
