@@ -950,22 +950,38 @@ def _outcomes(spark, sf):
     return P.paired_outcomes(degradation.restrict(_pos(spark, sf, False), _ids(spark, sf)), CELL)
 
 
+def paired_draws(laws, pmf, keys, seed, n):
+    """Draws by counting the points of the distribution function that aren't above a uniform."""
+    same = " AND ".join(f"p.{k} = d.{k}" for k in ("condition", "model", "part"))
+    text = " || '|' || ".join([f"'{seed}'", *keys, "r", "part"])
+    return f"""SELECT d.*, d.lo + len(list_filter(p.points, lambda x: x <= d.u)) AS w FROM (
+    SELECT *, ('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT *, unnest(range(1, {n} + 1)) AS r FROM {laws})) d
+  JOIN (SELECT condition, model, part, list(cdf ORDER BY k) AS points FROM (
+    SELECT *, sum({pmf}) OVER (PARTITION BY condition, model, part ORDER BY k) AS cdf
+    FROM (SELECT *, unnest(range(lo, hi + 1)) AS k FROM {laws})) GROUP BY ALL) p ON {same}"""
+
+
+LAWS = """SELECT *, CAST(greatest(0, floor(lam - 12 * sqrt(lam) - 12)) AS BIGINT) AS lo, CAST(ceil(lam + 12 * sqrt(lam) + 40) AS BIGINT) AS hi FROM (
+  SELECT condition, model, x.part AS part, x.lam AS lam FROM (SELECT condition, model, unnest([{'part': 'b', 'lam': b::DOUBLE},
+    {'part': 'c', 'lam': c::DOUBLE}, {'part': 'r', 'lam': (n - b - c)::DOUBLE}]) AS x FROM mcn))"""
 BOOT = f"""SELECT condition, model, round(quantile_cont(m, 0.025), 6) AS drop_lo, round(quantile_cont(m, 0.975), 6) AS drop_hi FROM (
-  SELECT condition, model, r, sum(w * (d0 - d1)) / nullif(sum(w), 0)::DOUBLE AS m FROM (
-    SELECT condition, model, r, d0, d1, {weight_sql(draw_sql(42))} AS w FROM pairs CROSS JOIN reps) GROUP BY ALL) WHERE m IS NOT NULL GROUP BY ALL"""
-
-
-@query("paired_bootstrap", q("rewrites_v pos_v", "SELECT * FROM boot", inter=INTER, pos=G1_BASE, pairs=PAIRS, reps=REPS.format(seed=42, n=1000), boot=BOOT))
+  SELECT condition, model, r, (sum(w) FILTER (WHERE part = 'b') - sum(w) FILTER (WHERE part = 'c')) / nullif(sum(w), 0)::DOUBLE AS m FROM (
+    {paired_draws('laws', "CASE WHEN lam = 0 THEN (k = 0)::INT::DOUBLE ELSE exp(k * ln(lam) - lam - lgamma(k + 1.0::DOUBLE)) END",
+                  ["condition", "model"], 42, 1000)}) GROUP BY ALL) WHERE m IS NOT NULL GROUP BY ALL"""
+FLIPS = """SELECT condition, model, abs(b - c) AS seen, b + c AS m, 'm' AS part,
+  CAST(greatest(0, floor((b + c) / 2.0 - 12 * sqrt(b + c) / 2 - 12)) AS BIGINT) AS lo,
+  CAST(least(b + c, ceil((b + c) / 2.0 + 12 * sqrt(b + c) / 2 + 12)) AS BIGINT) AS hi FROM mcn"""
+PERM = f"""SELECT condition, model, round((count(*) FILTER (WHERE abs(2 * w - m) >= seen) + 1) / 10001.0::DOUBLE, 6) AS perm_p_value FROM (
+  {paired_draws('flips', "exp(lgamma(m + 1.0::DOUBLE) - lgamma(k + 1.0::DOUBLE) - lgamma(m - k + 1.0::DOUBLE) - m * ln(2.0::DOUBLE))",
+                ["condition", "model", "seen", "m"], 43, 10000)}) GROUP BY ALL"""
+
+
+@query("paired_bootstrap", q("rewrites_v pos_v", "SELECT * FROM boot", inter=INTER, pos=G1_BASE, pairs=PAIRS, mcn=MCN, laws=LAWS, boot=BOOT))
 def paired_bootstrap(spark, sf):
     return rounded(S.paired_bootstrap(_outcomes(spark, sf), CELL), "drop_lo", "drop_hi")
 
 
-PERM = f"""SELECT condition, model, round((count(*) FILTER (WHERE abs(s / n::DOUBLE) >= abs(o / n::DOUBLE) - 1e-12) + 1) / 10001.0::DOUBLE, 6) AS perm_p_value FROM (
-  SELECT condition, model, r, sum(CASE WHEN {draw_sql(43)} < 0.5 THEN d0 - d1 ELSE d1 - d0 END) AS s, count(*) AS n, sum(d0 - d1) AS o
-  FROM pairs CROSS JOIN reps GROUP BY ALL) GROUP BY ALL"""
-
-
-@query("permutation_test", q("rewrites_v pos_v", "SELECT * FROM perm", inter=INTER, pos=G1_BASE, pairs=PAIRS, reps=REPS.format(seed=43, n=10000), perm=PERM))
+@query("permutation_test", q("rewrites_v pos_v", "SELECT * FROM perm", inter=INTER, pos=G1_BASE, pairs=PAIRS, mcn=MCN, flips=FLIPS, perm=PERM))
 def permutation_test(spark, sf):
     return rounded(S.permutation_test(_outcomes(spark, sf), CELL), "perm_p_value")
 
@@ -974,7 +990,7 @@ def permutation_test(spark, sf):
   round(effect_drop, 6) AS effect_drop, drop_lo, drop_hi, b AS mcnemar_b_lost, c AS mcnemar_c_gained, perm_p_value, round(log10(p), 6) AS log10_mcnemar_p
   FROM mp JOIN boot ON mp.condition = boot.condition AND mp.model = boot.model JOIN perm ON mp.condition = perm.condition AND mp.model = perm.model""",
   inter=INTER, pos=G1_BASE, pairs=PAIRS, mcn=MCN, mp=MCN_P,
-  reps_b=REPS.format(seed=42, n=1000), reps=REPS.format(seed=43, n=10000), boot=BOOT.replace("JOIN reps)", "JOIN reps_b)"), perm=PERM))
+  laws=LAWS, flips=FLIPS, boot=BOOT, perm=PERM))
 def significance_table(spark, sf):
     out = significance.significance_table(_pos(spark, sf, False), _ids(spark, sf))
     return rounded(relative_p(out), "det_sev0", "det_sev1", "effect_drop", "drop_lo", "drop_hi", "perm_p_value")
@@ -1123,7 +1139,7 @@ def mime_ingest(spark, sf):
     return out.select("original_id", "subject", F.md5("body").alias("body_md5"), "had_html")
 
 
-@query("html_ingest")
+@query("html_ingest", f"SELECT CAST(page_id AS VARCHAR) AS original_id, 'page' AS subject, {_html_text_sql()} AS body, true AS had_html FROM pages")
 def html_ingest(spark, sf):
     """Pages as HTML-only mail, through the full parser."""
     from steadfast.sources.mail import parse_messages

@@ -46,7 +46,7 @@ def mcnemar_counts(outcomes: DataFrame, cell: Sequence[str]) -> DataFrame:
 SHIFT = 10
 
 
-def _ln_factorial(n: Column) -> Column:
+def ln_factorial(n: Column) -> Column:
     """Stirling's series at an argument moved up by SHIFT, where it is good to full precision,
     less the logs of the factors that this adds: one formula for every n."""
     n = n.cast("double")
@@ -62,7 +62,7 @@ def exact_mcnemar_p(b: Column, c: Column) -> Column:
     outward from its largest term; terms more than ten standard deviations out are below
     the last digit of a double, so the sum stays short however large the counts are."""
     n, k = (b + c).cast("long"), F.least(b, c).cast("long")
-    ln_choose = _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
+    ln_choose = ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k)
     reach = F.least(k, F.ceil(10.0 * F.sqrt(n.cast("double"))).cast("long") + 64)
     tail = F.aggregate(
         F.sequence(F.lit(0).cast("long"), F.greatest(reach - 1, F.lit(0).cast("long"))),

@@ -7,14 +7,16 @@ in one place: it needs no shared state, and a retried task draws the same weight
 
 import hashlib
 import json
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadfast import lexicons as L
 from steadfast.functions import hashing as H
 from steadfast.operators.metrics import running, sliced
+from steadfast.operators.paired import ln_factorial
 from steadfast.operators.support import pinned
 
 REPLICATE_TYPE = "array<struct<replicate:int,a:bigint,b:bigint,c:bigint>>"
@@ -42,34 +44,57 @@ def poisson_weight(u: Column) -> Column:
     return weight
 
 
-def _draws(df: DataFrame, row_id: Sequence[str], seed, n: int) -> DataFrame:
-    """Narrow rows times replicates with column _u. Followed at once by a map-side combined
-    aggregate, so the product is never shuffled."""
-    h1, h2 = H.row_hashes(seed, *[F.col(c) for c in row_id])
-    return (
-        df.withColumns({"_h1": h1, "_h2": h2})
-        .withColumn("_r", F.explode(replicates(seed, n)))
-        .withColumn("replicate", F.col("_r.replicate"))
-        .withColumn(
-            "_u",
-            H.replicate_uniform(F.col("_h1"), F.col("_h2"), F.col("_r.a"), F.col("_r.b"), F.col("_r.c")),
-        )
-        .drop("_r", "_h1", "_h2")
+def _counts(outcomes: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """Rows, lost and gained detections per cell: all that the paired statistics depend on."""
+    d0, d1 = F.col("d0"), F.col("d1")
+    return outcomes.groupBy(*cell).agg(
+        F.count("*").alias("n"), F.count_if((d0 == 1) & (d1 == 0)).alias("b"), F.count_if((d0 == 0) & (d1 == 1)).alias("c")
+    )
+
+
+def _drawn(laws: DataFrame, chance: Column, keys: Sequence[str], n: int, seed) -> DataFrame:
+    """(keys, replicate, value): n draws from each row's law on lo..hi, where `chance` is the
+    probability of `k`. Points of the distribution function and uniforms are put in one order;
+    a draw's value is the number of points up to it. So the cost is that of the points (some
+    deviations of the law) and draws, whatever the number of rows behind them."""
+    along = Window.partitionBy(*keys)
+    points = (
+        laws.withColumn("k", F.explode(F.sequence("lo", "hi")))
+        .withColumn("_p", F.sum(chance).over(along.orderBy("k")))
+        .select(*keys, "lo", "_p", F.lit(None).cast("int").alias("replicate"), F.lit(1).alias("_step"))
+    )
+    draws = laws.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).select(
+        *keys, "lo", H.uniform(seed, *[F.col(k) for k in keys[:-1]], F.col("replicate"), F.col(keys[-1])).alias("_p"),
+        "replicate", F.lit(0).alias("_step"),
     )
+    upto = along.orderBy("_p", F.desc("_step")).rowsBetween(Window.unboundedPreceding, 0)
+    both = points.unionByName(draws).withColumn("value", F.col("lo") + F.sum("_step").over(upto))
+    return both.where(F.col("replicate").isNotNull()).select(*keys, "replicate", "value")
+
+
+#: How far from its mean a law is followed: tails beyond are below the uniforms' resolution.
+DEVIATIONS = 12
 
 
 def paired_bootstrap(
-    outcomes: DataFrame, cell: Sequence[str], row_id: Sequence[str] = ("row_id",),
-    n: int = L.N_BOOTSTRAP, ci: float = L.CI_LEVEL, seed=L.SEED,
+    outcomes: DataFrame, cell: Sequence[str], n: int = L.N_BOOTSTRAP, ci: float = L.CI_LEVEL, seed=L.SEED,
 ) -> DataFrame:
-    """Percentile interval of the mean drop d0 - d1."""
-    narrow = outcomes.select(*cell, *row_id, (F.col("d0") - F.col("d1")).alias("diff"))
-    weight = poisson_weight(F.col("_u"))
-    means = (
-        _draws(narrow, row_id, seed, n)
-        .withColumn("_w", weight)
-        .groupBy(*cell, "replicate")
-        .agg((F.sum(F.col("_w") * F.col("diff")) / F.nullif(F.sum("_w"), F.lit(0))).alias("mean"))
+    """Percentile interval of the mean drop d0 - d1. Unit-rate Poisson weights of rows that
+    count alike add up to one Poisson number, so a replicate draws three numbers a cell."""
+    parts = F.array(*[
+        F.struct(F.lit(name).alias("part"), value.cast("double").alias("mean"))
+        for name, value in (("b", F.col("b")), ("c", F.col("c")), ("r", F.col("n") - F.col("b") - F.col("c")))
+    ])
+    mean, k = F.col("mean"), F.col("k")
+    reach = DEVIATIONS * F.sqrt(mean)
+    laws = _counts(outcomes, cell).select(*cell, F.inline(parts)).withColumns({
+        "lo": F.greatest(F.lit(0), F.floor(mean - reach - DEVIATIONS)).cast("long"), "hi": F.ceil(mean + reach + 40).cast("long"),
+    })
+    chance = F.when(mean == 0, (k == 0).cast("double")).otherwise(F.exp(k * F.log(mean) - mean - ln_factorial(k)))
+    drawn = _drawn(laws, chance, [*cell, "part"], n, seed)
+    of = lambda name: F.sum(F.when(F.col("part") == name, F.col("value")))
+    means = drawn.groupBy(*cell, "replicate").agg(
+        ((of("b") - of("c")) / F.nullif(F.sum("value").cast("double"), F.lit(0.0))).alias("mean")
     )
     a = (1 - ci) / 2
     return means.groupBy(*cell).agg(
@@ -79,25 +104,21 @@ def paired_bootstrap(
 
 
 def permutation_test(
-    outcomes: DataFrame, cell: Sequence[str], row_id: Sequence[str] = ("row_id",),
-    n: int = L.N_PERMUTATIONS, seed=L.SEED + 1,
+    outcomes: DataFrame, cell: Sequence[str], n: int = L.N_PERMUTATIONS, seed=L.SEED + 1,
 ) -> DataFrame:
-    """Sign-flip p-value. Rows that agree cannot change the statistic, so only discordant
-    rows are expanded over the permutations."""
-    diff = F.col("d0") - F.col("d1")
-    sizes = outcomes.groupBy(*cell).agg(F.count("*").alias("_n"), F.sum(diff).alias("_observed"))
-    live = outcomes.where(diff != 0).select(*cell, *row_id, diff.alias("diff"))
-    flipped = F.when(F.col("_u") < 0.5, F.col("diff")).otherwise(-F.col("diff"))
-    sums = (
-        _draws(live, row_id, seed, n).withColumn("_f", flipped)
-        .groupBy(*cell, "replicate").agg(F.sum("_f").alias("_sum"))
-    )
-    joined = sizes.withColumn("_one", F.lit(0)).join(sums.withColumn("_one", F.lit(0)), ["_one", *cell], "left")
-    reached = F.abs(F.col("_sum") / F.col("_n")) >= F.abs(F.col("_observed") / F.col("_n")) - 1e-12
-    hits = F.count_if(reached)
-    # A cell without discordant rows reaches its observed zero in every permutation.
-    hits = F.when(F.count("_sum") == 0, F.lit(n)).otherwise(hits)
-    return joined.groupBy(*cell).agg(((hits + 1) / F.lit(n + 1.0)).alias("perm_p_value"))
+    """Sign-flip p-value. Only discordant rows move the statistic, and flipping m signs is one
+    binomial number, so a permutation draws a single number a cell."""
+    counts = _counts(outcomes, cell).withColumns({"m": F.col("b") + F.col("c"), "seen": F.abs(F.col("b") - F.col("c")), "part": F.lit("m")})
+    m, k = F.col("m"), F.col("k")
+    reach = DEVIATIONS * F.sqrt(m.cast("double")) / 2 + DEVIATIONS
+    laws = counts.withColumns({
+        "lo": F.greatest(F.lit(0), F.floor(m / 2 - reach)).cast("long"), "hi": F.least(m, F.ceil(m / 2 + reach)).cast("long"),
+    })
+    keys = [*cell, "seen", "m"]
+    chance = F.exp(ln_factorial(m) - ln_factorial(k) - ln_factorial(m - k) - m * math.log(2))
+    drawn = _drawn(laws.select(*keys, "part", "lo", "hi"), chance, [*keys, "part"], n, seed)
+    hits = F.count_if(F.abs(2 * F.col("value") - m) >= F.col("seen"))
+    return drawn.groupBy(*cell).agg(((hits + 1) / F.lit(n + 1.0)).alias("perm_p_value"))
 
 
 # ------------------------------------------------------------------ metric intervals
@@ -253,8 +274,6 @@ def _order(bucket="_bucket", heavy="_heavy"):
 def _stitch(rows, part, per_bucket, worker, out_type, keys, slot, cell, sums):
     """Add what lies outside each slice: negatives below (for pairs) and counts above (for
     precision steps, whose second pass redraws the same weights)."""
-    from pyspark.sql import Window
-
     table = pinned(per_bucket.withColumn("_at", _order()))
     is_pos = F.lit(True)
     for c in cell:
