@@ -61,12 +61,15 @@ def _link(position: int, page: str):
     ))
 
 
-def emails(spark, sf) -> DataFrame:
-    """Every document with up to two URLs appended; one without a label counts as negative."""
+def emails(spark, sf, positives: bool = False) -> DataFrame:
+    """Every document with up to two URLs appended; one without a label counts as negative.
+    Only the positives, if these alone are asked for."""
     pages = table(spark, sf, "pages").select("page_id", "url")
     n_pages = pages.count()
     doc = F.col("doc_id")
-    keyed = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left").withColumns({
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    marked = (labels.where(F.col("toxic") == 1), "inner") if positives else (labels, "left")
+    keyed = table(spark, sf, "documents").join(marked[0], "doc_id", marked[1]).withColumns({
         "_p0": F.when(doc % 5 < 4, doc % n_pages), "_p1": F.when(doc % 3 == 0, (doc + 7) % n_pages),
     })
     for i in (0, 1):
@@ -82,7 +85,7 @@ def emails(spark, sf) -> DataFrame:
 
 def rewrite_log(spark, sf) -> DataFrame:
     """Append log of rewrites of the positives: some pairs are written twice."""
-    base = emails(spark, sf).where(F.col("label") == 1)
+    base = emails(spark, sf, positives=True)
     grid = (
         base.withColumn("severity", F.explode(lit_array(L.REWRITE_SEVERITIES)))
         .withColumn("generator", F.explode(lit_array(GENERATORS)))

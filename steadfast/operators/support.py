@@ -1,6 +1,7 @@
 """Helpers for side tables that other operators join to."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -24,6 +25,9 @@ def ensure_checkpoint_dir(spark) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Write once and read back, so that later uses see the very same rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write once to the shared folder and read back, so that later uses see the very same
+    rows and the optimizer knows their bytes: it broadcasts what is small and shuffles the
+    rest."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

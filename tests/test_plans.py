@@ -10,12 +10,13 @@ from checks.registry import QUERIES
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
-PYTHON_ALLOWED = {"bootstrap_ci", "mime_ingest", "html_ingest", "mbox_ingest", "corpus_build"}
+# Terms: characters that fold to several are folded in Arrow batches.
+PYTHON_ALLOWED = {"bootstrap_ci", "mime_ingest", "html_ingest", "mbox_ingest", "corpus_build", "tfidf_weights", "linear_score"}
 CHECKED = (
     "retention_funnel", "intersection_ids", "last_write_wins", "dedup_first", "cleaning_funnel", "stratified_split",
     "kfold_assign", "dense_index", "seeded_sample", "tfidf_weights", "linear_score", "roc_auc", "fpr_threshold",
     "mcnemar", "paired_bootstrap", "permutation_test", "bootstrap_ci", "cache_reconcile", "release_emails",
-    "handcrafted_features", "mime_ingest",
+    "handcrafted_features", "mime_ingest", "url_ablation", "mitigation_grid", "release_rewrites", "significance_table", "corpus_build",
 )
 
 
@@ -52,3 +53,13 @@ def test_wide_rows_are_not_shuffled_by_sampling(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").withColumnRenamed("lang", "label")
     plan = plan_of(stratified_split(df, "doc_id"))
     assert "Exchange hashpartitioning" not in plan and "Sort [" not in plan
+
+
+def test_last_write_wins_sorts_no_text(spark):
+    plan = plan_of(QUERIES["last_write_wins"][0](spark, SF))
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and re.search(r"\b(raw|original_text|doc_text|text)#", line)]
+
+
+def test_paired_statistics_have_no_rows_times_replicates(spark):
+    plan = plan_of(QUERIES["permutation_test"][0](spark, SF))
+    assert not [line for line in plan.splitlines() if "Generate" in line and "row_id#" in line]
