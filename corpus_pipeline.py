@@ -15,7 +15,7 @@ from steadfast.llm import langid, neardup, packing, pii, quality
 from steadfast.llm.common import saved, table
 
 #: A document of no known language, or with less than this share in its first one, is rejected.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.3
 SIMILARITY_PCT = 80
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
