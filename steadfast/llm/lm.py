@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from steadfast.llm.common import fold, partitions, saved, texts_of
 
-CHUNK_BYTES = 8 << 20
-REQUESTS_PER_BUCKET = 4_000_000
+CHUNK_BYTES = 6 << 20
+REQUESTS_PER_BUCKET = 1_500_000
 STEPS = 12
 PART = 1  # this fold's documents are the deleted part that the weights are learned on
 CONTEXTS = 65
