@@ -42,3 +42,10 @@ def partitions(spark: SparkSession) -> int:
 def texts_of(batch, column: str = "text") -> list[str]:
     """A batch's texts; null is the empty text."""
     return [t if t is not None else "" for t in batch.column(column).to_pylist()]
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of some rows, so that Python holds few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadfast.llm.common import fold, partitions, saved, texts_of
+from steadfast.llm.common import fold, partitions, saved, slices, texts_of
 
 CHUNK_BYTES = 6 << 20
 REQUESTS_PER_BUCKET = 1_500_000
@@ -86,7 +86,7 @@ def _chunks(batches):
         ], names=["chunk", "part", "tokens", "docs", "folds", "sizes", "words", "seq"])
 
     opened = {True: Open(), False: Open()}
-    for batch in batches:
+    for batch in slices(batches):
         columns = batch.column("doc_id").to_pylist(), batch.column("fold").to_pylist(), texts_of(batch)
         for doc, fold_, text in zip(*columns):
             part, raw = fold_ == PART, text.encode()

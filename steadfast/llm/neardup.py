@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadfast.llm.common import saved
+from steadfast.llm.common import saved, slices
 from steadfast.llm.components import components
 
 WORDS = 5
@@ -82,7 +82,7 @@ def chunks_for(similarity: float) -> int:
 def sets(docs: DataFrame, symbols: int) -> DataFrame:
     """Per row: its id, the size and digest of its set, and the set's signature."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = []
             for text in batch.column("text").to_pylist():
                 h = shingles(text)
@@ -126,7 +126,7 @@ def compared(pairs: DataFrame, texts: DataFrame, similarity_pct: int) -> DataFra
         def known(text):
             return shingles(text)
 
-        for batch in batches:
+        for batch in slices(batches):
             linked, size, lacks, extra = [], [], [], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = known(x), shingles(y)
@@ -151,7 +151,7 @@ def texts_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").select("node", "text")
 
     def own(batches):  # an id that several texts share: only the class's own text
-        for batch in batches:
+        for batch in slices(batches):
             keep = [xxhash.xxh3_64_intdigest(shingles(t).tobytes()) - 2**63 == n for n, t in
                     zip(batch.column("node").to_pylist(), batch.column("text").to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
@@ -169,7 +169,7 @@ def _across(rows: DataFrame) -> DataFrame:
 def own_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, own): how many shingles of a class no other class of `rows` has, centres included."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = [shingles(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([pa.array(np.repeat(batch.column("node").to_numpy(), [len(h) for h in made])),
                                    pa.array(np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64))],

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadfast.llm.common import fold, saved, texts_of
+from steadfast.llm.common import fold, saved, slices, texts_of
 
 SLOTS = 4096
 WIDTH = 48
@@ -66,7 +66,7 @@ def places(text: str, known: Words) -> np.ndarray:
 def _contexts(batches):
     dims, signs = _index()
     known, sums = Words(), np.zeros(SLOTS * WIDTH)
-    for batch in batches:
+    for batch in slices(batches):
         flat, weight = [], []
 
         def add():
@@ -118,7 +118,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
 
     def run(batches):
         known = Words()
-        for batch in batches:
+        for batch in slices(batches):
             rows = [pooled_vector(t, known, shared.value).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "pooled"])
 
