@@ -1048,6 +1048,17 @@ def degradation_curve_ci(spark, sf):
     return rounded(out, *L.METRICS, *HEAD_CI)
 
 
+@query("sensitivity_curve_ci", q("rewrites_v pos_v neg_v", f"""SELECT 'per_severity_pass' AS "set", e.model, e.severity, n_phish, {FIVE}, {', '.join(HEAD_CI)}
+  FROM ({eval_sql(['model'], ['severity'])}) e JOIN ({boot_sql(['model'], 1000)}) b ON e.model = b.model AND e.severity = b.severity""",
+    inter=INTER, neg=NEG_BASE, reps=REPS.format(seed=42, n=1000), pos=f"""SELECT * FROM pos_v p WHERE {BASE} AND generator = 'g1' AND CASE WHEN severity = 0 THEN row_id IN {G1}
+      ELSE EXISTS (SELECT 1 FROM rewrites_v r WHERE r.generator = 'g1' AND r.original_id = p.row_id AND r.severity = p.severity AND {VALID}) END"""))
+def sensitivity_curve_ci(spark, sf):
+    judged = fx.rewrites(spark, sf).where(F.col("generator") == "g1")
+    pairs = judged.where(R.is_valid()).select(F.col("original_id").alias("row_id"), "severity")
+    out = degradation.sensitivity_curve(_pos(spark, sf), _neg(spark, sf), pairs, _ids(spark, sf))
+    return rounded(out, *L.METRICS, *HEAD_CI)
+
+
 REPORT_CI = ["recall_05_lo", "recall_05_hi", "recall_fpr_lo", "recall_fpr_hi", "pr_auc_lo", "pr_auc_hi", "roc_auc_lo", "roc_auc_hi"]
 
 
@@ -1210,19 +1221,13 @@ def external_corpus(spark, sf):
 
 
 # --------------------------------------------------------------------- models
-def _small():
-    from steadfast.operators.detect import TrainingParams
-
-    return TrainingParams(max_terms=500, max_iter=50, forest_trees=10, forest_depth=6, boost_rounds=5)
-
-
 @query("train_detectors")
 def train_detectors(spark, sf):
     """Fit on the training split, score the test split: the clean table of every detector."""
     from steadfast.operators.detect import fit_detectors
 
     mail = _emails_split(spark, sf).withColumn("row_id", F.col("original_id"))
-    detectors = fit_detectors(mail.where(F.col("split") == "train"), params=_small())
+    detectors = fit_detectors(mail.where(F.col("split") == "train"))
     scored = detectors.score(mail.where(F.col("split") == "test"), ["label"])
     return M.detection_metrics(*M.split_classes(scored, ["model"]), ["model"])
 
@@ -1232,7 +1237,7 @@ def cross_validate(spark, sf):
     from steadfast.operators.detect import cross_validate as cv
 
     mail = fx.emails(spark, sf).withColumn("row_id", F.col("original_id"))
-    return cv(mail, k=3, params=_small(), names=["logreg"])
+    return cv(mail)
 
 
 @query("retrain_and_rescore")
@@ -1248,7 +1253,7 @@ def retrain_and_rescore(spark, sf):
     taught = g2.join(train.select("original_id"), "original_id", "left_semi")
     tested = g1.join(test.select("original_id"), "original_id", "left_semi")
     augmented = R.augment_training(train, taught, R.is_valid())
-    grid = train_grid(train, augmented, _small(), ["logreg"])
+    grid = train_grid(train, augmented)
     ids = test.where(F.col("label") == 1).select("original_id")
     pos, neg = score_table(grid, test, tested, ids)
     return M.condition_metrics(pos, neg, ["condition", "training", "model"])
