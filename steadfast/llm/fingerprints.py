@@ -63,14 +63,13 @@ def shingle_hashes(text: str) -> np.ndarray:
 def sketch(text: str) -> np.ndarray:
     """Retained hashes, ascending. Long texts go through in overlapping blocks."""
     blocks = [text[i:i + BLOCK + WIDTH - 1] for i in range(0, max(1, len(text) - WIDTH + 1), BLOCK)]
-    low, rest = [], np.zeros(0, np.uint32)
+    kept, rest = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
     for block in blocks:
         hashes = shingle_hashes(block)
-        low.append(hashes[hashes < LIMIT])
-        if sum(map(len, low)) < 4 * FLOOR:
+        kept = np.union1d(kept, hashes[hashes < LIMIT])
+        if len(kept) < FLOOR:  # distinct ones: a repeated shingle fills no second place
             rest = np.unique(np.concatenate([rest, hashes]))[:FLOOR]
-    kept = np.unique(np.concatenate(low))
-    return kept if len(kept) >= FLOOR else np.union1d(kept, rest)[:FLOOR]
+    return kept if len(kept) >= FLOOR else rest
 
 
 def to_text(hashes: np.ndarray) -> str:

@@ -34,6 +34,21 @@ def test_long_texts_go_in_blocks(monkeypatch):
     assert fp.sketch(text).tolist() == whole.tolist()
 
 
+def test_repeated_shingles_leave_the_sketch_whole(monkeypatch):
+    line = "a line of sixty characters that a text repeats many times.\n\n"
+    twice, often = fp.sketch(line * 2), fp.sketch(line * 1000)
+    assert len(twice) == fp.FLOOR and often.tolist() == twice.tolist() and fp.likeness(twice, often) == 1.0
+    few = "0123456789ab" * 500  # 12 shingles, fewer than FLOOR: all are kept
+    assert fp.sketch(few).tolist() == np.unique(fp.shingle_hashes(few)).tolist()
+    monkeypatch.setattr(fp, "BLOCK", 50)
+    assert fp.sketch(line * 1000).tolist() == twice.tolist()
+    # the places that the floor needs may come after a block that has many low hashes of one shingle
+    text = line * 20 + helpers.sentence(4, 12)
+    want = np.unique(fp.shingle_hashes(text))
+    low = want[want < fp.LIMIT]
+    assert fp.sketch(text).tolist() == (low if len(low) >= fp.FLOOR else want[:fp.FLOOR]).tolist()
+
+
 @pytest.mark.parametrize("per_range", [3, 20_000])
 def test_neighbours(spark, monkeypatch, per_range):
     monkeypatch.setattr(fp, "ROWS_PER_RANGE", per_range)
