@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadfast.llm.common import saved, texts_of
-from steadfast.llm.tokens import encoder
+from steadfast.llm.tokens import ids_of
 
 SIZE = 1024
 END_ID = 0
@@ -31,11 +31,11 @@ SLOT = "length long, first long, past long, sequence_base long, offset long"
 
 def _cut(path, size, end_id, with_ids):
     def run(batches):
-        one, task, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        ids_in, task, seen = ids_of(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                ids = np.array([*one.encode_ordinary(text), end_id], "<u4")
+                ids = np.array([*ids_in(text), end_id], "<u4")
                 for start in range(0, len(ids), size):
                     piece = ids[start:start + size].tobytes()
                     n = len(piece) // 4

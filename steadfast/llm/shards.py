@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadfast.llm.common import new_path, partitions, saved, texts_of
-from steadfast.llm.tokens import encoder
+from steadfast.llm.tokens import encoder, ids_of
 
 SIZE = 512
 KEY = 20_240_607
@@ -73,7 +73,7 @@ class Permutation:
 def _dealt(path, size, end_id, kind, first, null_place, pieces, shards, key, domain):
     """Sequences by shard; those of some megabytes of text that go to one shard are one row."""
     def run(batches):
-        one, moved = encoder(path), Permutation(domain, key)
+        ids_in, moved = ids_of(path), Permutation(domain, key)
         waiting: dict[int, list[bytes]] = {}
         held = 0
 
@@ -85,7 +85,7 @@ def _dealt(path, size, end_id, kind, first, null_place, pieces, shards, key, dom
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                ids = np.array([*one.encode_ordinary(text), end_id], kind)
+                ids = np.array([*ids_in(text), end_id], kind)
                 place = null_place if doc is None else doc - first
                 for piece, start in enumerate(range(0, len(ids), size)):
                     own = ids[start:start + size].tobytes()

@@ -5,7 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -104,3 +106,16 @@ def test_shards_round_trip(spark, tmp_path):
     assert key(manifest) == key(again)
     assert key(shards.write(docs, RANKS, f"{tmp_path}/c", size=32, key=1)) != key(manifest)
     assert shards.read(shards.write(helpers.nothing(spark), RANKS, f"{tmp_path}/d")).count() == 0
+
+
+def test_added_tokens_are_cut_out_as_the_tokenizer_file_says(spark, tmp_path):
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end} x", f"one  {end}  two\n\n{end}", f"a <|endof{end}text|> é{end}😀", "<|ENDOFTEXT|> <|endoftext |>", f"it's {end}'s"]
+    whole = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [np.array([*whole.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    assert ids[0].tolist() == [64, 50256, 65, 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((i, 0, len(v), zlib.crc32(v.tobytes()), len(v)) for i, v in enumerate(ids))
+    assert sorted(tuple(r)[:5] for r in packing.pack(docs, RANKS).collect()) == want
+    read = shards.read(shards.write(docs, RANKS, f"{tmp_path}/added")).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in read) == [w[:4] for w in want]
