@@ -61,24 +61,38 @@ def _in_blocks(values: Column, body) -> Column:
     return F.when(F.size(values) > 0, F.flatten(each)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def _matches(text: Column, pattern: str, kind: int) -> Column:
-    """All matches with their places: what lies between them gives the places."""
+def _matches(text: Column, pattern: str, kind: int, whole: Column | None = None) -> Column:
+    """All matches with their places: what lies between them gives the places. What stands before
+    a match comes from `whole`, a text of the same places (`text` itself if None); it is cut from
+    the part of `whole` that the match's block covers, so that long texts aren't walked per match."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    whole = text if whole is None else whole
     sized = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda n, v: n + F.length(v))
+    cut = lambda value, begin, n: F.substring(value, (begin + 1).cast("int"), n.cast("int"))
 
     def block(both, values, before):
         at = sized(F.slice(both["pieces"], F.lit(1), before)) + sized(F.slice(both["found"], F.lit(1), before))
-        start = F.struct(at.alias("at"), (before + 1).alias("i"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+        long = sized(F.slice(both["pieces"], before + 1, F.size(values))) + sized(values)
 
-        def add(state, value):
-            piece = F.element_at(both["pieces"], state["i"])
-            begin = state["at"] + F.length(piece)
-            end = begin + F.length(value)
-            span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"),
-                            F.right(piece, F.lit(REACH)).alias("before"))
-            return F.struct(end.alias("at"), (state["i"] + 1).alias("i"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        def spans(near):
+            start = F.struct(near["at"].alias("at"), (before + 1).alias("i"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
-        return F.aggregate(values, start, add, lambda state: state["spans"])
+            def add(state, value):
+                begin = state["at"] + F.length(F.element_at(both["pieces"], state["i"]))
+                end = begin + F.length(value)
+                ahead = begin - near["from"]
+                context = cut(near["text"], F.greatest(F.lit(0), ahead - REACH), F.least(ahead, F.lit(REACH)))
+                span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"),
+                                context.alias("before"))
+                return F.struct(end.alias("at"), (state["i"] + 1).alias("i"), F.concat(state["spans"], F.array(span)).alias("spans"))
+
+            return F.aggregate(values, start, add, lambda state: state["spans"])
+
+        def near(at):
+            since = F.greatest(F.lit(0), at - REACH)
+            return F.struct(at.alias("at"), since.alias("from"), cut(whole, since, long + REACH).alias("text"))
+
+        return _bound(at, lambda at: _bound(near(at), spans))
 
     return _bound(F.struct(pieces.alias("pieces"), found.alias("found")),
                   lambda both: _in_blocks(both["found"], lambda values, before: block(both, values, before)))
@@ -118,10 +132,10 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast(f"array<{SPAN}>")
     clean = F.translate(text, MARK, " ")
     parts = [
-        F.when(F.contains(text, F.lit("@")), _matches(F.regexp_replace(clean, LONE_DOT, MARK), EMAIL, 0)),
+        F.when(F.contains(text, F.lit("@")), _matches(F.regexp_replace(clean, LONE_DOT, MARK), EMAIL, 0, text)),
         F.when(F.rlike(text, F.lit(IP)), F.filter(_matches(text, IP, 1), lambda s: _is_ip(s["value"]))),
         F.when(F.rlike(text, F.lit("[0-9](?:[ -]?[0-9]){11}")),
-               F.filter(_matches(F.regexp_replace(clean, LONE_SEPARATOR, MARK), CARD, 2), lambda s: _is_card(s["value"]))),
+               F.filter(_matches(F.regexp_replace(clean, LONE_SEPARATOR, MARK), CARD, 2, text), lambda s: _is_card(s["value"]))),
         F.when(F.contains(text, F.lit("+")), F.filter(_matches(text, PHONE, 3), lambda s: _is_phone(s["value"]))),
     ]
     every = F.concat(*(F.coalesce(p, none) for p in parts))
@@ -146,7 +160,7 @@ def unknown_identifiers(text: Column, base: Column) -> Column:
         begin, end = s["start"] + F.length(front), s["end"] - F.length(back)
         return F.struct(begin.alias("start"), F.greatest(begin, end).alias("end"), F.lit(-1).alias("kind"),
                         F.substring(s["value"], F.length(front) + 1, F.greatest(F.lit(0), (end - begin).cast("int"))).alias("value"),
-                        s["before"].alias("before"))
+                        F.right(F.concat(s["before"], front), F.lit(REACH)).alias("before"))
 
     tokens = F.transform(_matches(text, TOKEN, -1), trimmed)
     kept = F.filter(tokens, lambda s: (F.contains(s["value"], F.lit("@")) & (F.length(s["value"]) > 4)

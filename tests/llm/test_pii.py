@@ -62,6 +62,30 @@ def test_contexts_discover(spark):
     assert clean[100] == "please  call MY Number: [PHONE], or see page 1234567." and clean[3] == "Please call my number: [PHONE] today."
 
 
+def luhn(body):
+    return next(body + d for d in "0123456789" if passes("card", body + d))
+
+
+def test_contexts_are_taken_from_the_whole_text(spark):
+    seeds = [(i, f"Order 123, passport +1 555 555 {1000 + i}") for i in range(30)]
+    # after an earlier match of their own kind, and behind spaces that a card can't have
+    seeds += [(i, f"or +1 555 555 0000, fax +1 555 444 {1000 + i}") for i in range(30, 60)]
+    seeds += [(i, f"charge the card {luhn(f'41110000000{1000 + i}')}") for i in range(60, 90)]
+    texts = ["Order 123, passport 4567899", "or 0000, fax 7654321", "charge the card 99887766", "Order 124, passport 4567891"]
+    docs = spark.createDataFrame(seeds + list(enumerate(texts, 100)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert spans[100] == "phone:20:27" and spans[101] == "phone:13:20" and spans[102] == "card:16:24" and spans[103] == ""
+
+
+def test_contexts_in_long_lists(spark):
+    text = " ".join(f"w{'o' * (i % 7)} é (no. {i}1234, <x{i}@y.zz>" for i in range(700))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = pii.found_in(docs, ["doc_id"]).first()
+    assert len(found.base) == 700 and len(found.unknown) == 700
+    for span in [*found.base, *found.unknown]:
+        assert text[span.start:span.end] == span.value and span.before == text[max(0, span.start - pii.REACH):span.start]
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = helpers.documents(spark)
     got = pii.redact(docs)
