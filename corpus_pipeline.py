@@ -3,12 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept: language,
 quality, near duplicates, personal data, packing. All but the last return the columns of documents.
 Null and empty texts have no language and go in the first stage; null ids, extra columns, repeated
-rows and empty tables are handled as the operators say. A row without an id names no group, so the
-near-duplicate stage keeps it.
+rows and empty tables are handled as the operators say. The near-duplicate stage tells rows apart by id
+and text, so rows without an id, or of one id with different texts, are in groups like others.
 """
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadfast.llm import langid, neardup, packing, pii, quality
@@ -34,12 +34,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group; of rows that share it, one."""
-    ids = neardup.groups(docs, SIMILARITY_PCT).where("kept").select(F.col("doc_id").alias("_kept_")).distinct()
-    kept = docs.join(ids, docs["doc_id"] == ids["_kept_"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("_row_", F.row_number().over(order)).where("_row_ = 1").drop("_row_")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Keeps one row of each group, the one with the smallest id; of equal rows, one."""
+    keys = neardup.kept_keys(docs, SIMILARITY_PCT).withColumnRenamed("key", "_key_")
+    keyed = docs.withColumn("_key_", neardup.row_key())
+    return keyed.join(keys, "_key_", "left_semi").dropDuplicates(["_key_"]).select(docs.columns)
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

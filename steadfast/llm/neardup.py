@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steadfast.llm.common import saved, slices
@@ -79,8 +79,14 @@ def chunks_for(similarity: float) -> int:
     return math.ceil(math.log(MISSED) / math.log(1 - shared)) // 2 * 2 + 2
 
 
+def row_key() -> Column:
+    """A digest of a row's id and text, null or not."""
+    known = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-"))
+    return F.unhex(F.md5(F.concat(known, F.coalesce(F.concat(F.lit(":"), F.col("text")), F.lit("")))))
+
+
 def sets(docs: DataFrame, symbols: int) -> DataFrame:
-    """Per row: its id, the size and digest of its set, and the set's signature."""
+    """Per row: its id and key, the size and digest of its set, and the set's signature."""
     def run(batches):
         for batch in slices(batches):
             made = []
@@ -89,11 +95,11 @@ def sets(docs: DataFrame, symbols: int) -> DataFrame:
                 made.append((len(h), xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63 if len(h) else None,
                              signature(h, symbols).view("<i8") if len(h) else None))
             n, node, sig = zip(*made) if made else ([], [], [])
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
-                                   pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "sig"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
+                                   pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "node", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, node long, sig array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text").mapInArrow(
+        run, "doc_id long, key binary, n_shingles long, node long, sig array<long>")
 
 
 def entries(classes: DataFrame, chunks: int) -> DataFrame:
@@ -147,16 +153,9 @@ def compared(pairs: DataFrame, texts: DataFrame, similarity_pct: int) -> DataFra
 
 def texts_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """One text for each class in a pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "rep"), "node")
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").select("node", "text")
-
-    def own(batches):  # an id that several texts share: only the class's own text
-        for batch in slices(batches):
-            keep = [xxhash.xxh3_64_intdigest(shingles(t).tobytes()) - 2**63 == n for n, t in
-                    zip(batch.column("node").to_pylist(), batch.column("text").to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return saved(rows.mapInArrow(own, "node long, text string").dropDuplicates(["node"]), "texts")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "key"), "node")
+    rows = docs.select(row_key().alias("key"), "text").join(wanted, "key").select("node", "text")
+    return saved(rows.dropDuplicates(["node"]), "texts")
 
 
 def _across(rows: DataFrame) -> DataFrame:
@@ -181,15 +180,17 @@ def own_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
             .where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("own")))
 
 
-def groups(docs: DataFrame, similarity_pct: int = 80) -> DataFrame:
-    """Per row: doc_id, the size of its set, the smallest doc_id of its group and whether that is
-    its own."""
+def _rooted(docs: DataFrame, similarity_pct: int) -> tuple[DataFrame, DataFrame]:
+    """Per row: doc_id, key, n_shingles, node. Per class: node, its smallest doc_id `rep`, the key
+    of its first row, whether that has no id, and `root`, which the classes of a group share."""
     similarity = similarity_pct / 100
     chunks = chunks_for(similarity)
     symbols = chunks * WIDTH
     rows = saved(sets(docs, symbols), "sets")
     classes = saved(rows.where("node is not null").groupBy("node")
-                    .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+                    .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("first"),
+                         F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+                    .select("node", "first.unknown", F.col("first.doc_id").alias("rep"), "first.key", "n", "sig"), "classes")
     index = entries(classes, chunks)
     crowded = index.groupBy("entry").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = saved(index.join(crowded, "entry"), "shared")
@@ -240,11 +241,24 @@ def groups(docs: DataFrame, similarity_pct: int = 80) -> DataFrame:
         roots = components(links.unionByName(more))
 
     # a class without links stands for its own copies
-    of_class = (classes.select("node", "rep").join(roots, "node", "left")
-                .select("node", "rep", F.coalesce("root", "node").alias("root")))
+    return rows, (classes.select("node", "unknown", "rep", "key").join(roots, "node", "left")
+                  .withColumn("root", F.coalesce("root", "node")))
+
+
+def groups(docs: DataFrame, similarity_pct: int = 80) -> DataFrame:
+    """Per row: doc_id, the size of its set, the smallest doc_id of its group and whether that is
+    its own."""
+    rows, of_class = _rooted(docs, similarity_pct)
     least = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = of_class.join(least, "root").select("node", "component_id")
     found = (rows.where("node is not null").select("doc_id", "n_shingles", "node").join(named, "node")
              .select("doc_id", "n_shingles", "component_id"))
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def kept_keys(docs: DataFrame, similarity_pct: int = 80) -> DataFrame:
+    """The key of one row of each group: of the smallest id, or of no id if none has any."""
+    rows, of_class = _rooted(docs, similarity_pct)
+    first = of_class.groupBy("root").agg(F.min(F.struct("unknown", "rep", "key")).alias("first")).select("first.key")
+    return first.unionByName(rows.where("node is null").select("key")).distinct()

@@ -111,6 +111,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_near_duplicates_keep_a_row_of_each_group(spark, tmp_path):
+    a, b, c = (helpers.sentence(i, 60) for i in (21, 22, 23))
+    # id 7: a copy of 1's text and two texts of its own; no id: copies, a near copy, a copy of 1's text
+    rows = [(1, a), (7, a), (7, b), (7, helpers.sentence(24, 60)), (7, b), (8, b), (None, c), (None, c), (None, c + " more"), (None, a)]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.no_near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id or 0, r.text) for r in kept.collect()), key=str)
+    one_of_c = [t for d, t in got if d == 0]
+    assert len(one_of_c) == 1 and one_of_c[0] in (c, c + " more")
+    assert [g for g in got if g[0]] == sorted([(1, a), (7, b), (7, rows[3][1])], key=str)
+
+
 @pytest.mark.parametrize("text, spans, want", [
     ("abc 12 def", [(4, 6, 0)], "abc [EMAIL] def"),
     ("ab", [(0, 2, 1)], "[IP]"),
