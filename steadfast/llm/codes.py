@@ -51,11 +51,11 @@ def usable(vector) -> F.Column:
 
 
 def integers(vectors) -> np.ndarray:
-    """floor(256 * x) of finite numbers, as 64-bit integers if sums of squared differences fit, else
+    """floor(256 * x) of finite numbers, as 64-bit integers if squared distances times entries fit, else
     as integers of any size."""
     x = np.asarray(vectors, np.float64)
     largest = 256 * float(np.abs(x).max(initial=0) / 2**30)  # scaled down, so as not to overflow
-    if largest * 2**30 < 2**26 and x.shape[-1] < 512:
+    if largest * 2**30 < 2**22 and x.shape[-1] < 256:
         return np.floor(256 * x).astype(np.int64)
     flat = [int(v) * 256 if abs(v) >= 2**53 else math.floor(256 * v) for v in x.ravel().tolist()]
     return np.array(flat, object).reshape(x.shape)
@@ -66,39 +66,55 @@ class Cells:
 
     def __init__(self, book: np.ndarray, cell: int, memo: int):
         self.book, self.cell, self.memo = book, cell, memo
-        self.known: dict[tuple, np.ndarray] = {}
         self.evaluated = 0
-
-    def undominated(self, cells: np.ndarray) -> list[np.ndarray]:
-        """Per cell: the indices of entries that may be nearest to a point of its box."""
-        low = (cells * self.cell)[:, None, :]
-        high = low + self.cell - 1
-        below, above = low - self.book[None], self.book[None] - high
-        outside = np.maximum(np.maximum(below, above), 0)
-        # the far side of the box, component by component
-        far = np.maximum(np.abs(self.book[None] - low), np.abs(self.book[None] - high))
-        nearest, farthest = (outside * outside).sum(2), (far * far).sum(2)
-        return [np.flatnonzero(row) for row in nearest <= farthest.min(1, keepdims=True)]
+        self._forget()
+
+    def _forget(self):
+        self.slot: dict[tuple, int] = {}
+        self.sizes = np.zeros(0, np.int64)
+        self.lists = np.zeros((0, len(self.book)), np.int16)
+
+    def undominated(self, cells: np.ndarray) -> np.ndarray:
+        """Per cell and entry: whether the entry may be nearest to a point of the cell's box."""
+        nearest = farthest = 0
+        for j in range(cells.shape[1]):
+            low = cells[:, j, None] * self.cell
+            below, above = low - self.book[:, j], self.book[:, j] - (low + self.cell - 1)
+            outside = np.maximum(np.maximum(below, above), 0)
+            far = np.maximum(np.abs(below), np.abs(above))  # the box's other side
+            nearest, farthest = nearest + outside * outside, farthest + far * far
+        return nearest <= farthest.min(1, keepdims=True)
+
+    def _learn(self, cells: list[tuple], kind):
+        """Keep the undominated entries of these cells, each cell's in ascending order."""
+        fits = np.concatenate([self.undominated(np.array(cells[a:a + ROWS], kind)) for a in range(0, len(cells), ROWS)])
+        self.slot |= zip(cells, range(len(self.slot), len(self.slot) + len(cells)))
+        self.sizes = np.concatenate([self.sizes, fits.sum(1)])
+        self.lists = np.concatenate([self.lists, np.argsort(~fits, axis=1, kind="stable").astype(np.int16)])
 
     def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest entry of each point and its squared distance."""
-        place: dict[tuple, int] = {}
-        which = np.array([place.setdefault(c, len(place)) for c in map(tuple, (points // self.cell).tolist())])
-        new = [c for c in place if c not in self.known]
-        if len(self.known) + len(new) > self.memo:
-            self.known, new = {}, list(place)
-        for a in range(0, len(new), ROWS):
-            some = np.array(new[a:a + ROWS], points.dtype).reshape(-1, points.shape[1])
-            self.known.update(zip(new[a:a + ROWS], self.undominated(some)))
-        lists = [self.known[c] for c in place]
-        sizes = np.array([len(c) for c in lists])
-        padded = np.stack([np.pad(c, (0, sizes.max() - len(c)), "edge") for c in lists])[which]
-        self.evaluated += int(sizes[which].sum())
-        apart = points[:, None, :] - self.book[padded]
-        far = (apart * apart).sum(2)
-        first = far.argmin(1)  # the first of equal ones, which has the lowest index
-        rows = np.arange(len(points))
-        return padded[rows, first], far[rows, first]
+        cells = list(map(tuple, (points // self.cell).tolist()))
+        new = [c for c in dict.fromkeys(cells) if c not in self.slot]
+        if len(self.slot) + len(new) > self.memo:
+            self._forget()
+            new = list(dict.fromkeys(cells))
+        if new:
+            self._learn(new, points.dtype)
+        at = np.fromiter((self.slot[c] for c in cells), np.int64, len(cells))
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        self.evaluated += int(ends[-1])
+        # one line for each point and undominated entry
+        point = np.repeat(np.arange(len(points)), sizes)
+        entry = self.lists[at[point], np.arange(ends[-1]) - begins[point]]
+        far = 0
+        for j in range(points.shape[1]):
+            apart = points[point, j] - self.book[entry, j]
+            far = far + apart * apart
+        best = np.minimum.reduceat(far * len(self.book) + entry, begins)  # of equal distances the lowest index
+        return (best % len(self.book)).astype(np.int64), best // len(self.book)
 
 
 class Coder:
@@ -160,7 +176,7 @@ def _total(table: pa.Table) -> pa.Table:
 def _as_books(rows: list) -> np.ndarray:
     """Nested lists of Python integers as an array, of 64-bit integers if distances fit."""
     largest = max((abs(v) for book in rows for entry in book for v in entry), default=0)
-    return np.array(rows, np.int64 if largest < 2**26 else object)
+    return np.array(rows, np.int64 if largest < 2**22 else object)
 
 
 def first_books(vectors: DataFrame, parts: int, entries: int) -> np.ndarray | None:
