@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from steadfast.functions import hashing as H
 from steadfast.operators import metrics as M
 from steadfast.operators import paired as P
 from steadfast.operators import resample as S
@@ -135,10 +136,13 @@ def test_bootstrap_covers_the_point(scores):
 
 
 def test_weights_follow_the_unit_rate_law(spark):
-    df = spark.range(5000).select(F.col("id").cast("string").alias("row_id"), F.lit(1).alias("x"))
-    w = S._draws(df, ["row_id"], 42, 20).withColumn("w", S.poisson_weight(F.col("_u")))
+    rows = spark.range(5000).select(*(c.alias(n) for c, n in zip(H.row_hashes(42, F.col("id").cast("string")), ("h1", "h2"))))
+    drawn = rows.withColumn("r", F.explode(S.replicates(42, 20)))
+    u = H.replicate_uniform(F.col("h1"), F.col("h2"), *(F.col("r")[c] for c in "abc"))
+    w = drawn.select(S.poisson_weight(u).alias("w"), F.col("r.replicate"))
     row = w.agg(F.avg("w"), F.var_pop("w"), F.avg(F.when(F.col("w") == 0, 1.0).otherwise(0.0))).first()
     assert row[0] == pytest.approx(1, abs=0.02) and row[1] == pytest.approx(1, abs=0.05) and row[2] == pytest.approx(0.3679, abs=0.01)
+    assert all(r[1] == pytest.approx(1, abs=0.08) for r in w.groupBy("replicate").agg(F.avg("w")).collect())
 
 
 GOLDEN = [
