@@ -622,8 +622,9 @@ def _counts(spark, sf):
 def _vocab(spark, sf):
     from steadfast.operators.support import pinned
 
-    n = fx.table(spark, sf, "documents").count()
-    return pinned(features.with_idf(features.vocabulary(_counts(spark, sf), 20_000), n))
+    docs = fx.table(spark, sf, "documents")
+    terms = features.vocabulary(_counts(spark, sf), 20_000, occurrences=features.term_occurrences(docs))
+    return pinned(features.with_idf(terms, docs.count()))
 
 
 @query("term_statistics", q("", "SELECT * FROM stats", grams=GRAMS, counts=COUNTS, stats=STATS))
@@ -638,7 +639,7 @@ def vocabulary(spark, sf):
 
 @query("tfidf_weights", q("", "SELECT doc_id, term_id, round(weight, 6) AS weight FROM weights", grams=GRAMS, counts=COUNTS, stats=STATS, vocab=VOCAB, weights=WEIGHTS))
 def tfidf_weights(spark, sf):
-    long = features.tfidf_long(_counts(spark, sf), _vocab(spark, sf), "doc_id")
+    long = features.tfidf_long(fx.table(spark, sf, "documents"), _vocab(spark, sf), "doc_id")
     return long.select("doc_id", F.col("term_id").cast("long").alias("term_id"), r6("weight"))
 
 
@@ -649,7 +650,7 @@ def linear_score(spark, sf):
     vocab = _vocab(spark, sf)
     u = fx.h("k", F.col("term_id")) / F.lit(4294967296.0)
     coefs = vocab.select("term_id", (u * 4.0 - 2.0).alias("coefficient"))
-    scored = features.linear_score(features.tfidf_long(_counts(spark, sf), vocab, "doc_id"), coefs, "doc_id", -0.25)
+    scored = features.linear_score(fx.table(spark, sf, "documents"), vocab, coefs, "doc_id", -0.25)
     return rounded(scored, "score")
 
 

@@ -4,11 +4,15 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from steadfast import lexicons as L
 
+# Workers get the folding with the task, whether or not they can import the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FOLD = "(?iu)"
 # Marks the start of a URL token while it is being defanged. A Unicode noncharacter:
 # it has no meaning in text interchange.
@@ -172,7 +176,7 @@ def fold_accents(text: str) -> str:
 @lru_cache(maxsize=1)
 def _folding() -> tuple[str, str, str]:
     """From the Unicode tables: characters that fold to a single one, what they fold to, and a
-    pattern of those that fold to several or to none."""
+    pattern of those that fold to several or to none. The pattern turns ASCII away first."""
     source, target, ranges = [], [], []
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
@@ -188,23 +192,45 @@ def _folding() -> tuple[str, str, str]:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    return "".join(source), "".join(target), "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+    several = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
+    return "".join(source), "".join(target), rf"[[^\x00-\x7f]&&[{several}]]"
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def folds_in_place(text: Column) -> Column:
+    """Whether every character folds to exactly one, so that built-in expressions do it."""
+    return _is_ascii(text) | ~F.rlike(text, F.lit(_folding()[2]))
+
+
+def fold_in_place(text: Column) -> Column:
+    """Accent folding of texts that fold in place."""
+    source, target, _ = _folding()
+    return F.when(_is_ascii(text), text).otherwise(F.translate(text, source, target))
+
+
+def fold_any(text: Column) -> Column:
+    """Accent folding of any text, in Arrow batches."""
+    return F.pandas_udf(lambda texts: texts.map(fold_accents, na_action="ignore"), "string")(text)
 
 
 def strip_accents(text: Column) -> Column:
     """Accent folding over all of Unicode. Texts whose characters fold one to one stay in the
     JVM; the others, say with ligatures, Hangul or loose marks, are folded in Arrow batches."""
-    source, target, several = _folding()
-    odd = F.pandas_udf(lambda texts: texts.map(fold_accents, na_action="ignore"), "string")
-    return F.coalesce(odd(F.when(F.rlike(text, F.lit(several)), text)), F.translate(text, source, target))
+    return F.coalesce(fold_any(F.when(~folds_in_place(text), text)), fold_in_place(text))
 
 
-def terms(text: Column) -> Column:
-    """Unigrams then bigrams of the folded text."""
-    folded = strip_accents(F.lower(or_empty(text)))
+def tokens(folded: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(L.TERM), F.lit(0))
 
 
+def terms(text: Column) -> Column:
+    """Unigrams of the folded text."""
+    return tokens(strip_accents(F.lower(or_empty(text))))
+
+
 def with_bigrams(unigrams: Column) -> Column:
     def extend(u):
         n = F.greatest(F.size(u) - 1, F.lit(0))

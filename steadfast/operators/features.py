@@ -1,8 +1,10 @@
 """TF-IDF and handcrafted features in relational form."""
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,10 +17,21 @@ from steadfast.operators.support import pinned
 VECTOR_ROW = T.StructType([T.StructField("v", VectorUDT())])
 
 
-def gram_counts(text: Column) -> Column:
-    """array<struct<term, tf>> of unigrams and bigrams. The text never leaves its row: the
-    grams are sorted and run lengths read off, so counting a document needs no shuffle."""
-    return X.let(F.sort_array(X.with_bigrams(X.terms(text))), _run_lengths)
+def grams(df: DataFrame, text_col: str = "text", name: str = "grams") -> DataFrame:
+    """Adds the unigrams and bigrams of a text. Texts that need more than a character-by-character
+    folding are the only ones that reach Python."""
+    low = F.lower(X.or_empty(F.col(text_col)))
+    def made(rows, fold):
+        return rows.withColumn(name, X.with_bigrams(X.tokens(fold(low))))
+
+    simple = X.folds_in_place(low)
+    return made(df.where(simple), X.fold_in_place).unionByName(made(df.where(~simple), X.fold_any))
+
+
+def gram_counts(terms: Column) -> Column:
+    """array<struct<term, tf>> of an array of grams. They never leave their row: they are
+    sorted and run lengths read off, so counting a document needs no shuffle."""
+    return X.let(F.sort_array(terms), _run_lengths)
 
 
 def _run_lengths(grams: Column) -> Column:
@@ -41,25 +54,83 @@ def term_counts(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame
     """(id, term, tf). The outer form of explode keeps the optimizer from adding a size
     test that would count every document twice."""
     return (
-        df.select(id_col, F.explode_outer(gram_counts(F.col(text_col))).alias("_e"))
+        grams(df.select(id_col, text_col), text_col, "_grams")
+        .select(id_col, F.explode_outer(gram_counts(F.col("_grams"))).alias("_e"))
         .select(id_col, "_e.term", "_e.tf").where(F.col("tf") > 0)
     )
 
 
+def term_occurrences(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, tf = 1) per occurrence: where a sum is all that is wanted, documents needn't be counted first."""
+    found = grams(df.select(text_col), text_col, "_grams").select(F.explode_outer("_grams").alias("term"), F.lit(1).alias("tf"))
+    return found.where(F.col("term").isNotNull())
+
+
 def term_statistics(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(
         F.count("*").alias("doc_freq"), F.sum("tf").alias("corpus_count")
     )
 
 
+#: Buckets of the sketch. A task sends at most so many counts, whatever its texts hold.
+SKETCH_WIDTH = 2**20
+
+
+def frequent_terms(
+    counts: DataFrame, max_terms: int, min_doc_freq: int, width: int = SKETCH_WIDTH, occurrences: DataFrame | None = None,
+) -> DataFrame:
+    """Statistics of all terms that occur at least some number of times, a number low enough for
+    max_terms of them to be in at least min_doc_freq documents (or all terms, if there are fewer).
+
+    Counts per hash bucket are a sketch that bounds every term from above. Only terms of buckets
+    that reach the threshold are counted exactly; a term elsewhere can't reach it. If too few
+    do, the threshold was too high and is lowered. So the long tail of rare terms is never
+    shuffled, and the result is exact."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(width)).alias("bucket")
+    bucketed = counts.select("term", "tf", bucket)
+    sketch = pinned((counts if occurrences is None else occurrences).groupBy(bucket).agg(F.sum("tf").alias("n")))
+    filled = sketch.count()
+    share = max(0.0, 1.0 - 2.0 * max_terms / max(1, filled))
+    least = sketch.agg(F.percentile_approx("n", share, 100_000)).first()[0] if share else 1
+    while True:
+        heavy = sketch.where(F.col("n") >= least).select("bucket")
+        stats = pinned(term_statistics(bucketed.join(heavy, "bucket") if least > 1 else bucketed).where(
+            (F.col("doc_freq") >= min_doc_freq) & (F.col("corpus_count") >= least)))
+        if least <= 1 or stats.count() >= max_terms:
+            return stats
+        least = max(1, least // 4)
+
+
+def most_frequent(stats: DataFrame, max_terms: int) -> DataFrame:
+    """The max_terms most frequent terms, ties by term. Counts settle all but the terms of the last
+    count; these are dealt to ranges in term order, and one range is cut."""
+    sizes = stats.groupBy("corpus_count").count().orderBy(F.desc("corpus_count")).limit(max_terms).collect()
+    room = max_terms
+    for last, n in sizes:
+        if n >= room:
+            break
+        room -= n
+    else:
+        return stats
+    sure, tied = stats.where(F.col("corpus_count") > last), stats.where(F.col("corpus_count") == last)
+    parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = pinned(tied.repartitionByRange(parts, "term").withColumn("_part", F.spark_partition_id()))
+    for part, n in tied.groupBy("_part").count().orderBy("_part").collect():
+        if n >= room:
+            break
+        room -= n
+    whole = tied.where(F.col("_part") < part)
+    cut = tied.where(F.col("_part") == part).orderBy("term").limit(room)
+    return sure.unionByName(whole.unionByName(cut).drop("_part"))
+
+
 def vocabulary(
-    counts: DataFrame, max_terms: int = L.MAX_TERMS, min_doc_freq: int = L.MIN_DOC_FREQ
+    counts: DataFrame, max_terms: int = L.MAX_TERMS, min_doc_freq: int = L.MIN_DOC_FREQ, width: int = SKETCH_WIDTH,
+    occurrences: DataFrame | None = None,
 ) -> DataFrame:
-    """Most frequent terms, ties by term, numbered in term order. At most max_terms rows."""
-    top = (
-        term_statistics(counts).where(F.col("doc_freq") >= min_doc_freq)
-        .orderBy(F.desc("corpus_count"), "term").limit(max_terms)
-    )
+    """Most frequent terms, ties by term, numbered in term order. At most max_terms rows. `occurrences` may
+    give the same totals in a cheaper form."""
+    top = most_frequent(frequent_terms(counts, max_terms, min_doc_freq, width, occurrences), max_terms)
     by_term = Window.orderBy("term")
     return top.withColumn("term_id", F.row_number().over(by_term) - 1)
 
@@ -69,31 +140,47 @@ def with_idf(vocab: DataFrame, n_docs: int | Column) -> DataFrame:
     return vocab.withColumn("idf", F.log((n + 1.0) / (F.col("doc_freq") + 1.0)) + 1.0)
 
 
-def tfidf_arrays(counts: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
-    """(id, terms: array<struct<term_id, weight>>), L2-normalised, in term_id order. The
-    vocabulary is bounded by construction and is broadcast; a document contributes at most
-    one entry per vocabulary term."""
-    side = F.broadcast(vocab.select("term", "term_id", "idf"))
-    weight = (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
-    per_doc = (
-        counts.join(side, "term").groupBy(id_col)
-        .agg(F.sort_array(F.collect_list(F.struct("term_id", weight.alias("weight")))).alias("_t"))
-    )
+def constants(values: Sequence[float]) -> Column:
+    """One constant array of doubles, indexed without a search. Its length is bounded by the vocabulary."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
+
+
+def _counter(spark, terms: Sequence[str]) -> CountVectorizerModel:
+    """A counter of known terms. The terms cross to the JVM as one string: handing them over as a list
+    takes a call each."""
+    known = spark._jvm.java.util.regex.Pattern.compile("\n").split("\n".join(terms))
+    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", known)
+    return model.setInputCol("_grams").setOutputCol("_counts")
+
 
-    def unit(entries):
-        norm = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda acc, t: acc + t["weight"] * t["weight"]))
+def tfidf_rows(df: DataFrame, vocab: DataFrame, text_col: str = "text", name: str = "terms") -> DataFrame:
+    """Adds terms: array<struct<term_id, weight>>, L2-normalised, in term_id order; empty where no term
+    is known. A document is counted and weighed in its own row against the vocabulary, which is
+    bounded by construction and sent to every executor: nothing is shuffled."""
+    known = vocab.select("term", "idf").orderBy("term_id").collect()
+    nothing = F.array().cast("array<struct<term_id:int,weight:double>>")
+    if not known:
+        return df.withColumn(name, nothing)
+    counted = _counter(df.sparkSession, [r["term"] for r in known]).transform(grams(df, text_col, "_grams"))
+    idf = constants([r["idf"] for r in known])
+    entries = F.from_json(F.to_json(F.struct("_counts")), "_counts struct<indices:array<int>,values:array<double>>")["_counts"]
+
+    def weighed(counts):
+        return F.zip_with(counts["indices"], counts["values"], lambda i, n: F.struct(
+            i.alias("term_id"), ((F.log(n) + 1.0) * F.get(idf, i)).alias("weight")))
+
+    def unit(terms):
+        norm = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t["weight"] * t["weight"]))
         return X.let(norm, lambda n: F.transform(
-            entries,
-            lambda t: F.struct(t["term_id"].alias("term_id"), (t["weight"] / n).alias("weight")),
-        ))
+            terms, lambda t: F.struct(t["term_id"].alias("term_id"), (t["weight"] / n).alias("weight"))))
 
-    return per_doc.select(id_col, unit(F.col("_t")).alias("terms"))
+    return counted.withColumn(name, F.coalesce(X.let(X.let(entries, weighed), unit), nothing)).drop("_grams", "_counts")
 
 
-def tfidf_long(counts: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
+def tfidf_long(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     return (
-        tfidf_arrays(counts, vocab, id_col)
-        .select(id_col, F.explode_outer("terms").alias("_e")).select(id_col, "_e.term_id", "_e.weight")
+        tfidf_rows(df.select(id_col, text_col), vocab, text_col, "_terms")
+        .select(id_col, F.explode("_terms").alias("_e")).select(id_col, "_e.term_id", "_e.weight")
     )
 
 
@@ -125,13 +212,16 @@ def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(weights, label)
 
 
-def linear_score(weights: DataFrame, coefficients: DataFrame, id_col: str, intercept: float = 0.0) -> DataFrame:
-    """Sigmoid of a sparse dot product; `coefficients` holds one row per vocabulary term."""
-    z = (
-        weights.join(pinned(coefficients), "term_id")
-        .groupBy(id_col).agg((F.sum(F.col("weight") * F.col("coefficient")) + intercept).alias("z"))
-    )
-    return z.select(id_col, (1.0 / (1.0 + F.exp(-F.col("z")))).alias("score"))
+def linear_score(
+    df: DataFrame, vocab: DataFrame, coefficients: DataFrame, id_col: str, intercept: float = 0.0, text_col: str = "text",
+) -> DataFrame:
+    """Sigmoid of a sparse dot product, inside the row; `coefficients` (term_id, coefficient) holds a row per
+    vocabulary term. Texts without any known term have no score."""
+    known = {r["term_id"]: r["coefficient"] for r in coefficients.select("term_id", "coefficient").collect()}
+    by_id = constants([known.get(i, 0.0) for i in range(max(known, default=-1) + 1)])
+    weighed = tfidf_rows(df.select(id_col, text_col), vocab, text_col, "_terms").where(F.size("_terms") > 0)
+    z = F.aggregate("_terms", F.lit(0.0), lambda acc, t: acc + t["weight"] * F.coalesce(F.get(by_id, t["term_id"]), F.lit(0.0)))
+    return weighed.select(id_col, (1.0 / (1.0 + F.exp(-(z + intercept)))).alias("score"))
 
 
 def sparse_vector(indices: Column, values: Column, size: int) -> Column:
@@ -162,17 +252,15 @@ class Featurizer:
     def transform(self, df: DataFrame, id_col: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
         """(id, keep..., features). Rows without any known term keep their eight features."""
         source = df.select(id_col, *keep, self._text().alias("text"), "had_html")
-        counts = term_counts(source, id_col)
-        arrays = tfidf_arrays(counts, self.vocab, id_col)
-        scaled = source.select(id_col, *keep, *X.handcrafted(F.col("text"), F.col("had_html")))
-        tail = F.array(*[F.col(c) / F.lit(self.scales[c]) for c in L.HANDCRAFTED])
-        joined = scaled.select(id_col, *keep, tail.alias("_tail")).join(arrays, id_col, "left")
-        terms = F.coalesce("terms", F.array().cast("array<struct<term_id:int,weight:double>>"))
+        joined = tfidf_rows(source, self.vocab, "text", "terms").withColumns({
+            "_" + c.lower(): v for c, v in zip(L.HANDCRAFTED, X.handcrafted(F.col("text"), F.col("had_html")))})
+        tail = F.array(*[F.col("_" + c.lower()) / F.lit(self.scales[c]) for c in L.HANDCRAFTED])
+        terms = F.col("terms")
         indices = F.concat(
             F.transform(terms, lambda t: t["term_id"]),
             F.array(*[F.lit(self.n_terms + i) for i in range(len(L.HANDCRAFTED))]),
         )
-        values = F.concat(F.transform(terms, lambda t: t["weight"]), F.col("_tail"))
+        values = F.concat(F.transform(terms, lambda t: t["weight"]), tail)
         return joined.select(id_col, *keep, sparse_vector(indices, values, self.width).alias("features"))
 
 
@@ -181,10 +269,10 @@ def fit_featurizer(
     min_doc_freq: int = L.MIN_DOC_FREQ,
 ) -> Featurizer:
     text = X.mask_urls(F.col("text")) if masked else X.or_empty(F.col("text"))
-    source = train.select(id_col, text.alias("text"), "had_html")
+    source = pinned(train.select(id_col, text.alias("text"), "had_html"))
     n_docs = source.count()
     vocab = pinned(
-        with_idf(vocabulary(term_counts(source, id_col), max_terms, min_doc_freq), n_docs)
+        with_idf(vocabulary(term_counts(source, id_col), max_terms, min_doc_freq, occurrences=term_occurrences(source)), n_docs)
     )
     scales = scale_factors(handcrafted_features(source, id_col)).first().asDict()
     return Featurizer(vocab, vocab.count(), scales, masked)

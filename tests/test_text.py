@@ -111,12 +111,47 @@ def test_tfidf_matches_definition(spark):
     df = spark.createDataFrame(docs, "id int, text string")
     counts = FE.term_counts(df, "id")
     vocab = FE.with_idf(FE.vocabulary(counts, 6), len(docs))
-    got = {(r["id"], r["term_id"]): r["weight"] for r in FE.tfidf_long(counts, vocab, "id").collect() if r["term_id"] is not None}
+    got = {(r["id"], r["term_id"]): r["weight"] for r in FE.tfidf_long(df, vocab, "id").collect()}
     want = tfidf_by_hand(docs, 6)
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
 
 
+def test_vocabulary_is_exact_whatever_the_sketch(spark):
+    """Collisions, ties at the cut, thresholds that must be lowered, fewer terms than asked for."""
+    import random
+
+    rng = random.Random(9)
+    docs = [(i, " ".join(f"w{min(int(rng.paretovariate(0.7)), 400)}" for _ in range(60))) for i in range(80)] + [(80, "solo " * 500)]
+    df = spark.createDataFrame(docs, "id int, text string")
+    counts = FE.term_counts(df, "id")
+    stats = [(r["term"], r["doc_freq"], r["corpus_count"]) for r in FE.term_statistics(counts).collect()]
+    for size in (1, 7, 60, 333, 100_000):
+        want = sorted((-n, t) for t, d, n in stats if d >= 2)[:size]
+        for width in (1, 64, 2**20):
+            got = FE.vocabulary(counts, size, 2, width).collect()
+            assert sorted((-r["corpus_count"], r["term"]) for r in got) == want
+            assert [r["term_id"] for r in sorted(got, key=lambda r: r["term"])] == list(range(len(want)))
+
+
+def test_rare_terms_are_not_shuffled(spark):
+    """Exact counts are made of the terms in frequent buckets only."""
+    docs = [(i, f"common common rare{i}") for i in range(3000)]
+    counts = FE.term_counts(spark.createDataFrame(docs, "id int, text string"), "id")
+    seen, count = [], FE.term_statistics
+
+    def recorded(rows):
+        seen.append(rows.select("term").distinct().count())
+        return count(rows)
+
+    FE.term_statistics = recorded
+    try:
+        assert {r["term"] for r in FE.vocabulary(counts, 1, 2).collect()} == {"common"}
+    finally:
+        FE.term_statistics = count
+    assert seen[0] < 30
+
+
 def test_scales_use_population_deviation(spark):
     df = spark.createDataFrame([(1, "ab", False), (2, "abcd", False)], "id int, text string, had_html boolean")
     row = FE.scale_factors(FE.handcrafted_features(df, "id")).first()
@@ -134,3 +169,13 @@ def test_accents_fold_over_all_of_unicode(spark):
     assert values(spark, list(FOLDED), X.strip_accents) == list(FOLDED.values())
     assert values(spark, ["\uff34\uff25\uff38\uff34 \u2163"], X.terms) == [["text", "iv"]]
     assert values(spark, [None, "\ufb00"], X.strip_accents) == [None, "ff"]
+
+
+def test_only_texts_that_need_it_reach_python(spark):
+    texts = ["plain", "cr\u00e8me \u201cx\u201d", "\ufb01", "e\u0301", "\uac00", "", "\u65e5\u672c"]
+    assert values(spark, texts, X.folds_in_place) == [True, True, False, False, False, True, True]
+    df = spark.createDataFrame(list(enumerate(texts + [None])), "id int, text string")
+    made = {r["id"]: r["grams"] for r in FE.grams(df).collect()}
+    assert made[0] == ["plain"] and made[1] == ["creme"] and made[2] == ["fi"] and made[7] == [] and len(made) == 8
+    branches = df.where(X.folds_in_place(F.col("text")))
+    assert "Python" not in branches.withColumn("f", X.fold_in_place(F.col("text")))._jdf.queryExecution().executedPlan().toString()
