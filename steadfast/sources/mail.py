@@ -1,4 +1,4 @@
-"""Raw mail: archives, mailboxes and MIME parsing.
+"""Raw mail: folders, mailboxes and MIME parsing.
 
 Parsing one message is a small Python helper (standard library only) applied to Arrow
 batches; reading, splitting, numbering and everything after parsing is Spark.
@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 
 from steadfast import lexicons as L
 from steadfast.functions.html import read_page
-from steadfast.schemas import PARSED_MESSAGE, RAW_MESSAGE
+from steadfast.schemas import PARSED_MESSAGE
 
 # Workers get these helpers with the task, whether or not they can import the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TAG_PATTERN = L.ANY_TAG
-MEMBERS_PER_BATCH = 500
 
 
 # ------------------------------------------------------------------------- reading
@@ -32,35 +31,6 @@ def read_directory(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     )
 
 
-def read_archives(spark: SparkSession, paths: list[str], prefix: str) -> DataFrame:
-    """(original_id, raw) per member of tar archives, id prefix:archive:member. A compressed
-    archive cannot be split, so it stays in the task that read it; members stream out in
-    small batches. Corpora of any size come as many archives."""
-    files = spark.read.format("binaryFile").load(paths)
-
-    def members(batches):
-        import io
-        import tarfile
-
-        import pandas as pd
-
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                archive, rows = path.rsplit("/", 1)[-1], []
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    for member in tar:
-                        if not member.isfile() or member.name.rsplit("/", 1)[-1].startswith("."):
-                            continue
-                        rows.append((f"{prefix}:{archive}:{member.name}", tar.extractfile(member).read()))
-                        if len(rows) >= MEMBERS_PER_BATCH:
-                            yield pd.DataFrame(rows, columns=["original_id", "raw"])
-                            rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["original_id", "raw"])
-
-    return files.select("path", "content").mapInPandas(members, RAW_MESSAGE)
-
-
 def with_file_position(df: DataFrame, name: str = "index", preamble: Column | None = None) -> DataFrame:
     """Zero-based position of each row in its file. Rows are numbered inside one split of
     the file; the counts of earlier splits are added, so a huge file is never one task.

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from steadfast.operators import rewrites as R
-from steadfast.sources import mail, tables
+from steadfast.sources import archives, mail, tables
 from steadfast.streaming.retention import stream_verdicts
 
 MULTI = b"""Subject: Multi  part
@@ -51,15 +51,54 @@ def test_parse_messages(spark):
         assert got[name]["tag"] == 7
 
 
-def test_archives(spark, tmp_path):
-    path = tmp_path / "ham.tar.bz2"
-    with tarfile.open(path, "w:bz2") as tar:
-        for name, data in (("ham/1", MULTI), ("ham/.index", b"skip"), ("ham/2", HTML)):
+def _tar(path, members, mode="w", **options):
+    with tarfile.open(path, mode, **options) as tar:
+        for name, data in members:
             info = tarfile.TarInfo(name)
             info.size = len(data)
+            if data is None:
+                info.type = tarfile.DIRTYPE
             tar.addfile(info, io.BytesIO(data))
-    got = {r["original_id"]: bytes(r["raw"]) for r in mail.read_archives(spark, [str(path)], "sa").collect()}
-    assert got == {"sa:ham.tar.bz2:ham/1": MULTI, "sa:ham.tar.bz2:ham/2": HTML}
+
+
+def _scanned(spark, paths, **options):
+    return sorted((r["original_id"], bytes(r["raw"])) for r in archives.read_archives(spark, [str(p) for p in paths], "sa", **options).collect())
+
+
+@pytest.mark.parametrize("kind", ["", "gz", "bz2", "xz"])
+def test_archives(spark, tmp_path, kind):
+    path = tmp_path / f"ham.tar.{kind or 'plain'}"
+    _tar(path, (("ham/1", MULTI), ("ham/.index", b"skip"), ("ham/2", HTML), ("empty", b"")), f"w:{kind}")
+    assert _scanned(spark, [path]) == [(f"sa:{path.name}:{n}", d) for n, d in (("empty", b""), ("ham/1", MULTI), ("ham/2", HTML))]
+
+
+@pytest.mark.parametrize("form", [tarfile.PAX_FORMAT, tarfile.GNU_FORMAT])
+@pytest.mark.parametrize("range_bytes", [1, 2_000, 50_000, 2**26])
+def test_plain_archives_are_split_by_members(spark, tmp_path, form, range_bytes):
+    """Long names, headers for the whole archive, an archive within the archive, contents of any length."""
+    inner = tmp_path / "inner.tar"
+    _tar(inner, [("not/a/member", b"x" * 700)])
+    members = [(f"d/{'long' * (40 * (i % 3))}{i}", bytes([65 + i % 26]) * (i * 37 % 5_000)) for i in range(60)] + [("inner", inner.read_bytes()), (".hid", b"n")]
+    path = tmp_path / "a.tar"
+    _tar(path, members, format=form, pax_headers={"comment": "for all members"} if form == tarfile.PAX_FORMAT else None)
+    want = sorted((f"sa:a.tar:{n}", d) for n, d in members if n != ".hid")
+    assert _scanned(spark, [path], range_bytes=range_bytes) == want
+    ranges = list(archives.ranges_of(str(path), range_bytes))
+    assert sum(r[4] for r in ranges) == len(want) and (len(ranges) > 10) == (range_bytes < 10_000)
+    assert all(a[2] == b[1] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_archives_written_and_read(spark, tmp_path):
+    rows = [(f"m/{i}", bytes([i % 256]) * i) for i in range(200)] + [("null", None)]
+    messages = spark.createDataFrame(rows, "member string, raw binary").repartition(5)
+    for kind in ("", "gz"):
+        written = archives.write_archives(messages, str(tmp_path / f"out{kind}"), kind)
+        assert sum(r["members"] for r in written.collect()) == 201
+        got = _scanned(spark, [r["path"] for r in written.collect()], range_bytes=3_000)
+        assert sorted((i.split(":", 2)[2], b) for i, b in got) == sorted((n, d or b"") for n, d in rows)
+    assert archives.read_archives(spark, [], "sa").count() == 0
+    _tar(tmp_path / "none.tar", [])
+    assert _scanned(spark, [tmp_path / "none.tar"]) == []
 
 
 def test_directory(spark, tmp_path):

@@ -149,7 +149,7 @@ def test_rare_terms_are_not_shuffled(spark):
         assert {r["term"] for r in FE.vocabulary(counts, 1, 2).collect()} == {"common"}
     finally:
         FE.term_statistics = count
-    assert seen[0] < 30
+    assert seen[0] < 100  # of 9,002
 
 
 def test_scales_use_population_deviation(spark):
