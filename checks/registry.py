@@ -1222,6 +1222,47 @@ def external_corpus(spark, sf):
 
 
 # --------------------------------------------------------------------- models
+BANDS = 0.95  # labels alternate over bands of a uniform number, each this much smaller than the last
+
+
+@query("deep_forest", f"""SELECT doc_id, label, CAST(label AS DOUBLE) AS score, true AS deep FROM (
+  SELECT doc_id, CAST(floor(ln(({h("'f'", "doc_id")} + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / ln({BANDS}::DOUBLE)) AS INT) % 2 AS label FROM documents)""")
+def deep_forest(spark, sf):
+    """Labels that only a tree of more than 30 levels can tell apart; leaves are pure, so scores are labels."""
+    from steadfast.operators import forest
+    from steadfast.operators.support import pinned
+
+    u = (fx.h("f", F.col("doc_id")) + F.lit(0.5)) / F.lit(4294967296.0)
+    label = F.floor(F.log(u) / F.log(F.lit(BANDS))).cast("int") % 2
+    table = pinned(fx.table(spark, sf, "documents").select("doc_id", label.alias("label"), F.lit(1.0).alias("weight"), features.sparse_vector(
+        F.array(F.lit(0)), F.array(u), 1).alias("features")))
+    grown = forest.fit_forest(table, "doc_id", forest.Params(trees=3, bootstrap=False))
+    return grown.score(table, ["doc_id", "label"]).withColumn("deep", F.lit(grown.depth() > 30))
+
+
+@query("logistic_gradient", "SELECT unnest([" + ", ".join(f"'{n}'" for n in (*L.HANDCRAFTED, "intercept")) + "]) AS feature, 0.0::DOUBLE AS gradient")
+def logistic_gradient(spark, sf):
+    """The penalised, balanced loss of the fitted regression has no slope at its coefficients."""
+    from steadfast.operators import detect
+    from steadfast.operators.support import pinned
+
+    hand = features.handcrafted_features(fx.emails(spark, sf).withColumn("text", F.col("text")), "doc_id")
+    labels = fx.emails(spark, sf).select("doc_id", "label")
+    rows = pinned(features.with_class_weight(hand.join(labels, "doc_id")))
+    scales = features.scale_factors(rows).first().asDict()
+    rows = rows.withColumn("x", F.array(*[F.col(c) / F.lit(scales[c]) for c in L.HANDCRAFTED]))
+    places = F.array(*[F.lit(i) for i in range(len(L.HANDCRAFTED))])
+    table = pinned(rows.select("doc_id", "label", "weight", "x", features.sparse_vector(places, F.col("x"), len(L.HANDCRAFTED)).alias("features")))
+    n = table.count()
+    model = detect.fit_models(table, detect.TrainingParams(), ["logreg"])["logreg"]
+    z = sum((F.col("x")[i] * float(c) for i, c in enumerate(model.coefficients)), F.lit(float(model.intercept)))
+    off = F.col("weight") * (1.0 / (1.0 + F.exp(-z)) - F.col("label"))
+    slopes = [(F.sum(off * F.col("x")[i]) / n + float(c) / n).alias(name) for i, (name, c) in enumerate(zip(L.HANDCRAFTED, model.coefficients))]
+    one = table.agg(*slopes, (F.sum(off) / n).alias("intercept"))
+    tall = one.unpivot([], [*L.HANDCRAFTED, "intercept"], "feature", "gradient")
+    return tall.select("feature", (F.round("gradient", 3) + 0.0).alias("gradient"))
+
+
 @query("train_detectors")
 def train_detectors(spark, sf):
     """Fit on the training split, score the test split: the clean table of every detector."""

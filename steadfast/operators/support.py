@@ -2,8 +2,14 @@
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
+from pyspark.util import inheritable_thread_target
+
+#: Independent jobs that a driver has in flight at once.
+AT_ONCE = 8
 
 
 def ensure_checkpoint_dir(spark) -> str:
@@ -31,3 +37,18 @@ def pinned(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def concurrently(jobs: Mapping, at_once: int = AT_ONCE) -> dict:
+    """The results of independent driver-side jobs, run from a bounded pool of threads that inherit the
+    caller's job group and local properties: their small stages fill each other's idle cores. The
+    first error is raised; results keep the order of the jobs."""
+    if not jobs:
+        return {}
+    with ThreadPoolExecutor(min(at_once, len(jobs))) as pool:
+        started = {name: pool.submit(inheritable_thread_target(job)) for name, job in jobs.items()}
+        return {name: one.result() for name, one in started.items()}
+
+
+def job(fn: Callable, *args, **options) -> Callable:
+    return lambda: fn(*args, **options)
