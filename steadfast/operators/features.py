@@ -233,6 +233,17 @@ def sparse_vector(indices: Column, values: Column, size: int) -> Column:
     return F.from_json(F.to_json(F.struct(body.alias("v"))), VECTOR_ROW)["v"]
 
 
+def entries(vector: Column) -> Column:
+    """array<struct<index, value>> of an ML vector, read off in the JVM; of a dense one, all places."""
+    read = F.from_json(F.to_json(F.struct(vector.alias("v"))), "v struct<indices:array<int>,values:array<double>>")["v"]
+
+    def pairs(v):
+        places = F.coalesce(v["indices"], F.when(F.size(v["values"]) > 0, F.sequence(F.lit(0), F.size(v["values"]) - 1)), F.array().cast("array<int>"))
+        return F.zip_with(places, v["values"], lambda i, x: F.struct(i.alias("index"), x.alias("value")))
+
+    return X.let(read, pairs)
+
+
 @dataclass
 class Featurizer:
     """Vocabulary and scale factors learnt on training rows only."""
@@ -249,19 +260,23 @@ class Featurizer:
     def _text(self) -> Column:
         return X.mask_urls(F.col("text")) if self.masked else X.or_empty(F.col("text"))
 
-    def transform(self, df: DataFrame, id_col: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
-        """(id, keep..., features). Rows without any known term keep their eight features."""
-        source = df.select(id_col, *keep, self._text().alias("text"), "had_html")
-        joined = tfidf_rows(source, self.vocab, "text", "terms").withColumns({
-            "_" + c.lower(): v for c, v in zip(L.HANDCRAFTED, X.handcrafted(F.col("text"), F.col("had_html")))})
-        tail = F.array(*[F.col("_" + c.lower()) / F.lit(self.scales[c]) for c in L.HANDCRAFTED])
-        terms = F.col("terms")
+    def added(self, df: DataFrame, name: str = "features") -> DataFrame:
+        """df with its feature vector: terms, then the eight scaled numbers. Rows without any known term
+        keep these."""
+        source = df.withColumn("_text", self._text())
+        hand = {"_" + c.lower(): v for c, v in zip(L.HANDCRAFTED, X.handcrafted(F.col("_text"), F.col("had_html")))}
+        joined = tfidf_rows(source, self.vocab, "_text", "_terms").withColumns(hand)
+        tail = F.array(*[F.col(n) / F.lit(self.scales[c]) for n, c in zip(hand, L.HANDCRAFTED)])
         indices = F.concat(
-            F.transform(terms, lambda t: t["term_id"]),
+            F.transform("_terms", lambda t: t["term_id"]),
             F.array(*[F.lit(self.n_terms + i) for i in range(len(L.HANDCRAFTED))]),
         )
-        values = F.concat(F.transform(terms, lambda t: t["weight"]), tail)
-        return joined.select(id_col, *keep, sparse_vector(indices, values, self.width).alias("features"))
+        values = F.concat(F.transform("_terms", lambda t: t["weight"]), tail)
+        return joined.withColumn(name, sparse_vector(indices, values, self.width)).drop("_text", "_terms", *hand)
+
+    def transform(self, df: DataFrame, id_col: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
+        """(id, keep..., features)."""
+        return self.added(df.select(id_col, *keep, "text", "had_html")).select(id_col, *keep, "features")
 
 
 def fit_featurizer(

@@ -194,10 +194,10 @@ def write_archives(messages: DataFrame, folder: str, compression: str = "") -> D
             out.close()
             yield pa.record_batch([pa.array([path]), pa.array([n], pa.int64())], names=["path", "members"])
 
-    _made(messages.sparkSession, folder)
+    make_folder(messages.sparkSession, folder)
     return pinned(messages.select(F.col("member").cast("string").alias("member"), F.col("raw").cast("binary").alias("raw")).mapInArrow(write, "path string, members long"))
 
 
-def _made(spark: SparkSession, folder: str) -> None:
+def make_folder(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
