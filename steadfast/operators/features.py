@@ -93,7 +93,8 @@ def frequent_terms(
     share = max(0.0, 1.0 - 2.0 * max_terms / max(1, filled))
     least = sketch.agg(F.percentile_approx("n", share, 100_000)).first()[0] if share else 1
     while True:
-        heavy = sketch.where(F.col("n") >= least).select("bucket")
+        # written, so that its own few bytes count and not the sketch's: where it is small it is broadcast
+        heavy = pinned(sketch.where(F.col("n") >= least).select("bucket"))
         stats = pinned(term_statistics(bucketed.join(heavy, "bucket") if least > 1 else bucketed).where(
             (F.col("doc_freq") >= min_doc_freq) & (F.col("corpus_count") >= least)))
         if least <= 1 or stats.count() >= max_terms:
