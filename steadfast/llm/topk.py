@@ -8,10 +8,12 @@ equal bounds are still scored, as a smaller id may be in there. Each range gives
 ranges' are merged. Queries are dealt to all ranges in groups, so that a task has one range and
 at most QUERIES queries whatever the table's size.
 
-Vectors that are null or empty, or hold null or non-finite components, take no part, nor do those
-with a component beyond LARGEST after scaling, whose scores wouldn't fit. Vectors of different
-lengths aren't compared. Rows that share an id count as one, the one with the smallest vector; a
-null id takes no part. No rows give no rows. Only vec_id and the vector are read.
+Vectors that are null or empty, or hold null or non-finite components, take no part. Vectors of different
+lengths aren't compared. Products are exact at any size: in floating point or 64-bit integers where they
+fit, else in integers of any size; a score beyond a long is given as the nearest long. Rows that share an
+id are rows of their own, as candidates and as queries, whose results are then merged by that id; a row
+is no candidate for its own id. A range of more than ROWS rows of one id is dealt to several tasks. A null
+id takes no part. No rows give no rows. Only vec_id and the vector are read.
 """
 
 import numpy as np
@@ -24,20 +26,29 @@ K = 5
 BLOCK = 256
 ROWS = 8192
 QUERIES = 100_000
-LARGEST = 2**26
+LONG = 2**63 - 1
 FOUND = "query_id long, vec_id long, score long"
 
 
 def scaled(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(256 * x.cast("double")).cast("long"))
+    """floor(256 * x), as doubles: these hold it exactly whatever its size."""
+    return F.transform(vector, lambda x: F.when(F.abs(x) < 2**44, F.floor(256 * x.cast("double")).cast("double")).otherwise(256 * x.cast("double")))
 
 
 def usable(vector: Column) -> Column:
-    """Not null or empty, and every component finite and in range."""
-    fits = lambda x: F.coalesce(~F.isnan(x) & (F.abs(256 * x.cast("double")) < LARGEST), F.lit(False))
+    """Not null or empty, and every component finite, scaled too."""
+    fits = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, fits), F.lit(False))
 
 
+def whole(rows) -> np.ndarray:
+    """Whole numbers in doubles as 64-bit integers, or as integers of any size."""
+    x = np.asarray(rows, np.float64)
+    if np.abs(x).max(initial=0) < 2**53:
+        return x.astype(np.int64)
+    return np.array([int(v) for v in x.ravel().tolist()], object).reshape(x.shape)
+
+
 class Blocks:
     """A range's vectors of one length, in blocks with their extremes."""
 
@@ -55,43 +66,44 @@ class Blocks:
         return value + np.abs(value) * (slack - 1)
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        exact = self.largest * int(np.abs(query).sum()) < 2**53
-        rows, query = (self.floats, query.astype(float)) if exact else (self.rows, query)
+        most = self.largest * int(np.abs(query).sum())
+        if most < 2**53:
+            rows, query = self.floats, query.astype(float)
+        else:
+            kind = np.int64 if most < 2**63 else object
+            rows, query = self.rows.astype(kind), query.astype(kind)
         bounds = self.bounds(query.astype(float))
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, object if most >= 2**63 else np.int64)
         for b in np.argsort(-bounds, kind="stable"):
             if len(scores) == k and bounds[b] < scores[-1]:
                 break
             at = slice(self.starts[b], self.starts[b] + BLOCK)
-            own = (rows[at] @ query).astype(np.int64)
+            own = (rows[at] @ query).astype(scores.dtype)
             other = self.ids[at] != query_id
             ids, scores = np.concatenate([ids, self.ids[at][other]]), np.concatenate([scores, own[other]])
             first = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[first], scores[first]
-        return ids, scores
+        return ids, np.clip(scores, -LONG - 1, LONG).astype(np.int64)
 
 
 def _search(k):
     def run(batches):
         kept: dict[int, tuple[list, list]] = {}
         blocks: dict[int, Blocks] | None = None
-        last = None
         for batch in batches:
             found = ([], [], [])
             columns = (batch.column(c) for c in ("asks", "vec_id", "vector"))
             for asks, vec_id, vector in zip(*(c.to_pylist() for c in columns)):
                 if not asks:
-                    if vec_id != last:
-                        ids, rows = kept.setdefault(len(vector), ([], []))
-                        ids.append(vec_id)
-                        rows.append(np.array(vector, np.int64))
-                    last = vec_id
+                    ids, rows = kept.setdefault(len(vector), ([], []))
+                    ids.append(vec_id)
+                    rows.append(vector)
                     continue
                 if blocks is None:
-                    blocks = {n: Blocks(np.array(ids, np.int64), np.stack(rows)) for n, (ids, rows) in kept.items()}
+                    blocks = {n: Blocks(np.array(ids, np.int64), whole(rows)) for n, (ids, rows) in kept.items()}
                     kept.clear()
                 if len(vector) in blocks:
-                    ids, scores = blocks[len(vector)].best(vec_id, np.array(vector, np.int64), k)
+                    ids, scores = blocks[len(vector)].best(vec_id, whole(vector), k)
                     found[0].append(np.full(len(ids), vec_id, np.int64))
                     found[1].append(ids)
                     found[2].append(scores)
@@ -106,7 +118,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     rank from 1, vec_id, score; ties to the smaller id. Vectors are integers."""
     spark = vectors.sparkSession
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first")).first()
-    asked = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     n_queries = queries.count()
     if not size["n"] or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -114,16 +125,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     shares = [i / wanted for i in range(1, wanted)]
     cuts = vectors.agg(F.percentile_approx("vec_id", shares, max(10_000, 4 * wanted))).first()[0] if shares else []
     starts = np.array(sorted({size["first"], *cuts}), np.int64)
-    ranges = len(starts)
-
     @F.pandas_udf("int")
     def range_of(vec_id: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(starts, vec_id.to_numpy(np.int64), "right") - 1)
 
-    held = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(teams - 1))).alias("team"), F.lit(False).alias("asks"), "vec_id", "vector",
-                          range_of("vec_id").alias("range"))
-    asking = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(teams)).cast("int").alias("team"), F.lit(True).alias("asks"), "vec_id", "vector",
-                          F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("range"))
+    # a range is cut between ids; where one id fills more than a range, its rows are dealt to several
+    sizes = np.zeros(len(starts), np.int64)
+    for row in vectors.groupBy(range_of("vec_id").alias("range")).count().collect():  # a line a range
+        sizes[row["range"]] = row["count"]
+    pieces = np.maximum(1, sizes // (2 * ROWS))
+    first = np.cumsum(pieces) - pieces
+    ranges = int(pieces.sum())
+
+    @F.pandas_udf("int")
+    def piece_of(vec_id: pd.Series, row: pd.Series) -> pd.Series:
+        at = np.searchsorted(starts, vec_id.to_numpy(np.int64), "right") - 1
+        return pd.Series(first[at] + row.to_numpy(np.int64) % pieces[at])
+
+    held = vectors.select("vec_id", "vector", piece_of("vec_id", F.monotonically_increasing_id()).alias("range")).select(
+        F.explode(F.sequence(F.lit(0), F.lit(teams - 1))).alias("team"), F.lit(False).alias("asks"), "vec_id", "vector", "range")
+    asking = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(teams)).cast("int").alias("team"), F.lit(True).alias("asks"), "vec_id", "vector",
+                            F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("range"))
     both = held.unionByName(asking).withColumn("task", F.col("team") * ranges + F.col("range"))
     found = (both.repartitionById(ranges * teams, F.col("task")).sortWithinPartitions("asks", "vec_id", "vector")
              .select("asks", "vec_id", "vector").mapInArrow(_search(k), FOUND))

@@ -97,14 +97,12 @@ def test_components(spark):
 
 
 def brute_search(rows, every, k):
-    best = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            best[i] = min(best.get(i, v), v)
-    ints = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in best.items()}
+    """Every row against every row of another id; rows of one id are queries together."""
+    ints = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows
+            if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in sorted(i for i in ints if i % every == 0):
-        scores = [(-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q])]
+    for q in sorted({i for i, _ in ints if i % every == 0}):
+        scores = [(-min(sum(a * b for a, b in zip(w, v)), 2**63 - 1), i) for j, w in ints if j == q for i, v in ints if i != q and len(v) == len(w)]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
     return out
 
@@ -118,7 +116,8 @@ def test_search(spark, monkeypatch, rows_per_range, queries):
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8) / 4]) for i in range(300)]
     rows += [(300 + i, rows[50][1]) for i in range(30)]  # ties
     rows += [(100, rows[100][1]), (401, None), (402, []), (403, [1.0, None] * 4), (404, [float("nan")] * 8), (405, [float("inf")] * 8),
-             (None, rows[3][1]), (450, [0.5, 0.5]), (500, [0.25, -0.5]), (-50, [1000.0] * 8)]
+             (None, rows[3][1]), (450, [0.5, 0.5]), (500, [0.25, -0.5]), (-50, [1000.0] * 8), (550, [3e5] * 8), (551, [1e8] * 8),
+             (150, [0.125] * 8), (150, rows[7][1]), *[(77, rows[i][1]) for i in range(200)]]
     df = spark.createDataFrame([(i, v, 3, 4) for i, v in rows], "vec_id long, embedding array<float>, label int, range int")
     got = sorted(tuple(r) for r in topk.nearest(df).collect())
     assert got == sorted(brute_search(rows, 50, 5))
