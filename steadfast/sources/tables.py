@@ -4,24 +4,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadfast.schemas import EMAIL, EXTERNAL_CSV, REWRITE
-from steadfast.sources.mail import with_file_position
+from steadfast.sources.quoted import RANGE_BYTES, read_csv
 
 
-def _csv(spark: SparkSession, schema):
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-
-
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The processed table; absent text reads as '' and absent flags as false."""
-    df = _csv(spark, EMAIL).csv(path) if path.rstrip("/").endswith("csv") else spark.read.parquet(path)
+    if path.rstrip("/").endswith("csv"):
+        df = read_csv(spark, path, EMAIL, range_bytes).drop("_file", "index")
+    else:
+        df = spark.read.parquet(path)
     return df.withColumns({
         "text": F.coalesce("text", F.lit("")), "had_html": F.coalesce("had_html", F.lit(False)),
     })
 
 
-def read_external(spark: SparkSession, path: str, corpus: str) -> DataFrame:
+def read_external(spark: SparkSession, path: str, corpus: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """subject / body / date / label files with a stable original_id corpus:file:position."""
-    rows = with_file_position(_csv(spark, EXTERNAL_CSV).csv(path))
+    rows = read_csv(spark, path, EXTERNAL_CSV, range_bytes)
     name = F.element_at(F.split("_file", "/"), -1)
     return rows.select(
         F.concat_ws(":", F.lit(corpus), name, F.col("index").cast("string")).alias("original_id"),
