@@ -4,9 +4,11 @@ A text of up to `chunk` code points is one chunk. A longer one is cut into chunk
 chunks of one text are pre-tokenised and encoded by different tasks. A chunk starts anywhere, so
 its first pre-tokens may be wrong, but pre-tokens depend only on what follows their start: from
 the first boundary that two neighbours share, both have the same pre-tokens. Every overlap runs
-on until it holds a word end followed by a blank, which is a boundary however one gets there, so
-neighbours always meet. There they are stitched; what lies before in the later chunk and after
-in the earlier one is dropped.
+on until it holds a word end followed by a blank, a letter followed by a mark or digit, or a digit
+followed by a mark or letter. These are boundaries however one gets there, so neighbours always meet.
+There they are stitched; what lies before in the later chunk and after in the earlier one is
+dropped. Only a text whose rest is one run of letters, of digits or of marks can't be cut on: as far
+as it is letters or digits it is one pre-token.
 
 Nulls and empty texts have no ids. Repeated rows each give a row. Order of rows is free.
 """
@@ -25,8 +27,12 @@ from steadfast.llm.tokens import PATTERN, encoder
 
 CHUNK = 32_768
 OVERLAP = 256
-#: Only characters that every engine counts as white space, after one that none does.
-WORD_END = re.compile(r"\S[ \n\t]")
+# Only characters that every engine and Unicode version counts as letters, digits and neither.
+LETTER = r"A-Za-z\u0410-\u044f\u05d0-\u05ea\u0621-\u063a\u0904-\u0939\u0e01-\u0e30\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+DIGIT = r"0-9\uff10-\uff19"
+SIGN = r"!-/:-@\[-`{-~\u00ab\u00bb\u060c\u061b\u061f\u0964\u2013\u2014\u2018-\u201d\u2026\u3001\u3002\u3008-\u3011\uff01-\uff0f\uff1a-\uff20"
+#: The last character of a pre-token, whatever comes before, and the next one's first.
+WORD_END = re.compile(rf"\S[ \n\t]|[{LETTER}][{SIGN}{DIGIT}]|[{DIGIT}][{SIGN}{LETTER}]")
 ENCODED = "doc_id long, n_tokens long, ids binary, text_bytes binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CUT = "row long, doc_id long, part int, start long, piece string"

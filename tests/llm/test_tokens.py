@@ -17,8 +17,8 @@ from steadfast.llm.tokens import encoder
 from tests.llm import helpers
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab é\n\t1'.😀 ", max_size=300), st.integers(5, 60), st.integers(1, 20))
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab é\n\t1'.😀 sд中。、２", max_size=300), st.integers(5, 60), st.integers(1, 20))
 def test_chunks_give_the_ids_of_the_whole_text(text, chunk, overlap):
     spans = bpe.cuts(text, chunk, overlap)
     coded = [bpe.encode_chunk(text[a:b], a, MULTI_RANKS) for a, b in spans]
@@ -27,6 +27,19 @@ def test_chunks_give_the_ids_of_the_whole_text(text, chunk, overlap):
     assert bpe.decode(ids, MULTI_RANKS) == text.encode()
 
 
+@pytest.mark.parametrize("text", ["中文沒有空格，只有標點。第２章" * 400, "let a1=[b2,c3];f(x);don't" * 400, "за,что?" * 900])
+def test_texts_without_blanks_are_cut(text):
+    spans = bpe.cuts(text, 500, 20)
+    assert len(spans) > 8 and max(b - a for a, b in spans) < 1_100
+    coded = [bpe.encode_chunk(text[a:b], a, MULTI_RANKS) for a, b in spans]
+    ids = np.concatenate([*bpe.stitch((marks, ids) for ids, marks in coded), np.zeros(0, "<u4")])
+    assert ids.tolist() == encoder(MULTI_RANKS).encode_ordinary(text)
+
+
+def test_one_run_of_letters_is_one_chunk():
+    assert bpe.cuts("中" * 2_000, 500, 20) == [(0, 2_000)]
+
+
 @pytest.mark.parametrize("chunk", [50, bpe.CHUNK])
 def test_encode_documents(spark, chunk):
     got = bpe.encode(helpers.documents(spark), MULTI_RANKS, chunk=chunk, overlap=10, digests=True).collect()
