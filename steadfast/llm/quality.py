@@ -163,12 +163,24 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 40, se
     return net
 
 
-def learn(vectors: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """The network from at most `sample` labelled documents; None if there is no label."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool=None) -> dict | None:
+    """The network from at most `sample` labelled documents, the smallest by a hash of their id; None
+    if there is no label. `pool` makes (doc_id, pooled) of those documents that come into question; None
+    if they hold their vectors. The number of labelled rows tells below which hash to look, so hardly
+    more than `sample` rows are pooled, joined and sorted; where they are too few, the bound is doubled."""
     taught = (labels.where(F.col("quality").isNotNull())
               .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")))
-    rows = (vectors.join(taught, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "pooled", "quality")
-            .limit(sample).select("pooled", "quality").toArrow())
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    known, place = docs.select("doc_id").join(taught, "doc_id").count(), F.xxhash64("doc_id", F.lit(7))
+    share = 1.25 * sample / max(1, known)
+    while True:
+        near, named = ((docs, taught) if share >= 1 else
+                       (rows.where(place <= F.lit(int(share * 2**64) - 2**63)) for rows in (docs, taught)))
+        rows = ((near if pool is None else pool(near)).join(named, "doc_id").orderBy(place, "doc_id", "pooled", "quality")
+                .limit(sample).select("pooled", "quality").toArrow())
+        if rows.num_rows >= min(sample, known) or share >= 1:
+            break
+        share *= 2
     if not rows.num_rows:
         return None
     x = np.frombuffer(b"".join(rows.column("pooled").to_pylist()), "<f4").reshape(rows.num_rows, -1).astype(float)
@@ -203,7 +215,7 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: int = SA
 def scorer(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """A column function from text to the probability of good quality, learned from all labels."""
     vectors = word_vectors(docs)
-    net = learn(pooled(docs, vectors), labels, sample)
+    net = learn(docs.select("doc_id", "text"), labels, sample, lambda chosen: pooled(chosen, vectors))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(text: pd.Series) -> pd.Series:

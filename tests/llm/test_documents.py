@@ -99,6 +99,51 @@ def test_quality(spark):
     assert {r.score for r in quality.score(helpers.documents(spark), labels.where("1 = 0")).collect()} == {0.5}
 
 
+def brute_word_vectors(texts):
+    """Sums of the neighbours' index vectors, a word at a time."""
+    dims, signs = quality._index()
+    sums = np.zeros((quality.SLOTS, quality.WIDTH))
+    for text in texts:
+        row = []
+        for word in quality.WORD.findall(text or ""):
+            row.append(1 + zlib.crc32(word.lower().encode()) % (quality.SLOTS - 1))
+            if len(word) > 1 and word.isupper():
+                row.append(quality.CAPITALS)
+        for i, here in enumerate(row):
+            for j in range(max(0, i - quality.WINDOW), min(len(row), i + quality.WINDOW + 1)):
+                if i != j:
+                    for d, sign in zip(dims[row[j]], signs[row[j]]):
+                        sums[here, d] += sign
+    sums -= sums.sum(axis=0) / max(1.0, np.abs(sums).sum()) * np.abs(sums).sum(axis=1, keepdims=True)
+    return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+
+
+def test_word_vectors_and_pools_by_brute_force(spark):
+    texts = [r[1] for r in helpers.rows()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vectors = quality.word_vectors(docs)
+    assert np.abs(vectors - brute_word_vectors(texts)).max() < 1e-5
+    for r in quality.pooled(docs, vectors).collect():
+        own = [vectors[abs(p)] for p in quality.places(texts[r.doc_id] or "", quality.Words())]
+        want = np.concatenate([np.mean(own, axis=0), np.std(own, axis=0)]) if own else np.zeros(2 * quality.WIDTH)
+        assert np.allclose(np.frombuffer(bytes(r.pooled), "<f4"), want, atol=2e-3)
+
+
+@pytest.mark.parametrize("sample", [1, 7, 40, 500])
+def test_sample_is_the_smallest_by_hash(spark, monkeypatch, sample):
+    docs = spark.range(400).selectExpr("cast(id as int) doc_id", "cast(id as string) text")
+    labels = spark.range(0, 600, 2).selectExpr("id doc_id", "cast(id % 4 = 0 as int) quality")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x, y)))
+    own = lambda d: d.selectExpr("doc_id", "unhex(lpad(hex(doc_id), 8, '0')) pooled")
+    quality.learn(docs, labels, sample, own)
+    quality.learn(own(docs), labels, sample)
+    order = [r.id for r in spark.range(0, 400, 2).selectExpr("id", "xxhash64(id, 7) h").orderBy("h").collect()][:sample]
+    for x, y in seen:
+        assert [int.from_bytes(np.float32(v).tobytes(), "big") for v in x.ravel()] == order
+        assert y.tolist() == [float(i % 4 == 0) for i in order]
+
+
 def test_network_learns_and_is_calibrated():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 6))
