@@ -1,7 +1,7 @@
 """Token sequences in training order, as fixed-stride binary shards.
 
 A document's ids, closed by an end id, are cut into sequences of at most `size` ids. Its place in
-the corpus (doc_id, number of the piece) is a number below `domain`; a keyed Feistel network,
+the corpus (doc_id, number of the piece, hash of the text) is a number below `domain`; a keyed Feistel network,
 applied again while the result lies outside, permutes these numbers. Equal ranges of permuted
 numbers are shards; within a shard sequences are in permuted order, and a sequence's global slot is
 its shard's first slot plus its place. So the order depends on key, ids and texts only, not on how
@@ -12,8 +12,10 @@ where the vocabulary needs them; the stride is constant, so slot s is at (s - fi
 A shard is written under another name and then renamed, so an attempt that dies leaves nothing
 behind under the shard's name, and a repeated one writes the same bytes.
 
-Null and empty texts are one sequence with the end id. Repeated rows have the same permuted number
-and follow one another. No rows give no shards. Only doc_id and text are read.
+Null and empty texts are one sequence with the end id. Rows without an id, or of one id, are told
+apart by a hash of their text, so however many they are, they spread over all shards; rows that agree
+in that too have the same permuted number and follow one another. No rows give no shards. Only doc_id
+and text are read.
 """
 
 import hashlib
@@ -38,6 +40,8 @@ HEADER = "<qqii"
 HEADER_BYTES = struct.calcsize(HEADER)
 SHARD_BYTES = 128 << 20
 BATCH_BYTES = 16 << 20
+#: Numbers for the texts of one id.
+TEXTS = 2**24
 MASK = 2**64 - 1
 MANIFEST = "shard int, path string, sequences long, stride long, width int, sha256 string"
 SEQUENCES = "slot long, shard int, doc_id long, start long, length long, ids_crc32 long"
@@ -87,9 +91,10 @@ def _dealt(path, size, end_id, kind, first, null_place, pieces, shards, key, dom
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
                 ids = np.array([*ids_in(text), end_id], kind)
                 place = null_place if doc is None else doc - first
+                own_text = zlib.crc32((text or "").encode()) % TEXTS
                 for piece, start in enumerate(range(0, len(ids), size)):
                     own = ids[start:start + size].tobytes()
-                    number = moved(place * pieces + piece)
+                    number = moved((place * pieces + piece) * TEXTS + own_text)
                     shard = number * shards // domain
                     head = number.to_bytes(16, "big") + struct.pack(HEADER, doc or 0, start, len(own) // ids.itemsize, doc is None)
                     waiting.setdefault(shard, []).append(head + own)
@@ -148,7 +153,7 @@ def write(docs: DataFrame, path: str, folder: str, size: int = SIZE, end_id: int
     has = docs.agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum(long).alias("bytes"), F.max(long).alias("longest")).first()
     first, last = (has["first"], has["last"]) if has["first"] is not None else (0, -1)
     pieces = -(-((has["longest"] or 0) + 1) // size)
-    domain = (last - first + 2) * pieces
+    domain = (last - first + 2) * pieces * TEXTS
     shards = max(partitions(spark), -(-(has["bytes"] or 0) * width // SHARD_BYTES))
     stride = HEADER_BYTES + size * width
     dealt = docs.mapInArrow(_dealt(path, size, end_id, f"<u{width}", first, last - first + 1, pieces, shards, key, domain), "shard int, data binary")

@@ -101,6 +101,19 @@ def test_permutation_is_one(domain):
     assert sorted(map(moved, range(domain))) == list(range(domain))
 
 
+def test_rows_of_one_id_spread_over_shards(spark, tmp_path):
+    docs = spark.range(900).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, -5, id)) doc_id", "concat('text ', id) text")
+    manifest = shards.write(docs, RANKS, f"{tmp_path}/hot", size=32)
+    held = Counter((r.shard, r.doc_id) for r in shards.read(manifest).collect())
+    assert sum(held.values()) == 900
+    for doc in (None, -5):
+        sizes = [n for (_, d), n in held.items() if d == doc]
+        assert sum(sizes) == 300 and len(sizes) > 1
+    again = shards.write(docs.repartition(7), RANKS, f"{tmp_path}/again", size=32)
+    digests = lambda m: sorted((r.shard, r.sha256) for r in m.collect())
+    assert digests(again) == digests(manifest)
+
+
 def test_shards_round_trip(spark, tmp_path):
     docs = helpers.documents(spark)
     manifest = shards.write(docs, RANKS, f"{tmp_path}/a", size=32)
