@@ -9,6 +9,7 @@ from checks.views import (
 from steadfast import lexicons as L
 from steadfast.functions import hashing as H
 from steadfast.functions import html as HT
+from steadfast.functions import pages as PG
 from steadfast.functions import text as X
 from steadfast.functions import urls as U
 from steadfast.operators import cleaning as C
@@ -221,10 +222,19 @@ def _links_sql():
     return f"list_filter({both}, lambda v: v <> '' AND NOT ({skip}))"
 
 
+def _counted_links(spark, sf, of):
+    links = fx.table(spark, sf, "pages").select("page_id", of(F.col("html")).alias("l"))
+    return links.select("page_id", F.size("l").cast("long").alias("n_links"), F.array_join("l", " ").alias("links"))
+
+
 @query("html_links", f"SELECT page_id, len(links) AS n_links, array_to_string(links, ' ') AS links FROM (SELECT page_id, {_links_sql()} AS links FROM pages)")
 def html_links(spark, sf):
-    links = fx.table(spark, sf, "pages").select("page_id", HT.link_targets(F.col("html")).alias("l"))
-    return links.select("page_id", F.size("l").cast("long").alias("n_links"), F.array_join("l", " ").alias("links"))
+    return _counted_links(spark, sf, PG.destinations)
+
+
+@query("html_links_parser", QUERIES["html_links"][1])
+def html_links_parser(spark, sf):
+    return _counted_links(spark, sf, HT.link_targets)
 
 
 def _html_text_sql():
@@ -245,6 +255,11 @@ def _html_text_sql():
 
 @query("html_text", f"SELECT page_id, {_html_text_sql()} AS body FROM pages")
 def html_text(spark, sf):
+    return fx.table(spark, sf, "pages").select("page_id", PG.visible_text(F.col("html")).alias("body"))
+
+
+@query("html_text_parser", QUERIES["html_text"][1])
+def html_text_parser(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", HT.to_text(F.col("html")).alias("body"))
 
 
