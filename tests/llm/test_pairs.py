@@ -123,3 +123,24 @@ def test_search(spark, monkeypatch, rows_per_range, queries):
     assert got == sorted(brute_search(rows, 50, 5))
     assert topk.nearest(df.where("1 = 0")).count() == 0
     assert topk.nearest(df.where("vec_id = 100")).count() == 0
+
+
+def test_blocks_of_near_rows_are_left_out():
+    """Clustered vectors: most blocks can't hold one of the best, and the best are those of a full search."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 32))
+    rows = np.floor(256 * (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) / 20)).astype(np.int64)
+    order = topk.by_nearness(rows.astype(float))
+    assert sorted(order) == list(range(4000))
+    blocks = topk.Blocks(np.arange(4000), rows)
+    for q in range(0, 4000, 50):
+        ids, scores = blocks.best(q, rows[q], 5)
+        every = rows @ rows[q]
+        first = np.lexsort((np.arange(4000), -every))
+        assert ids.tolist() == [i for i in first if i != q][:5] and scores.tolist() == every[ids].tolist()
+    assert blocks.scored < 0.5 * 80 * len(blocks.starts)
+
+
+def test_blocks_of_equal_rows():
+    rows = np.full((500, 4), 7)
+    assert topk.Blocks(np.arange(500), rows).best(3, rows[3], 5)[0].tolist() == [0, 1, 2, 4, 5]
