@@ -260,6 +260,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with all spans redacted; same columns. Texts without a digit or an at sign
     can't hold a span, so only the others are written and joined with their spans."""
     may = F.coalesce(F.rlike("text", F.lit("[0-9@]")), F.lit(False))
-    changed = with_spans(docs.where(may), docs.columns).select("doc.*", F.col("spans").alias("_spans_"))
-    changed = changed.withColumn("text", redacted_text(F.col("text"), F.col("_spans_"))).drop("_spans_")
-    return changed.select(docs.columns).unionByName(docs.where(~may))
+    own = {c: F.col("doc").getField(c) for c in docs.columns}
+    own["text"] = redacted_text(own["text"], F.col("spans"))
+    changed = with_spans(docs.where(may), docs.columns).select(*(value.alias(c) for c, value in own.items()))
+    return changed.unionByName(docs.where(~may))

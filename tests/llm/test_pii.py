@@ -132,3 +132,15 @@ def test_near_duplicates_keep_a_row_of_each_group(spark, tmp_path):
 def test_redacted_text(spark, text, spans, want):
     df = spark.createDataFrame([(text, [(a, b, k, "", "") for a, b, k in spans])], f"text string, spans array<{pii.SPAN}>")
     assert df.select(pii.redacted_text(F.col("text"), F.col("spans"))).first()[0] == want
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Columns named like what the stages or the operators compute come through as they were."""
+    names = ["_key_", "_score_", "_found_", "_spans_", "key", "score", "found", "doc", "spans", "base", "root", "pooled", "lang_pred", "first"]
+    docs = helpers.documents(spark).select("*", *(F.lit(n).alias(n) for n in names))
+    here = helpers.parquet(spark, tmp_path, "documents", docs)
+    helpers.parquet(spark, tmp_path, "labels", here.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, here, str(tmp_path))
+        assert out.columns == here.columns
+        assert all(r[n] == n for r in out.collect() for n in names)
