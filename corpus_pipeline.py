@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept: language,
 quality, near duplicates, personal data, packing. All but the last return the columns of documents.
 Null and empty texts have no language and go in the first stage; null ids, extra columns, repeated
-rows and empty tables are handled as the operators say. The near-duplicate stage tells rows apart by id
+rows and empty tables are handled as the operators say. Rows travel whole beside what a stage decides on,
+so no column name clashes. The near-duplicate stage tells rows apart by id
 and text, so rows without an id, or of one id with different texts, are in groups like others.
 """
 
@@ -23,21 +24,21 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are mostly in one learned language."""
     found = langid.predicted(spark, langid.learn(docs))
-    judged = docs.withColumn("_found_", found("text"))
-    return judged.where((F.col("_found_.lang_pred") != langid.NONE) & (F.col("_found_.score") >= LEAST_SHARE)).drop("_found_")
+    judged = docs.select(F.struct("*").alias("doc"), found("text").alias("found"))
+    return judged.where((F.col("found.lang_pred") != langid.NONE) & (F.col("found.score") >= LEAST_SHARE)).select("doc.*")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier takes for good ones."""
     score = quality.scorer(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_score_", score("text")).where(F.col("_score_") >= quality.THRESHOLD).drop("_score_")
+    return docs.select(F.struct("*").alias("doc"), score("text").alias("score")).where(F.col("score") >= quality.THRESHOLD).select("doc.*")
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group, the one with the smallest id; of equal rows, one."""
-    keys = neardup.kept_keys(docs, SIMILARITY_PCT).withColumnRenamed("key", "_key_")
-    keyed = docs.withColumn("_key_", neardup.row_key())
-    return keyed.join(keys, "_key_", "left_semi").dropDuplicates(["_key_"]).select(docs.columns)
+    keys = neardup.kept_keys(docs, SIMILARITY_PCT)
+    keyed = docs.select(F.struct("*").alias("doc"), neardup.row_key().alias("key"))
+    return keyed.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
