@@ -18,6 +18,8 @@ from steadfast.schemas import PARSED_MESSAGE
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TAG_PATTERN = L.ANY_TAG
+#: Messages that a worker holds in parsed form at once.
+MESSAGES = 64
 
 
 # ------------------------------------------------------------------------- reading
@@ -125,16 +127,16 @@ def parse_messages(raw: DataFrame) -> DataFrame:
     schema = PARSED_MESSAGE.__class__([*PARSED_MESSAGE.fields, *[raw.schema[c] for c in extra]])
 
     def parse(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            fields = [parse_message(bytes(r) if r is not None else b"") for r in batch["raw"]]
-            # A stray surrogate cannot leave Python as UTF-8.
-            clean = [[s.encode("utf-8", "replace").decode("utf-8") for s in f[:2]] + [f[2]] for f in fields]
-            out = batch[["original_id"]].copy()
-            out["subject"] = [c[0] for c in clean]
-            out["body"] = [c[1] for c in clean]
-            out["had_html"] = [c[2] for c in clean]
-            for name in extra:
-                out[name] = batch[name]
-            yield out
-
-    return raw.select("original_id", "raw", *extra).mapInPandas(parse, schema)
+            for a in range(0, batch.num_rows, MESSAGES):
+                some = batch.slice(a, MESSAGES)
+                fields = [parse_message(r.as_py() or b"") for r in some.column("raw")]
+                # A stray surrogate cannot leave Python as UTF-8.
+                clean = [[s.encode("utf-8", "replace").decode("utf-8") for s in f[:2]] + [f[2]] for f in fields]
+                made = [pa.array([c[i] for c in clean], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))]
+                kept = [some.column(name) for name in extra]
+                yield pa.record_batch([some.column("original_id"), *made, *kept], names=schema.names)
+
+    return raw.select("original_id", "raw", *extra).mapInArrow(parse, schema)

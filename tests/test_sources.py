@@ -185,3 +185,15 @@ def test_stream_judges_only_new_files(spark, tmp_path):
     stream_verdicts(spark, log, originals, out, ckpt).awaitTermination(60)
     got = {(r["original_id"], r["severity"]): (r["retained_urls"], r["refused"]) for r in spark.read.parquet(out).collect()}
     assert got == {("a", 0.5): (True, False), ("a", 1.0): (False, False), ("b", 0.5): (None, True)}
+
+
+def test_a_worker_holds_few_parsed_messages(spark, monkeypatch):
+    from steadfast.sources import mail
+
+    monkeypatch.setattr(mail, "MESSAGES", 3)
+    rows = [(str(i), b"Subject: s%d\n\nbody" % i if i % 4 else None, i) for i in range(20)]
+    out = mail.parse_messages(spark.createDataFrame(rows, "original_id string, raw binary, extra long").coalesce(1))
+    got = out.orderBy("extra").collect()
+    assert [(r["original_id"], r["subject"], r["body"], r["had_html"], r["extra"]) for r in got] == [
+        (str(i), f"s{i}" if i % 4 else "", "body" if i % 4 else "", False, i) for i in range(20)]
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
