@@ -123,6 +123,10 @@ def permutation_test(
 
 # ------------------------------------------------------------------ metric intervals
 ROWS_PER_SLICE = 200_000
+#: Weights (rows x replicates) that a slice's worker draws at once.
+NUMBERS_AT_ONCE = 1_000_000
+#: The label of rows that tell a slice what lies above it, one for each of its cells.
+OFFSETS = 2
 
 
 def _replicate_sums(coefs, cdf, modulus, group, cell, threshold):
@@ -135,6 +139,15 @@ def _replicate_sums(coefs, cdf, modulus, group, cell, threshold):
 
         width = len(group) + 4
         out = []
+
+        def same_nan(values):
+            return tuple("nan" if v != v else v for v in values)
+
+        offsets = {}
+        if "_pos_above" in rows:
+            given, rows = rows[rows["label"] == OFFSETS], rows[rows["label"] != OFFSETS]
+            known = zip(*(given[c] for c in cell)) if len(cell) else [()] * len(given)
+            offsets = dict(zip(map(same_nan, known), zip(given["_pos_above"], given["_neg_above"])))
         rows = rows.sort_values("score", kind="stable")
         is_neg = rows["label"].to_numpy() == 0
         neg, pos = rows[is_neg], rows[~is_neg]
@@ -153,7 +166,7 @@ def _replicate_sums(coefs, cdf, modulus, group, cell, threshold):
                 frame[name] = pd.Series([value] * len(frame), dtype=object)
             out.append(frame)
 
-        step = max(1, 4_000_000 // max(1, len(rows)))
+        step = max(1, NUMBERS_AT_ONCE // max(1, len(rows)))
         for start in range(0, len(coefs), step):
             part = coefs[start:start + step]
             w_neg = weights(neg, part)
@@ -173,14 +186,12 @@ def _replicate_sums(coefs, cdf, modulus, group, cell, threshold):
                 below = run[np.searchsorted(neg_score, score, side="left")]
                 upto = run[np.searchsorted(neg_score, score, side="right")]
                 pairs = (w * (below + upto) / 2.0).sum(axis=0)
-                offset = frame[["_pos_above", "_neg_above"]].iloc[0] if "_pos_above" in frame else None
+                offset = offsets.get(same_nan(values))
                 total = w.sum(axis=0)
                 if offset is None:
                     pos_above = neg_above = 0.0
                 else:
-                    base = slice(start, start + len(part))
-                    pos_above = np.asarray(offset["_pos_above"])[base]
-                    neg_above = np.asarray(offset["_neg_above"])[base]
+                    pos_above, neg_above = (np.asarray(o)[start:start + len(part)] for o in offset)
                 cum = np.cumsum(w, axis=0)
                 before = np.vstack([np.zeros((1, len(part)), dtype="int64"), cum])
                 first = np.searchsorted(score, score, side="left")
@@ -306,9 +317,13 @@ def _stitch(rows, part, per_bucket, worker, out_type, keys, slot, cell, sums):
         F.transform("_o", lambda o: o["neg_above"]).alias("_neg_above"),
     )
     light = rows.where(~F.col("_heavy"))
-    with_offsets = light.join(offsets, [*keys, "_bucket", "_heavy", *cell], "left")
+    # Offsets are as long as there are replicates: a slice gets them once for each cell, not with every row.
+    none = {c: F.lit(None).cast("array<double>") for c in ("_pos_above", "_neg_above")}
+    filled = {c: F.lit(0) for c in rows.columns if c not in (*keys, "_bucket", "_heavy", *cell)}  # a null would make hashes floats
+    marks = offsets.withColumns({**filled, "label": F.lit(OFFSETS)}).select(
+        *[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in rows.columns], *none)
     again = (
-        with_offsets.groupBy(*slot).applyInPandas(worker, out_type).where(is_pos)
+        light.withColumns(none).unionByName(marks).groupBy(*slot).applyInPandas(worker, out_type).where(is_pos)
         .groupBy(*keys, "_bucket", "_heavy", *cell, "replicate").agg(F.sum("steps").alias("_light_steps"))
     )
     joined = full.join(again, [*keys, "_bucket", "_heavy", *cell, "replicate"], "left").withColumn(

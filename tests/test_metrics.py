@@ -197,3 +197,32 @@ def test_results_ignore_partitioning(scores):
     ).orderBy("model", "severity").collect()
     for x, y in zip(a, b):
         assert all(u == pytest.approx(v, abs=1e-12) if isinstance(u, float) else u == v for u, v in zip(x, y))
+
+
+def test_a_slice_gets_offsets_once_for_each_cell(spark):
+    """They are as long as there are replicates: no row may carry them."""
+    import pandas as pd
+
+    seen, made = [], S._replicate_sums
+
+    def spy(*args):
+        worker = made(*args)
+
+        def run(key, rows):
+            if "_pos_above" in rows:
+                held = rows["_pos_above"].notna()
+                if held.sum() > rows.loc[rows["label"] > 0, "severity"].nunique() or (held & (rows["label"] < 2)).any():
+                    raise ValueError("offsets with rows")
+            return worker(key, rows)
+
+        return run
+
+    seen = [("m", i, float(i % 3), float(i % 2), 0.01 * i) for i in range(60)]
+    pos = spark.createDataFrame(pd.DataFrame(seen, columns=["model", "row_id", "severity", "x", "score"]).drop(columns="x"))
+    neg = pos.withColumn("score", pos["score"] / 2).drop("severity")
+    S._replicate_sums = spy
+    try:
+        rows = S.bootstrap_cis(pos, neg, ["model"], n=20, rows_per_slice=25).collect()
+    finally:
+        S._replicate_sums = made
+    assert len(rows) == 3 and all(0 <= r["pr_auc_lo"] <= r["pr_auc_hi"] <= 1 for r in rows)
