@@ -1,6 +1,8 @@
 """Text functions, defanging and features on inline rows."""
 
 import math
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,7 +84,6 @@ def test_era(spark):
 def tfidf_by_hand(docs, max_terms):
     import re
     import unicodedata
-    from collections import Counter
 
     def grams(t):
         t = "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
@@ -134,6 +135,60 @@ def test_vocabulary_is_exact_whatever_the_sketch(spark):
             assert [r["term_id"] for r in sorted(got, key=lambda r: r["term"])] == list(range(len(want)))
 
 
+def test_terms_are_counted_and_weighed_in_parts(spark, monkeypatch):
+    """Parts of few tokens, long texts among them, ids that repeat or are null: as by hand. No gram of a text
+    is a row of its own before it is counted."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from steadfast.functions import terms as G
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(("aa", "bb", "cc", "\u00e9\u00e9", "aa bb")) for _ in range(n)) for n in (0, 1, 3, 40, 7, 0, 90, 2, 1)]
+    ids = [1, 1, None, 4, 5, 6, 7, 8, None]
+    schema = "id int, text string"
+    rows = FE.term_counts(spark.createDataFrame([*zip(ids, texts), (9, None)], schema), "id").collect()
+
+    def by_hand(text):
+        w = text.replace("\u00e9", "e").split()
+        return Counter([*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))])
+
+    want = sorted(((i, t, n) for i, x in zip(ids, texts) for t, n in by_hand(x).items()), key=str)
+    assert sorted(map(tuple, rows), key=str) == want
+    total = Counter()
+    for x in texts:
+        total.update(by_hand(x))
+    df = spark.createDataFrame(list(zip(ids, texts)), schema)
+    made = FE.term_occurrences(df.coalesce(1)).collect()
+    assert len(made) == len(total) and {r["term"]: r["tf"] for r in made} == total
+    words = [x.replace("\u00e9", "e").split() for x in texts]
+    terms = ["aa", "bb aa", "cc", "ee ee", "zz", "aa bb cc"]
+    for tokens in (1, 5, 30, 2**19):
+        monkeypatch.setattr(G, "PART_TOKENS", tokens)
+        lists = pa.array([["x"], *words, ["x"]], pa.list_(pa.string())).slice(1, len(words))
+        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), lists], ["id", "tokens"])
+        found = [tuple(r.values()) for b in G.by_text([batch]) for r in b.to_pylist()]
+        assert sorted(found, key=str) == want
+        got = G.weigher(terms, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])(lists).to_pylist()
+        for x, entries in zip(texts, got, strict=True):
+            w = {i: (1 + math.log(by_hand(x)[t])) * (i + 1) for i, t in enumerate(terms) if t in by_hand(x)}
+            norm = math.sqrt(sum(v * v for v in w.values()))
+            assert [e["term_id"] for e in entries] == list(w)
+            assert np.allclose([e["weight"] for e in entries], [v / norm for v in w.values()])
+
+
+def test_a_filter_on_weights_weighs_once(spark):
+    df = spark.createDataFrame([(0, "aa bb"), (1, "cc"), (2, "aa")], "id int, text string")
+    vocab = spark.createDataFrame([("aa", 1.0, 0)], "term string, idf double, term_id int")
+    coefs = spark.createDataFrame([(0, 1.0)], "term_id int, coefficient double")
+    scored = FE.linear_score(df, vocab, coefs, "id")
+    assert sorted(r["id"] for r in scored.collect()) == [0, 2]
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython \[weighed", plan)) == 1  # above the union of both ways of folding
+
+
 def test_rare_terms_are_not_shuffled(spark):
     """Exact counts are made of the terms in frequent buckets only."""
     docs = [(i, f"common common rare{i}") for i in range(3000)]
