@@ -49,6 +49,11 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def count_within(text: Column, outside: str) -> Column:
+    """Characters that are not in the class `outside`: what is left without its runs. Nothing is made for each match."""
+    return F.length(F.regexp_replace(text, outside + "+", ""))
+
+
 def count_substring(text: Column, needle: str) -> Column:
     """Non-overlapping occurrences."""
     gone = F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))
@@ -153,7 +158,7 @@ def handcrafted(text: Column, had_html: Column) -> list[Column]:
     """The eight numeric features, in table order."""
     body = or_empty(text)
     n_chars = F.length(body)
-    n_letters = count_matches(body, r"\p{L}")
+    n_letters = count_within(body, r"\P{L}")
     zero = F.lit(0.0)
     values = (
         n_chars.cast("double"),
@@ -161,8 +166,8 @@ def handcrafted(text: Column, had_html: Column) -> list[Column]:
         count_matches(body, FOLD + L.GREEDY_URL).cast("double"),
         urgency_count(body).cast("double"),
         count_substring(body, "!").cast("double"),
-        F.when(n_chars > 0, count_matches(body, r"\p{Nd}") / n_chars).otherwise(zero),
-        F.when(n_letters > 0, count_matches(body, r"\p{Lu}") / n_letters).otherwise(zero),
+        F.when(n_chars > 0, count_within(body, r"\P{Nd}") / n_chars).otherwise(zero),
+        F.when(n_letters > 0, count_within(body, r"\P{Lu}") / n_letters).otherwise(zero),
         F.coalesce(had_html, F.lit(False)).cast("double"),
     )
     return [v.alias(name) for v, name in zip(values, L.HANDCRAFTED)]

@@ -2,6 +2,7 @@
 
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -82,9 +83,6 @@ def test_era(spark):
 
 
 def tfidf_by_hand(docs, max_terms):
-    import re
-    import unicodedata
-
     def grams(t):
         t = "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
         u = re.findall(r"\b\w\w+\b", t)
@@ -207,6 +205,15 @@ def test_rare_terms_are_not_shuffled(spark):
     assert seen[0] < 100  # of 9,002
 
 
+def test_characters_of_a_class_are_counted_without_a_match_each(spark):
+    texts = ["", "abc", "A1 \u00c9\u0301 \u0661x\n\U0001d400\U0001d41b \U0001f600", "...", "\U0001d7d8\u2163\u01c5"]
+    for outside, kinds in ((r"\P{L}", "L"), (r"\P{Nd}", "Nd"), (r"\P{Lu}", "Lu")):
+        want = [sum(unicodedata.category(c).startswith(kinds) for c in t) for t in texts]
+        assert values(spark, texts, lambda t: X.count_within(t, outside)) == want
+    plan = spark.createDataFrame([("a", 1, False)], "text string, id int, had_html boolean").select(*X.handcrafted(F.col("text"), F.col("had_html")))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_count") + plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
+
+
 def test_scales_use_population_deviation(spark):
     df = spark.createDataFrame([(1, "ab", False), (2, "abcd", False)], "id int, text string, had_html boolean")
     row = FE.scale_factors(FE.handcrafted_features(df, "id")).first()
