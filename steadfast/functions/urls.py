@@ -27,18 +27,20 @@ def anchor_urls(text: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    low = F.lower(url)
-    host = F.regexp_extract(low, L.URL_HOST, 1)
-    return F.when(host == "", low).otherwise(host)
+    def whole_without(low):
+        return let(F.regexp_extract(low, L.URL_HOST, 1), lambda host: F.when(host == "", low).otherwise(host))
 
+    return let(F.lower(url), whole_without)
 
+
+# What a list is searched for is bound first: each of its names would compute it anew.
 def _host_listed(host: Column, names) -> Column:
     listed = F.array(*[F.lit(n) for n in names])
-    return F.exists(listed, lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
+    return let(host, lambda h: F.exists(listed, lambda d: (h == d) | F.endswith(h, F.concat(F.lit("."), d))))
 
 
 def _holds_any(text: Column, needles) -> Column:
-    return F.exists(F.array(*[F.lit(n) for n in needles]), lambda k: F.contains(text, k))
+    return let(text, lambda t: F.exists(F.array(*[F.lit(n) for n in needles]), lambda k: F.contains(t, k)))
 
 
 def is_ipv4_host(host: Column) -> Column:
@@ -49,8 +51,7 @@ def is_known_brand(host: Column) -> Column:
     return _host_listed(host, L.KNOWN_BRANDS)
 
 
-def is_incidental(url: Column) -> Column:
-    host, low = host_of(url), F.lower(url)
+def _incidental(low: Column, host: Column) -> Column:
     return (
         _host_listed(host, L.INCIDENTAL_HOSTS)
         | (F.startswith(host, F.lit("click")) & F.contains(host, F.lit("ebay")))
@@ -59,14 +60,21 @@ def is_incidental(url: Column) -> Column:
     )
 
 
+def is_incidental(url: Column) -> Column:
+    return let(F.lower(url), lambda low: let(host_of(low), lambda host: _incidental(low, host)))
+
+
 def url_strength(url: Column) -> Column:
-    host = host_of(url)
-    points = (
-        F.when(is_ipv4_host(host), 3).otherwise(0)
-        + F.when(_holds_any(F.lower(url), L.ASK_PATHS), 2).otherwise(0)
-        + F.when(is_known_brand(host), 0).otherwise(1)
-    )
-    return F.when(is_incidental(url), F.lit(-1)).otherwise(points)
+    """Lower case and host are found once for each URL."""
+    def strength(low, host):
+        points = (
+            F.when(is_ipv4_host(host), 3).otherwise(0)
+            + F.when(_holds_any(low, L.ASK_PATHS), 2).otherwise(0)
+            + F.when(is_known_brand(host), 0).otherwise(1)
+        )
+        return F.when(_incidental(low, host), F.lit(-1)).otherwise(points)
+
+    return let(F.lower(url), lambda low: let(host_of(low), lambda host: strength(low, host)))
 
 
 def scored_urls(urls: Column) -> Column:

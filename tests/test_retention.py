@@ -72,6 +72,16 @@ def test_strength(spark, url, points):
     assert df.select(U.url_strength(F.col("u"))).first()[0] == points
 
 
+def test_host_is_found_once_for_a_url(spark):
+    """No list of hosts or words is searched for an expression that each of its names would compute anew."""
+    df = spark.createDataFrame([("http://x.org/a",), (None,)], "u string")
+    scored = df.select(U.url_strength(F.col("u")).alias("s"), U.host_of(F.col("u")).alias("h"), U.is_incidental(F.col("u")).alias("i"))
+    assert [tuple(r) for r in scored.collect()] == [(1, "x.org", False), (1, None, None)]
+    plan = df.select(U.url_strength(F.col("u")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") == 1
+    assert plan.count("lower(") == 2
+
+
 def test_validity_treats_null_as_not_valid(spark):
     rows = [(None, None), (None, False), (True, None), (True, True), (False, False), (True, False)]
     df = spark.createDataFrame(rows, "retained_urls boolean, refused boolean")
