@@ -35,6 +35,13 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: the join is by sorting, with both sides shuffled. Else Spark
+    may broadcast it through the driver, as it takes files of packed numbers, and what Python or an explode
+    makes of a row, for much smaller than they are."""
+    return df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadfast.llm.common import saved
+from steadfast.llm.common import dealt, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,13 +18,13 @@ def components(edges: DataFrame) -> DataFrame:
     roots = saved(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
                   .select("node", F.col("node").alias("root")), "roots")
     while True:
-        ends = (edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
-                .join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        ends = (edges.join(dealt(roots.select(F.col("node").alias("a"), F.col("root").alias("x"))), "a")
+                .join(dealt(roots.select(F.col("node").alias("b"), F.col("root").alias("y"))), "b")
                 .where(F.col("x") != F.col("y")))
         offers = saved(ends.groupBy(F.greatest("x", "y").alias("root")).agg(F.min(F.least("x", "y")).alias("lower")), "offers")
         if not offers.take(1):
             return roots
-        hooked = saved(roots.join(offers, "root", "left").select("node", F.coalesce("lower", "root").alias("root")), "roots")
+        hooked = saved(roots.join(dealt(offers), "root", "left").select("node", F.coalesce("lower", "root").alias("root")), "roots")
         roots = _flat(hooked)
 
 
@@ -32,7 +32,7 @@ def _flat(roots: DataFrame) -> DataFrame:
     """Pointer jumping until every root is its own root."""
     while True:
         above = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = saved(roots.join(above, "root").select("node", F.col("next").alias("root"),
+        jumped = saved(roots.join(dealt(above), "root").select("node", F.col("next").alias("root"),
                                                         (F.col("next") != F.col("root")).alias("moved")), "roots")
         if not jumped.where("moved").take(1):
             return jumped.select("node", "root")

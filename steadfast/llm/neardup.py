@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from steadfast.llm.common import saved, slices
+from steadfast.llm.common import dealt, saved, slices
 from steadfast.llm.components import components
 
 WORDS = 5
@@ -146,15 +146,15 @@ def compared(pairs: DataFrame, texts: DataFrame, similarity_pct: int) -> DataFra
                                    pa.array(lacks, pa.list_(pa.int64())), pa.array(extra, pa.int64())],
                                   names=["a", "b", "linked", "size", "lacks", "extra"])
 
-    joined = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-              .join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a"))
+    joined = (pairs.join(dealt(texts.select(F.col("node").alias("b"), F.col("text").alias("y"))), "b")
+              .join(dealt(texts.select(F.col("node").alias("a"), F.col("text").alias("x"))), "a"))
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean, size long, lacks array<long>, extra long")
 
 
 def texts_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """One text for each class in a pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "key"), "node")
-    rows = docs.select(row_key().alias("key"), "text").join(wanted, "key").select("node", "text")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(dealt(classes.select("node", "key")), "node")
+    rows = docs.select(row_key().alias("key"), "text").join(dealt(wanted), "key").select("node", "text")
     return saved(rows.dropDuplicates(["node"]), "texts")
 
 
@@ -162,7 +162,7 @@ def _across(rows: DataFrame) -> DataFrame:
     """Rows of entries whose members are in different components."""
     mixed = (rows.groupBy("entry").agg(F.min("root").alias("lowest"), F.max("root").alias("highest"))
              .where("lowest != highest").select("entry"))
-    return rows.join(mixed, "entry")
+    return rows.join(dealt(mixed), "entry")
 
 
 def own_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def own_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
                                   names=["node", "shingle"])
 
     wanted = rows.select(F.explode(F.array("node", "centre")).alias("node")).distinct()
-    spread = texts.join(wanted, "node").select("node", "text").mapInArrow(run, "node long, shingle long")
+    spread = texts.join(dealt(wanted), "node").select("node", "text").mapInArrow(run, "node long, shingle long")
     return (spread.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
             .where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("own")))
 
@@ -193,18 +193,18 @@ def _rooted(docs: DataFrame, similarity_pct: int) -> tuple[DataFrame, DataFrame]
                     .select("node", "first.unknown", F.col("first.doc_id").alias("rep"), "first.key", "n", "sig"), "classes")
     index = entries(classes, chunks)
     crowded = index.groupBy("entry").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = saved(index.join(crowded, "entry"), "shared")
+    shared = saved(index.join(dealt(crowded), "entry"), "shared")
 
     # each class against the centre of its entries: the class that shares most
     reach = shared.groupBy("node").agg(F.sum("members").alias("reach"))
-    centres = (shared.join(reach, "node").groupBy("entry").agg(F.max(F.struct("reach", "node")).alias("most"))
+    centres = (shared.join(dealt(reach), "node").groupBy("entry").agg(F.max(F.struct("reach", "node")).alias("most"))
                .select("entry", F.col("most.node").alias("centre")))
-    centred = saved(shared.join(centres, "entry"), "centred")
+    centred = saved(shared.join(dealt(centres), "entry"), "centred")
     sizes = classes.select("node", "n")
     possible = 100 * F.least("n_a", "n_b") >= similarity_pct * F.greatest("n_a", "n_b")
     first = saved(centred.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-                  .join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-                  .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b").where(possible).select("a", "b"), "pairs")
+                  .join(dealt(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))), "a")
+                  .join(dealt(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))), "b").where(possible).select("a", "b"), "pairs")
     several = centred.where("members > 2 and node != centre").select("entry", "node", "centre")
     texts = texts_for(several.select(F.col("centre").alias("a"), F.col("node").alias("b")).unionByName(first), classes, docs)
     tested = saved(compared(first, texts, similarity_pct), "tested")
@@ -212,36 +212,36 @@ def _rooted(docs: DataFrame, similarity_pct: int) -> tuple[DataFrame, DataFrame]
     roots = components(links)
 
     # what entries have left: pairs across components, but for those that can't be similar enough
-    placed = several.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = several.join(dealt(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_rows = saved(_across(placed), "open")
-    sized = (open_rows.join(sizes, "node").join(own_shingles(open_rows, texts), "node", "left")
+    sized = (open_rows.join(dealt(sizes), "node").join(dealt(own_shingles(open_rows, texts)), "node", "left")
              .withColumn("own", F.coalesce("own", F.lit(0))).withColumn("common", F.col("n") - F.col("own")))
     least = sized.groupBy("entry").agg(F.min("n").alias("least"))
-    hopeful = saved(sized.join(least, "entry")
+    hopeful = saved(sized.join(dealt(least), "entry")
                     .where(100 * F.col("common") >= similarity_pct * (F.col("own") + F.col("least"))).drop("least"), "hopeful")
-    left = saved(_across(hopeful).join(tested.select(F.col("a").alias("centre"), F.col("b").alias("node"), "size", "lacks", "extra"),
+    left = saved(_across(hopeful).join(dealt(tested.select(F.col("a").alias("centre"), F.col("b").alias("node"), "size", "lacks", "extra")),
                                        ["centre", "node"], "left").withColumn("extra", F.col("extra") - F.col("own")), "left")
     # members of an entry's largest component are compared with all others, not with each other
     counts = left.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("members"))
     largest = counts.groupBy("entry").agg(F.max(F.struct("members", "root")).alias("most")).select("entry", F.col("most.root").alias("main"))
-    sided = left.join(largest, "entry").withColumn("outside", F.col("root") != F.col("main"))
+    sided = left.join(dealt(largest), "entry").withColumn("outside", F.col("root") != F.col("main"))
     side = lambda s: sided.select("entry", *(F.col(c).alias(f"{c}_{s}") for c in
                                              ("node", "root", "n", "common", "size", "lacks", "extra", "outside")))
     enough = lambda both: 100 * both >= similarity_pct * (F.col("n_a") + F.col("n_b") - both)
     lacked = F.aggregate(F.zip_with("lacks_a", "lacks_b", lambda p, q: F.bit_count(p.bitwiseOR(q))), F.lit(0), lambda n, v: n + v)
     shared_most = F.col("size_a") - lacked + F.least("extra_a", "extra_b")
-    across = (side("a").where("outside_a").join(side("b"), "entry")
+    across = (side("a").where("outside_a").join(dealt(side("b")), "entry")
               .where((F.col("root_a") != F.col("root_b")) & (~F.col("outside_b") | (F.col("node_a") < F.col("node_b")))
                      & enough(F.least("common_a", "common_b")) & F.coalesce(enough(shared_most), F.lit(True))))
     second = (across.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-              .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+              .join(dealt(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), ["a", "b"], "left_anti"))
     second = saved(second, "pairs")
     more = saved(compared(second, texts, similarity_pct).where("linked").select("a", "b"), "links")
     if more.take(1):
         roots = components(links.unionByName(more))
 
     # a class without links stands for its own copies
-    return rows, (classes.select("node", "unknown", "rep", "key").join(roots, "node", "left")
+    return rows, (classes.select("node", "unknown", "rep", "key").join(dealt(roots), "node", "left")
                   .withColumn("root", F.coalesce("root", "node")))
 
 
@@ -250,8 +250,8 @@ def groups(docs: DataFrame, similarity_pct: int = 80) -> DataFrame:
     its own."""
     rows, of_class = _rooted(docs, similarity_pct)
     least = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = of_class.join(least, "root").select("node", "component_id")
-    found = (rows.where("node is not null").select("doc_id", "n_shingles", "node").join(named, "node")
+    named = of_class.join(dealt(least), "root").select("node", "component_id")
+    found = (rows.where("node is not null").select("doc_id", "n_shingles", "node").join(dealt(named), "node")
              .select("doc_id", "n_shingles", "component_id"))
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from steadfast.llm import neardup, topk
+import corpus_pipeline
+from steadfast.llm import common, neardup, topk
+from steadfast.llm import components as components_module
 from steadfast.llm.components import components
 from tests.llm import helpers
 
@@ -61,6 +63,22 @@ def test_groups(spark, pct, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
+@pytest.mark.parametrize("stage", ["groups"])
+def test_no_join_goes_through_the_driver(spark, monkeypatch, tmp_path, stage):
+    """Spark takes the files of an index or of node numbers for smaller than their rows are."""
+    plans, saved = [], common.saved
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for module in (neardup, components_module):
+        monkeypatch.setattr(module, "saved", lambda df, what: saved(planned(df), what))
+    docs = helpers.parquet(spark, tmp_path, "documents", spark.createDataFrame(corpus(1), "doc_id long, text string"))
+    planned(neardup.groups(docs, 85) if stage == "groups" else corpus_pipeline.no_near_duplicates(spark, docs, "")).collect()
+    assert sum("SortMergeJoin" in p for p in plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_no_documents(spark):
     assert neardup.groups(helpers.nothing(spark)).count() == 0
     assert neardup.groups(helpers.documents(spark).where("text is null or trim(text) = ''")).where("kept").count() == 2
