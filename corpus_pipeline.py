@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadfast.llm import langid, neardup, packing, pii, quality
-from steadfast.llm.common import saved, table
+from steadfast.llm.common import dealt, saved, table
 
 #: A document of no known language, or with less than this share in its first one, is rejected.
 LEAST_SHARE = 0.3
@@ -38,7 +38,7 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps one row of each group, the one with the smallest id; of equal rows, one."""
     keys = neardup.kept_keys(docs, SIMILARITY_PCT)
     keyed = docs.select(F.struct("*").alias("doc"), neardup.row_key().alias("key"))
-    return keyed.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
+    return keyed.join(dealt(keys), "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadfast.llm.common import fold, saved, slices, texts_of
+from steadfast.llm.common import dealt, fold, saved, slices, texts_of
 
 SLOTS = 4096
 WIDTH = 48
@@ -171,12 +171,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool=None) -
     taught = (labels.where(F.col("quality").isNotNull())
               .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")))
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    known, place = docs.select("doc_id").join(taught, "doc_id").count(), F.xxhash64("doc_id", F.lit(7))
+    known, place = docs.select("doc_id").join(dealt(taught), "doc_id").count(), F.xxhash64("doc_id", F.lit(7))
     share = 1.25 * sample / max(1, known)
     while True:
         near, named = ((docs, taught) if share >= 1 else
                        (rows.where(place <= F.lit(int(share * 2**64) - 2**63)) for rows in (docs, taught)))
-        rows = ((near if pool is None else pool(near)).join(named, "doc_id").orderBy(place, "doc_id", "pooled", "quality")
+        rows = ((near if pool is None else pool(near)).join(dealt(named), "doc_id").orderBy(place, "doc_id", "pooled", "quality")
                 .limit(sample).select("pooled", "quality").toArrow())
         if rows.num_rows >= min(sample, known) or share >= 1:
             break

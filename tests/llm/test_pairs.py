@@ -63,7 +63,7 @@ def test_groups(spark, pct, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
-@pytest.mark.parametrize("stage", ["groups"])
+@pytest.mark.parametrize("stage", ["groups", "pipeline"])
 def test_no_join_goes_through_the_driver(spark, monkeypatch, tmp_path, stage):
     """Spark takes the files of an index or of node numbers for smaller than their rows are."""
     plans, saved = [], common.saved
